@@ -15,6 +15,18 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import op04_token_files as op
+
+    return op.token_files(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end=1)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import op09_simhash as op
+
+    return op.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import op10_bpe as op
 
@@ -22,7 +34,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_bpe,)}
+    return {f.__name__: f for f in (op4_token_files, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
