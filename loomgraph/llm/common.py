@@ -17,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rank of a missing doc_id: after every other document.
@@ -105,48 +106,51 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunked(docs: DataFrame, columns: list[str], chunk_bytes: int, name: str) -> DataFrame:
-    """Whole documents packed into rows of about chunk_bytes text: (chunk, docs list).
+def chunked(docs: DataFrame, chunk_bytes: int, text: str = "text") -> tuple[DataFrame, str]:
+    """Documents with a chunk number, and that column's name.
 
-    chunk numbers documents' packs by partition and count; the result is written, so
-    that a chunk keeps its number whatever is lost later. A document longer than
-    chunk_bytes is a chunk of its own.
+    A chunk is the next documents of a partition with about chunk_bytes of text; a longer
+    document is a chunk of its own. The result is written, so that a chunk keeps its
+    documents whatever is lost later, and so that its documents lie together.
     """
-    field = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
-    schema = f"chunk bigint, docs array<struct<{field}>>"
+    name = free_name(docs, "_chunk")
+    at = docs.columns.index(text)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, kept, size = TaskContext.get().partitionId() << 32, [], 0
+        size, base = 0, TaskContext.get().partitionId() << 32
+        for b in batches:
+            sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(at)), 0), np.int64) + 1) + size
+            size = int(sizes[-1]) if len(sizes) else size
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base + sizes // chunk_bytes)], names=[*b.schema.names, name])
 
-        def row():
-            whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
-            items = pa.StructArray.from_arrays(whole.columns, fields=list(whole.schema))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)], ["chunk", "docs"])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+    return written(docs.mapInArrow(number, schema), "chunks"), name
 
-        for batch in batches:
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0)) + 1
-            at = 0
-            ends = np.cumsum(sizes)
-            while at < len(ends):
-                base = ends[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, base + chunk_bytes - size, "right")))
-                kept.append(batch.slice(at, to - at))
-                size += int(ends[to - 1] - base)
-                at = to
-                if size >= chunk_bytes or at < len(ends):
-                    yield row()
-                    number, kept, size = number + 1, [], 0
-        if kept:
-            yield row()
 
-    return written(docs.select(*columns).mapInArrow(pack, schema), name)
+def by_chunk(batches: Iterator[pa.RecordBatch], chunk: str) -> Iterator[tuple[int, pa.Table]]:
+    """(chunk, its rows) for rows whose chunks lie together."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        ids = np.asarray(b.column(b.schema.get_field_index(chunk)))
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if hi <= lo:
+                continue
+            if last is not None and ids[lo] != last:
+                yield last, pa.Table.from_batches(kept)
+                kept = []
+            last = int(ids[lo])
+            kept.append(b.slice(lo, hi - lo))
+    if kept:
+        yield last, pa.Table.from_batches(kept)
 
 
-def buckets_for(total_keys: float, per_bucket: int = 1_500_000) -> int:
-    """Hash buckets so that a bucket holds about per_bucket keys: grows with the data."""
-    return max(1, math.ceil(total_keys / per_bucket))
+def buckets_for(spark: SparkSession, total_keys: float, per_bucket: int = 1_000_000) -> int:
+    """Hash buckets of at most about per_bucket keys: as many more as there is more data."""
+    return max(partitions(spark), math.ceil(total_keys / per_bucket))
 
 
 def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -156,5 +160,33 @@ def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges, "left"), [len(keys)]])
 
 
+def packed(chunk: int, keys: np.ndarray, buckets: int, **more: np.ndarray) -> pa.RecordBatch:
+    """One row a bucket that has keys: (bucket, chunk, keys, ...), each array as bytes; keys ascend."""
+    cuts = bucket_cuts(keys, buckets)
+    has = np.flatnonzero(np.diff(cuts))
+    part = lambda x: pa.array([blob(x[cuts[i] : cuts[i + 1]]) for i in has], pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(has, pa.int64()), pa.array(np.full(len(has), chunk), pa.int64()), part(keys), *(part(x) for x in more.values())],
+        names=["bucket", "chunk", "keys", *more],
+    )
+
+
+def unpacked(rows: pa.Table, column: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a packed column, and the row that each comes from."""
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in rows.column(column)]
+    return np.concatenate([np.zeros(0, kind), *parts]), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+
+
+def runs_of(*ordered: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values in arrays that are ordered together."""
+    if not len(ordered[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(ordered[0]), bool)
+    new[0] = True
+    for x in ordered:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 def blob(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()

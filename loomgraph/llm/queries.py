@@ -21,6 +21,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.token_files(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end=1)
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import op08_substring as op
+
+    return op.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import op09_simhash as op
 
@@ -34,7 +40,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_files, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op4_token_files, op8_substring, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
