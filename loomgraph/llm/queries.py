@@ -15,12 +15,24 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import op01_quality as op
+
+    return op.classified(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import op04_token_files as op
 
     return op.token_files(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end=1)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import op06_decontaminate as op
+
+    return op.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import op08_substring as op
 
@@ -40,8 +52,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_files, op8_substring, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op4_token_files, op6_decontaminate, op8_substring, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from loomgraph.llm import op06_decontaminate
+
+    return {"op6_decontaminate": op06_decontaminate.ORACLE_SQL}
