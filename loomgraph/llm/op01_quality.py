@@ -21,13 +21,17 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.common import free_name, texts, written
 
-#: Bound of the training sample: the documents with the smallest hashes of text and id.
+#: Bound of the training sample: about as many documents, those with the smallest hashes of text and id.
 TRAIN_DOCS = 20_000
 DIMENSIONS, EPOCHS, REJECT_BELOW = 1 << 16, 200, 0.5
 GOOD, BAD, NONE = 2, 1, 0
-LABELLERS = ("symbols", "capitals", "exclamations", "bars", "repeats", "variety", "sentences", "lengths")
+#: Those that only ever say "bad" or nothing, then those that say either.
+LABELLERS = ("symbols", "marked words", "capitals", "exclamations", "bars", "repeats", "variety", "sentences")
+#: Prior means of P(says bad | bad) and P(says bad | good) of a labeller, worth PRIOR of a class's documents.
+SAYS_BAD, PRIOR = (0.35, 0.01), 0.2
 
 _PLAIN = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)) + b" \t\n\r\x0b\x0c.,;:!?'\"()-"
+_MARKS = frozenset(b"#$%&*+/<=>@[\\]^_`{|}~")
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 
@@ -37,19 +41,18 @@ def votes(text: bytes, words: list[bytes], repeated: int) -> int:
     n, size = len(words), max(1, len(text))
     odd = len(text.translate(None, _PLAIN)) / size
     upper, lower = size - len(text.translate(None, _UPPER)), size - len(text.translate(None, _LOWER))
-    letters = max(1, upper + lower)
-    per = max(1, n)
-    variety, ends = len(set(words)) / per, sum(w.endswith((b".", b"!", b"?")) for w in words) / per
-    mean = sum(map(len, words)) / per
+    letters, per = max(1, upper + lower), max(1, n)
+    marked = sum(w[-1] in _MARKS for w in words) / per
+    variety, ends = len(set(words)) / per, sum(w[-1] in b".!?" for w in words) / per
     said = (
-        BAD if odd > 0.05 else GOOD if odd < 0.02 else NONE,
-        NONE if letters < 20 else BAD if upper / letters > 0.4 else GOOD if upper / letters < 0.2 else NONE,
-        BAD if text.count(b"!") / per > 0.2 else GOOD if text.count(b"!") / per < 0.05 else NONE,
-        BAD if text.count(b"|") / per > 0.15 else GOOD if text.count(b"|") / per < 0.02 else NONE,
-        NONE if n < 5 else BAD if repeated / n > 0.2 else GOOD if repeated / n < 0.1 else NONE,
-        NONE if n < 20 or n > 3000 else BAD if variety < 0.15 else GOOD if variety > 0.3 else NONE,
-        NONE if n < 30 else BAD if ends < 0.005 else GOOD if ends < 0.35 else NONE,
-        NONE if n < 5 else BAD if mean < 2 or mean > 20 else GOOD,
+        BAD if odd > 0.05 else NONE,
+        BAD if n >= 5 and marked > 0.2 else NONE,
+        BAD if letters >= 20 and upper / letters > 0.4 else NONE,
+        BAD if n >= 5 and text.count(b"!") / per > 0.2 else NONE,
+        BAD if n >= 5 and text.count(b"|") / per > 0.15 else NONE,
+        BAD if n >= 5 and repeated / per > 0.2 else NONE,
+        NONE if n < 20 or n > 3000 else BAD if variety < 0.2 else GOOD if variety > 0.4 else NONE,
+        NONE if n < 30 else BAD if ends < 0.005 or ends > 0.6 else GOOD if ends < 0.35 else NONE,
     )
     code = 0
     for v in said:
@@ -87,48 +90,47 @@ def features(text: bytes) -> tuple[int, np.ndarray, np.ndarray]:
 def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[dict[int, float], np.ndarray, float]:
     """EM over the pattern table: posterior of good by pattern, P(vote | class), share of good.
 
-    Starts from the labellers' own polarity, so that class 1 stays the good one.
+    Starts from the labellers' polarity. Priors that grow with the class keep class 1 the good
+    one. A labeller's silence counts where silence is all it says of good documents; for
+    labellers that say either, it tells nothing.
     """
     k = len(LABELLERS)
     digits = np.stack([codes // 3 ** (k - 1 - i) % 3 for i in range(k)], axis=1)
-    good = (digits == GOOD).sum(1)
-    bad = (digits == BAD).sum(1)
-    post = np.where(bad > 0, 0.2 ** np.minimum(bad, 6), (good + 1) / (good + 2))
+    either = (digits == GOOD).any(0)
+    heard = (digits != NONE) | ~either
+    bad = digits == BAD
+    post = 0.1 ** np.minimum(bad.sum(1), 6) * 0.95
     for _ in range(rounds):
-        share = ((post * counts).sum() + 1) / (counts.sum() + 2)
-        table = np.empty((2, k, 3))
+        share = ((post * counts).sum() + 0.95) / (counts.sum() + 1)
+        says = np.empty((2, k))
         for y, w in ((1, post * counts), (0, (1 - post) * counts)):
-            for v in range(3):
-                prior = 2.0 if (v == GOOD) == (y == 1) and v != NONE else 0.5
-                table[y, :, v] = (w[:, None] * (digits == v)).sum(0) + prior
-            table[y] /= table[y].sum(1, keepdims=True)
-        logs = [np.log(table[y])[np.arange(k), digits].sum(1) for y in (0, 1)]
+            prior, mass = SAYS_BAD[y], PRIOR * w.sum() + 1
+            says[y] = ((w[:, None] * (bad & heard)).sum(0) + prior * mass) / ((w[:, None] * heard).sum(0) + mass)
+        logs = [(np.where(bad, np.log(says[y]), np.log1p(-says[y])) * heard).sum(1) for y in (0, 1)]
         odds = np.log(share) - np.log1p(-share) + logs[1] - logs[0]
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         done = np.abs(new - post).max() < 1e-9
         post = new
         if done:
             break
-    return dict(zip(codes.tolist(), post.tolist())), table, float(share)
+    return dict(zip(codes.tolist(), post.tolist())), says, float(share)
 
 
 def train(rows: list[tuple[float, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by full-batch Adam steps; both classes weigh the same."""
+    """Logistic regression on soft labels by full-batch Adam steps."""
     w, bias = np.zeros(DIMENSIONS), 0.0
     if not rows:
         return w, bias
     y = np.array([r[0] for r in rows])
     of = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     at, x = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]).astype(float)
-    weight = y / max(y.sum(), 1e-9) + (1 - y) / max((1 - y).sum(), 1e-9)
-    weight /= weight.sum()
     used, at = np.unique(at, return_inverse=True)
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     theta = np.zeros(len(used) + 1)
     for t in range(1, EPOCHS + 1):
         z = np.bincount(of, weights=theta[at] * x, minlength=len(rows)) + theta[-1]
-        g = weight * (1 / (1 + np.exp(-z)) - y)
-        grad = np.append(np.bincount(at, weights=g[of] * x, minlength=len(used)), g.sum()) + 1e-5 * theta
+        g = (1 / (1 + np.exp(-z)) - y) / len(y)
+        grad = np.append(np.bincount(at, weights=g[of] * x, minlength=len(used)), g.sum()) + 1e-6 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     w[used] = theta[:-1]
@@ -153,7 +155,8 @@ def fitted(docs: DataFrame, text: str = "text"):
         return {}, None, np.zeros(DIMENSIONS), 0.0
     codes, counts = (np.array([r[i] for r in patterns], np.int64) for i in (0, 1))
     posterior, accuracies, _ = estimate(codes, counts)
-    sample = table.orderBy("at").limit(TRAIN_DOCS).select("code", "ids", "shares").collect()
+    cut = -(1 << 63) + min((1 << 64) - 1, (TRAIN_DOCS << 64) // int(counts.sum()))
+    sample = table.where(F.col("at") <= F.lit(cut)).select("code", "ids", "shares").limit(2 * TRAIN_DOCS).collect()
     w, bias = train([(posterior[r[0]], np.frombuffer(r[1], "<i4").astype(np.int64), np.frombuffer(r[2], np.float32)) for r in sample])
     return posterior, accuracies, w, bias
 
