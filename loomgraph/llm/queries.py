@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.session import table
 
@@ -21,6 +22,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.classified(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import op03_katz as op
+
+    return op.scored(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import op04_token_files as op
 
@@ -52,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op4_token_files, op6_decontaminate, op8_substring, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op3_katz, op4_token_files, op6_decontaminate, op8_substring, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
