@@ -22,6 +22,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.classified(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import op02_language as op
+
+    return op.identified(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+
+
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import op03_katz as op
 
@@ -34,6 +40,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.token_files(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end=1)
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import op05_media as op
+
+    return op.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import op06_decontaminate as op
 
@@ -59,7 +71,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_katz, op4_token_files, op6_decontaminate, op8_substring, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_language, op3_katz, op4_token_files, op5_media, op6_decontaminate, op8_substring, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
