@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Fixed value: the public byte-level pre-tokenisation pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -166,7 +167,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             got = pa.array([bpe.encode(x or "") for x in b.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, ids])
 
-    return kept.mapInArrow(work, kept.schema.add(ids, "binary"))
+    return kept.mapInArrow(work, T.StructType([*kept.schema.fields, T.StructField(ids, T.BinaryType())]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -180,7 +181,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
             got = pa.array([bpe.decode(x or b"") for x in b.column(at).to_pylist()], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, text])
 
-    return kept.mapInArrow(work, kept.schema.add(text, "string"))
+    return kept.mapInArrow(work, T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

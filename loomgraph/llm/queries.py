@@ -52,6 +52,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import op07_chat as op
+
+    return op.formatted(table(spark, sf_dir, "conversations")).withColumn("faults", F.concat_ws("; ", "faults"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import op08_substring as op
 
@@ -71,7 +77,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_language, op3_katz, op4_token_files, op5_media, op6_decontaminate, op8_substring, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_language, op3_katz, op4_token_files, op5_media, op6_decontaminate, op7_chat, op8_substring, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
