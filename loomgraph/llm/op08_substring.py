@@ -182,7 +182,7 @@ def _asked(words: Words, chunk: int, shared: np.ndarray, buckets: int) -> pa.Rec
     order = np.lexsort((ids, b, a))
     a, b, ids = a[order], b[order], ids[order]
     start = runs_of(a, b)
-    end = np.append(start[1:], len(a)) - 1
+    end = np.append(start[1:], len(a))[: len(start)] - 1
     return packed(chunk, a[start], buckets, second=b[start], least=ids[start], most=ids[end])
 
 
