@@ -33,8 +33,8 @@ def explore(bindings: DataFrame, anchors: DataFrame, max_hops: int = 3, hub_degr
     equi-joins on entity and event, and is written to the shared folder.
     """
     keys = ["graph_id", "question_id"]
-    known = degrees(bindings).withColumnRenamed("degree", "deg")
-    edges = bindings.select("graph_id", "event_id", "entity", F.col("sense").isin(*IDENTITY_FRAMES).alias("same")).distinct()
+    known = materialised(degrees(bindings).withColumnRenamed("degree", "deg"))
+    edges = materialised(bindings.select("graph_id", "event_id", "entity", F.col("sense").isin(*IDENTITY_FRAMES).alias("same")).distinct())
     members = edges.select("graph_id", "event_id", F.col("entity").alias("member"))
     start = anchors.select(*keys, "entity").distinct().join(known, ["graph_id", "entity"])
     settled = materialised(start.select(*keys, "entity", F.lit(0).alias("dist")))

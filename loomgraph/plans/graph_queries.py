@@ -152,7 +152,7 @@ ORACLES = {
     "j1_mention_to_entity": _sql() + "SELECT a.question_id, a.place, a.entity, d.entity IS NOT NULL AS known FROM (SELECT * FROM anchors UNION ALL SELECT question_id, place, 'lost:' || entity FROM anchors) a LEFT JOIN degrees d USING (entity)",
     "j2_adjacency": _sql() + "SELECT a.entity, b.sense, a.role AS role_in, b.role AS role_out, count(*) AS n, min(b.entity) AS first_neighbour FROM bindings a JOIN bindings b USING (event_id) WHERE a.entity LIKE 'nation:%' AND a.entity <> b.entity GROUP BY ALL",
     "j4_event_exists": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)",
-    "p8_specific_anchors": _sql() + "SELECT question_id, entity, degree, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY place) AS rank FROM (SELECT *, max(CASE WHEN degree <= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY question_id) AS some FROM anchors JOIN degrees USING (entity)) WHERE some = 0 OR degree <= 3) WHERE rank <= 4",
+    "p8_specific_anchors": _sql() + "SELECT question_id, entity, degree, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY place) AS rank FROM (SELECT *, max(CASE WHEN degree <= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY question_id) AS any_specific FROM anchors JOIN degrees USING (entity)) WHERE any_specific = 0 OR degree <= 3) WHERE rank <= 4",
     "d1_event_dedup": "SELECT 'buy:' || min(o_orderkey) AS event_id, min(o_orderkey) AS ord FROM orders GROUP BY o_custkey, o_orderpriority, year(o_orderdate)",
     "s5_discourse_write": "WITH kept AS (SELECT 'buy:' || min(o_orderkey) AS e FROM orders GROUP BY o_custkey, o_orderpriority, year(o_orderdate)), " + DISCOURSE_SQL + " SELECT src_event, dst_event, src_event IN (SELECT e FROM kept) AND dst_event IN (SELECT e FROM kept) AS stored FROM discourse",
     "k2_evidence_budget": _sql(_WALK, _BLOCKS) + "SELECT question_id, event_id, dist, rank, block FROM (SELECT *, row_number() OVER w AS rank, sum(length(block) + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS cum FROM events_at JOIN blocks USING (event_id) WINDOW w AS (PARTITION BY question_id ORDER BY dist, event_id)) WHERE cum + 30 <= 1500 OR rank = 1",
