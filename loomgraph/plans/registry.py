@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import graph_queries
+from loomgraph.plans import graph_queries, text_queries
 
-MODULES = (graph_queries,)
+MODULES = (graph_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
