@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -22,15 +23,16 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import LAST_ID, partitions, shared_path, texts, written
 
-CACHED, CACHED_LENGTH = 400_000, 64
+CACHED, CACHED_LENGTH, MARKS = 1_000_000, 64, b".,;:!?#$%&*|"
 
 
 class WordEncoder:
     """Ids of texts by the tokenizers library, word by word.
 
-    The vocabulary's pre-tokenisation drops white space and never joins across it, and its
-    normalisation doesn't either, so a text's ids are those of its words in order. Words that
-    repeat are looked up.
+    The vocabulary's pre-tokenisation drops white space and never joins across it, its
+    normalisation lowers letters and doesn't reach across white space either, so a text's ids
+    are those of its lowered words in order. A letter and the marks after it are never in one
+    pre-token, so trailing marks are encoded apart. Words that repeat are looked up.
     """
 
     def __init__(self, path: str):
@@ -43,23 +45,26 @@ class WordEncoder:
 
     def encode(self, batch: list[bytes], end: int) -> list[bytes]:
         """Ids of each text and the end id, little-endian."""
-        kind = np.uint32 if self.wide else np.uint16
-        words = [t.split() for t in batch]
+        # special tokens are matched as written, before letters are lowered
+        words = [(t if b"<|" in t else t.lower()).split() for t in batch]
         if len(self.kept) > CACHED:
             self.kept.clear()
-        kept, last = self.kept, kind(end).tobytes()
-        new = list(set().union(*words).difference(kept))
-        kept |= zip(new, self._ids([w.decode() for w in new], kind))
+        kept, last = self.kept, array("I" if self.wide else "H", [end]).tobytes()
+        new = set().union(*words).difference(kept)
+        cut = {w: len(base) for w in new if len(base := w.rstrip(MARKS)) < len(w) and base[-1:].isalpha()}
+        plain = list(new.difference(cut).union([w[:n] for w, n in cut.items()], [w[n:] for w, n in cut.items()]).difference(kept))
+        kept |= zip(plain, self._ids([w.decode() for w in plain]))
+        kept |= {w: kept[w[:n]] + kept[w[n:]] for w, n in cut.items()}
         out = [b"".join(map(kept.__getitem__, w)) + last for w in words]
-        for w in new:
+        for w in {*plain, *cut}:
             if len(w) > CACHED_LENGTH:
                 del kept[w]
         return out
 
-    def _ids(self, words: list[str], kind) -> list[bytes]:
-        out = []
+    def _ids(self, words: list[str]) -> list[bytes]:
+        kind, out = "I" if self.wide else "H", []
         for i in range(0, len(words), 5000):
-            out += [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(words[i : i + 5000], add_special_tokens=False)]
+            out += [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words[i : i + 5000], add_special_tokens=False)]
         return out
 
 
