@@ -106,8 +106,8 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunked(docs: DataFrame, chunk_bytes: int, text: str = "text") -> tuple[DataFrame, str]:
-    """Documents with a chunk number, and that column's name.
+def chunked(docs: DataFrame, chunk_bytes: int, text: str = "text", place: str | None = None) -> tuple[DataFrame, str]:
+    """Documents with a chunk number, and that column's name; `place` names a column for their order.
 
     A chunk is the next documents of a partition with about chunk_bytes of text; a longer
     document is a chunk of its own. The result is written, so that a chunk keeps its
@@ -119,13 +119,16 @@ def chunked(docs: DataFrame, chunk_bytes: int, text: str = "text") -> tuple[Data
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        size, base = 0, TaskContext.get().partitionId() << 32
+        size, row, base = 0, 0, TaskContext.get().partitionId() << 32
         for b in batches:
             sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(at)), 0), np.int64) + 1) + size
             size = int(sizes[-1]) if len(sizes) else size
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base + sizes // chunk_bytes)], names=[*b.schema.names, name])
+            places = [pa.array(np.arange(row, row + len(b)))] if place else []
+            row += len(b)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base + sizes // chunk_bytes), *places], names=[*b.schema.names, *more])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+    more = [name, *filter(None, [place])]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in more)])
     return written(docs.mapInArrow(number, schema), "chunks"), name
 
 

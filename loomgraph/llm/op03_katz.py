@@ -7,8 +7,8 @@ history is the word before, or the document's beginning; a document's end is a t
 
 Counting and scoring share one exchange. Every chunk of documents sends its distinct words
 and bigrams with their local counts, packed by hash bucket. A bucket sums them, names one
-owner for each, and answers the chunks that have less than the whole count. The answers
-are a table partitioned by the n-gram's order. From the bigrams that it owns, a chunk sends
+owner for each, and answers the chunks that have less than the whole count, by the key's
+place in what they sent. The answers are a table partitioned by the n-gram's order. From the bigrams that it owns, a chunk sends
 each history's seen count, discounts and lower-order mass; buckets of histories turn the
 sums into backoff weights, the third partition. Then each chunk scores its documents token
 by token: bigram, else weight times unigram, else weight times unknown.
@@ -30,7 +30,9 @@ DELTA, TOP, CHUNK_BYTES = 0.1, 5, 6_000_000
 BEGIN, END = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
 _cache = WordHashes(3)
 _ZSTD = pa.Codec("zstd")
-ANSWER = "kind int, chunk bigint, bucket int, keys binary, counts binary, own binary, alpha binary, seen bigint, total bigint, often array<bigint>"
+SENT = "kind int, bucket int, chunk bigint, first bigint, docs bigint, keys binary, counts binary"
+ANSWER = "kind int, chunk bigint, first bigint, docs bigint, bucket int, places binary, counts binary, own binary, alpha binary, seen bigint, total bigint, often array<bigint>"
+TOLD = ("chunk", "kind", "first", "docs", "bucket", "places", "counts", "own", "alpha")
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -45,7 +47,8 @@ def unpack(b: bytes, kind: type) -> np.ndarray:
 class Tokens:
     """Tokens of a chunk's documents as hashes, each document's words and then its end."""
 
-    def __init__(self, rows: list[bytes], held: np.ndarray):
+    def __init__(self, rows: list[bytes], held: np.ndarray, places: np.ndarray):
+        self.places = places
         words = [t.lower().split() for t in rows]
         self.sizes = np.array([len(w) + 1 for w in words], np.int64)
         ends = np.cumsum(self.sizes)
@@ -68,23 +71,24 @@ def distinct(x: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[order][start], np.add.reduceat(learn[order].astype(np.uint32), start, dtype=np.uint32) if len(x) else np.zeros(0, np.uint32)
 
 
-def _sent(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _sent(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int, first: int = 0, docs: int = 0) -> pa.RecordBatch:
+    """A chunk's keys and counts by bucket; first and docs say which of its documents they are from."""
     cuts = bucket_cuts(keys, buckets)
     has = np.flatnonzero(np.diff(cuts))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(len(has), kind), pa.int32()),
             pa.array(has, pa.int32()),
-            pa.array(np.full(len(has), chunk), pa.int64()),
+            *(pa.array(np.full(len(has), x), pa.int64()) for x in (chunk, first, docs)),
             pa.array([np.ascontiguousarray(keys[cuts[i] : cuts[i + 1]]).tobytes() for i in has], pa.binary()),
             pa.array([pack(counts[cuts[i] : cuts[i + 1]]) for i in has], pa.binary()),
         ],
-        names=["kind", "bucket", "chunk", "keys", "counts"],
+        names=["kind", "bucket", "chunk", "first", "docs", "keys", "counts"],
     )
 
 
 def _answer(rows: list[dict]) -> pa.Table:
-    kinds = {"kind": pa.int32(), "chunk": pa.int64(), "bucket": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "own": pa.binary(), "alpha": pa.binary(), "seen": pa.int64(), "total": pa.int64(), "often": pa.list_(pa.int64())}
+    kinds = {"kind": pa.int32(), "chunk": pa.int64(), "first": pa.int64(), "docs": pa.int64(), "bucket": pa.int32(), "places": pa.binary(), "counts": pa.binary(), "own": pa.binary(), "alpha": pa.binary(), "seen": pa.int64(), "total": pa.int64(), "often": pa.list_(pa.int64())}
     return pa.Table.from_pylist([{k: r.get(k) for k in kinds} for r in rows], pa.schema(kinds.items()))
 
 
@@ -104,21 +108,40 @@ def _summed(key, rows):
     often = np.bincount(np.minimum(whole, TOP + 2).astype(np.int64), minlength=TOP + 3)[1 : TOP + 2]
     out = [{"kind": kind, "seen": int((whole > 0).sum()), "total": int(whole.sum()), "often": often.tolist()}]
     told = (total != counts) | ~own & (total > 0)
-    cut = np.searchsorted(row[told], np.arange(len(rows) + 1))
-    for i, chunk in enumerate(rows.column("chunk").to_pylist()):
+    cut, at = np.searchsorted(row[told], np.arange(len(rows) + 1)), np.flatnonzero(told)
+    begin = np.searchsorted(row, np.arange(len(rows)))
+    for i, r in enumerate(rows.select(["chunk", "first", "docs"]).to_pylist()):
         if cut[i + 1] > cut[i]:
-            k, t, o = (x[told][cut[i] : cut[i + 1]] for x in (keys, total, own))
-            out.append({"kind": kind, "bucket": bucket, "chunk": chunk, "keys": k.tobytes(), "counts": pack(t), "own": pack(o)})
+            here = at[cut[i] : cut[i + 1]]
+            out.append(r | {"kind": kind, "bucket": bucket, "places": pack(np.diff(here - begin[i], prepend=0).astype(np.uint32)), "counts": pack(total[here]), "own": pack(own[here])})
     return _answer(out)
 
 
-def _told(answers: pa.Table, kind: int, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whole count of each key, and whether this chunk owns it: its own count but for what was answered."""
-    total, own = counts.astype(np.uint64), counts > 0
-    for r in answers.filter(pa.compute.equal(answers.column("kind"), kind)).select(["keys", "counts", "own"]).to_pylist():
-        at = np.searchsorted(keys, np.frombuffer(r["keys"], np.uint64))
-        total[at], own[at] = unpack(r["counts"], np.uint64), unpack(r["own"], bool)
-    return total, own
+def _told(answers: pa.Table, kind: int, buckets: int, t: Tokens, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a chunk, the whole count of each, and whether the chunk owns it.
+
+    A key's count is the chunk's own but for what was answered. The documents of a chunk may
+    have been sent in several parts, if its file was read in parts; each part is answered for
+    the keys that it sent.
+    """
+    keys, local = distinct(x, t.learn)
+    total, own = local.astype(np.uint64), local > 0
+    parts: dict[tuple[int, int], list[dict]] = {}
+    for r in answers.filter(pa.compute.equal(answers.column("kind"), kind)).select(["first", "docs", "bucket", "places", "counts", "own"]).to_pylist():
+        parts.setdefault((r["first"], r["docs"]), []).append(r)
+    cleared = set()
+    for (first, docs), rows in parts.items():
+        lo = int(np.searchsorted(t.places, first))
+        a, b = t.starts[lo], t.starts[lo + docs - 1] + t.sizes[lo + docs - 1]
+        mine = keys if docs == len(t.sizes) else np.unique(x[a:b])
+        cuts = bucket_cuts(mine, buckets)
+        for r in rows:
+            at = np.searchsorted(keys, mine[cuts[r["bucket"]] + np.cumsum(unpack(r["places"], np.uint32).astype(np.int64))])
+            total[at] = unpack(r["counts"], np.uint64)
+            fresh = np.array([i not in cleared for i in at.tolist()]) if len(parts) > 1 else np.ones(len(at), bool)
+            own[at] = np.where(fresh, False, own[at]) | unpack(r["own"], bool)
+            cleared.update(at.tolist() if len(parts) > 1 else ())
+    return keys, total, own
 
 
 def discounts(often: list[int]) -> np.ndarray:
@@ -146,35 +169,35 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     """
     spark = docs.sparkSession
     chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    table, chunk = chunked(chosen, CHUNK_BYTES)
+    table, chunk = chunked(chosen, CHUNK_BYTES, place="place")
     words = table.select(F.sum(F.length("text") / 6 + 1)).first()[0] or 0
     n_words, n_pairs = buckets_for(spark, words / 6), buckets_for(spark, words)
 
     def read(rows) -> Tokens:
-        return Tokens([x for c in rows.column("text").chunks for x in texts(c)], np.array(rows.column("held_out").to_pylist(), bool))
+        return Tokens([x for c in rows.column("text").chunks for x in texts(c)], np.array(rows.column("held_out").to_pylist(), bool), np.asarray(rows.column("place")))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in by_chunk(batches, chunk):
             t = read(rows)
-            yield _sent(1, number, *distinct(t.token, t.learn), n_words)
-            yield _sent(2, number, *distinct(t.pair, t.learn), n_pairs)
+            part = int(t.places[0]), len(rows)
+            yield _sent(1, number, *distinct(t.token, t.learn), n_words, *part)
+            yield _sent(2, number, *distinct(t.pair, t.learn), n_pairs, *part)
 
-    sent = table.mapInArrow(send, "kind int, bucket int, chunk bigint, keys binary, counts binary")
+    sent = table.mapInArrow(send, SENT)
     counts = written(sent.groupBy("kind", "bucket").applyInArrow(_summed, ANSWER), "counts", by="kind")
     stats = {r["kind"]: r for r in counts.where("chunk IS NULL").groupBy("kind").agg(F.sum("seen").alias("seen"), F.sum("total").alias("total"), *[F.sum(F.col("often")[i]).alias(f"n{i}") for i in range(TOP + 1)]).collect()}
     total = stats[1]["total"] if 1 in stats else 0
     norm = total + DELTA * ((stats[1]["seen"] if 1 in stats else 0) + 1)
     d = discounts([stats[2][f"n{i}"] for i in range(TOP + 1)] if 2 in stats else [0] * (TOP + 1))
-    answers = counts.where("chunk IS NOT NULL").select("chunk", "kind", "bucket", "keys", "counts", "own", "alpha")
+    answers = counts.where("chunk IS NOT NULL").select(*TOLD)
 
     def histories(key, rows, told):
         if not len(rows):
-            return pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
-        t = read(rows)
-        uni, local = distinct(t.token, t.learn)
-        c_uni, _ = _told(told, 1, uni, local)
-        pairs, at = np.unique(t.pair, return_index=True)
-        c_pair, own = _told(told, 2, pairs, distinct(t.pair, t.learn)[1])
+            return pa.Table.from_batches([_sent(3, 0, np.zeros(0, np.uint64), np.zeros((0, 3 + TOP), np.uint64), 1)])
+        t = read(rows.sort_by("place"))
+        uni, c_uni, _ = _told(told, 1, n_words, t, t.token)
+        _, c_pair, own = _told(told, 2, n_pairs, t, t.pair)
+        _, at = np.unique(t.pair, return_index=True)
         h = np.unique(t.before)
         at, c = at[own], c_pair[own]
         of = np.searchsorted(h, t.before[at])
@@ -204,18 +227,18 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
         at = np.concatenate([[0], np.cumsum(sizes)])
         return _answer([{"kind": 3, "bucket": key[0].as_py(), "chunk": c, "counts": pack(back[at[i] : at[i + 1], 0].astype(np.uint64)), "alpha": pack(back[at[i] : at[i + 1], 1])} for i, c in enumerate(rows.column("chunk").to_pylist())])
 
-    asked = table.groupBy(chunk).cogroup(answers.groupBy("chunk")).applyInArrow(histories, "kind int, bucket int, chunk bigint, keys binary, counts binary")
-    backoff = written(asked.groupBy("bucket").applyInArrow(weights, ANSWER), "backoff").select("chunk", "kind", "bucket", "keys", "counts", "own", "alpha")
+    asked = table.groupBy(chunk).cogroup(answers.groupBy("chunk")).applyInArrow(histories, SENT)
+    backoff = written(asked.groupBy("bucket").applyInArrow(weights, ANSWER), "backoff").select(*TOLD)
 
     def score(key, rows, told):
         names = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
         if not len(rows):
             return pa.table({k: pa.array([], v) for k, v in names.items()})
+        rows = rows.sort_by("place")
         t = read(rows)
-        uni, local = distinct(t.token, t.learn)
-        c_uni = _told(told, 1, uni, local)[0][np.searchsorted(uni, t.token)]
-        pairs, local = distinct(t.pair, t.learn)
-        c_pair = _told(told, 2, pairs, local)[0][np.searchsorted(pairs, t.pair)]
+        uni, c_uni, _ = _told(told, 1, n_words, t, t.token)
+        pairs, c_pair, _ = _told(told, 2, n_pairs, t, t.pair)
+        c_uni, c_pair = c_uni[np.searchsorted(uni, t.token)], c_pair[np.searchsorted(pairs, t.pair)]
         h = np.unique(t.before)
         parts = sorted((r["bucket"], r["counts"], r["alpha"]) for r in told.filter(pa.compute.equal(told.column("kind"), 3)).to_pylist())
         spare = np.concatenate([unpack(p[1], np.uint64) for p in parts]).astype(float)
