@@ -262,21 +262,35 @@ def surface(name: Column) -> Column:
     return F.when(text == "", whole).otherwise(text)
 
 
-def match_key(name: Column) -> Column:
-    """Key under which two mentions are one entity."""
+def _turned(name: Column) -> Column:
+    """Display form with "City of X" as "X City"."""
     shown = surface(name)
     admin = rf"(?i)^({any_of(v.ADMIN_NOUNS)})\s+of\s+(.+)$"
-    turned = F.when(shown.rlike(admin), F.concat_ws(" ", F.btrim(F.regexp_extract(shown, admin, 2)), F.regexp_extract(shown, admin, 1))).otherwise(shown)
-    every = F.filter(F.split(fold(turned), r"(?U)[^\w]+"), lambda t: t != "")
-    some = F.filter(every, lambda t: ~isin(t, ("the", "a", "an", "of", "and")))
-    words = F.when(F.size(some) > 0, some).otherwise(every)
-    words = F.when((F.size(words) >= 3) & isin(F.try_element_at(words, F.lit(1)), v.HONORIFICS), F.slice(words, 2, 1000)).otherwise(words)
+    return F.regexp_replace(shown, admin, "$2 $1")
+
+
+def _key_of(folded: Column) -> Column:
+    every = F.filter(F.split(folded, r"(?U)[^\w]+"), lambda t: t != "")
+    text = F.array_join(every, " ")
+    some = F.btrim(F.regexp_replace(text, r"(?<=^| )(?:the|a|an|of|and)(?= |$)", ""))
+    text = F.regexp_replace(F.when(some == "", text).otherwise(some), r" +", " ")
+    text = F.regexp_replace(text, rf"^(?:{any_of(v.HONORIFICS)}) (?=\S+ \S)", "")
     suffix = rf"^(\S+(?: \S+)*?)(?: (?:{any_of(v.LEGAL_SUFFIXES)}))+$"
-    text = F.regexp_replace(F.array_join(words, " "), suffix, "$1")
+    text = F.regexp_replace(text, suffix, "$1")
     text = F.regexp_replace(text, r"(?U)(?<=(?:^| )\p{L}) (?=\p{L}(?: |$))", "")
     return F.regexp_replace(text, suffix, "$1")
 
 
+def match_key(name: Column) -> Column:
+    """Key under which two mentions are one entity."""
+    return _key_of(fold(_turned(name)))
+
+
+def match_keys(names: Column) -> Column:
+    """Match keys of an array of names, folded together."""
+    return F.when(F.size(names) > 0, F.transform(F.split(fold(F.array_join(F.transform(names, _turned), "\x1f")), "\x1f"), _key_of)).otherwise(F.array().cast("array<string>"))
+
+
 def slug(key: Column, most: int = 60) -> Column:
     """Printable id of a key; a hash where no letter is left."""
     text = F.btrim(F.regexp_replace(fold(key), r"(?U)[^\w]+", "_"), F.lit("_"))

@@ -87,3 +87,30 @@ FRAME_VERBS = {
 }
 RELATIONS = ("cause", "result", "before", "after", "condition", "contrast")
 ALIAS_CONNECTORS = ("of", "for", "and", "the", "de", "du", "des", "für", "&")
+
+# fixed values: names that stand for a role
+ROLE_ALIASES = {
+    ":ARG0": (
+        "actor", "agent", "subject", "creator", "create", "author", "producer", "produce", "director", "direct", "founder", "found", "funder", "fund",
+        "employer", "speaker", "caller", "writer", "write", "inventor", "invent", "parent", "performer", "artist", "musician", "singer", "player",
+        "member", "leader", "originator", "distributor", "publisher", "manufacturer", "maker", "owner", "proprietor", "operator", "builder", "supplier",
+        "seller", "buyer", "parent_company", "holding_company", "founded_by", "distributed_by", "manufactured_by", "owned_by", "headquartered_by",
+        "partner_a",
+    ),
+    ":ARG1": (
+        "patient", "theme", "object", "entity", "creation", "product", "work", "novel", "play", "target", "problem", "callee", "recipient", "topic",
+        "child", "sibling", "spouse", "partner", "partner_b", "wife", "husband", "album", "song", "book", "movie", "film", "organization", "group",
+        "band", "company", "university", "institution", "subsidiary", "division", "facility", "property", "building", "aircraft", "vehicle",
+        "distributee", "manufacturee", "release",
+    ),
+    ":ARG2": (
+        "example", "description", "instrument", "attribute", "capital", "name", "beneficiary", "role", "title", "status", "genre", "headquarters",
+        "headquarter", "hq", "manufacturer_of", "distributor_of",
+    ),
+    ":location": (
+        "place", "region", "city", "venue", "site", "where", "country", "state", "birthplace", "birth_place", "headquartered_in", "located_in",
+        "based_in", "residence", "territory", "municipality", "province",
+    ),
+    ":time": ("date", "year", "period", "when", "timestamp", "birth_date", "start_date", "end_date", "release_date", "release_year", "founded_year", "founded_date"),
+}
+CONTEXT_ROLES = (":manner", ":purpose", ":direction", ":location", ":time")
