@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.common import written
 
+TOOLS = 8
 _CALL = "struct<id:string,name:string,arguments:string,depends:array<string>>"
 PARSED = f"row bigint, conv_id bigint, turn bigint, role string, kind string, body string, calls array<{_CALL}>, answers string"
 
@@ -153,6 +154,36 @@ def _levels(calls: DataFrame) -> DataFrame:
         settled = written(settled.unionByName(new), "levels")
 
 
+def derived(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages whose turns are tool calls and results, and the tools (name, schema as JSON), from any conversations.
+
+    A user's turn t becomes a call with id `t`, of one of TOOLS tools by hash; from turn 2 on it
+    refers to an earlier turn 2, 4, ... before it, by hash of its text, so that chains grow with
+    the logarithm of a conversation. An assistant's turn t becomes the result of call `t - 1`,
+    which is an orphan if that wasn't a user's. Other roles, and texts that hold calls or a
+    result already, stay. A tool's schema bounds the text by the mean length of its calls'
+    texts, so that longer ones are faults; a null text is one as well. No step gathers a
+    conversation.
+    """
+    chosen = messages.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("role").cast("string"), F.col("text").cast("string"))
+    own = F.coalesce(F.get_json_object("text", "$.tool_calls"), F.get_json_object("text", "$.tool_call_id"))
+    has = F.when(F.ltrim("text").startswith("{"), own).isNotNull()
+    named = F.concat(F.lit("tool_"), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(TOOLS)))
+    back = (F.col("turn") - 2 * (1 + F.pmod(F.xxhash64("text"), F.floor(F.col("turn") / 2)))).cast("string")
+    earlier = F.when(F.col("turn") >= 2, F.struct(back.alias("$ref")))
+    arguments = F.struct("text", F.size(F.split("text", r"\s+")).alias("words"), earlier.alias("earlier"))
+    call = F.struct(F.col("turn").cast("string").alias("id"), named.alias("name"), arguments.alias("arguments"))
+    asked = F.to_json(F.struct(F.array(call).alias("tool_calls")))
+    told = F.to_json(F.struct((F.col("turn") - 1).cast("string").alias("tool_call_id"), F.col("text").alias("content")))
+    text = F.when(has, F.col("text")).when(F.col("role") == "user", asked).when((F.col("role") == "assistant") & F.col("turn").isNotNull(), told).otherwise(F.col("text"))
+    kind = lambda name, **more: F.struct(F.lit(name).alias("type"), *[v.alias(k) for k, v in more.items()])
+    mean = F.ceil(F.avg(F.length("text")))
+    properties = F.struct(kind("string", maxLength=F.col("most")).alias("text"), kind("integer", minimum=F.lit(1)).alias("words"), kind("object").alias("earlier"))
+    schema = F.to_json(F.struct(F.lit("object").alias("type"), F.array(F.lit("text"), F.lit("words")).alias("required"), properties.alias("properties"), F.lit(False).alias("additionalProperties")))
+    tools = chosen.where((F.col("role") == "user") & ~has).groupBy(named.alias("name")).agg(mean.alias("most")).select("name", schema.alias("schema"))
+    return chosen.withColumn("text", text), tools
+
+
 def formatted(messages: DataFrame, tools: DataFrame | None = None) -> DataFrame:
     """Per message: conv_id, turn, role, kind, n_calls, n_linked, level, status, faults, message_json.
 

@@ -55,7 +55,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import op07_chat as op
 
-    return op.formatted(table(spark, sf_dir, "conversations")).withColumn("faults", F.concat_ws("; ", "faults"))
+    return op.formatted(*op.derived(table(spark, sf_dir, "conversations"))).withColumn("faults", F.concat_ws("; ", "faults"))
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

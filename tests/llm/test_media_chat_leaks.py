@@ -2,11 +2,13 @@ import gzip
 import hashlib
 import io
 import json
+import math
 import struct
 import zipfile
 import zlib
 
 import duckdb
+from pyspark.sql import functions as F
 
 from loomgraph.llm import op05_media as media
 from loomgraph.llm import op06_decontaminate as leaks
@@ -119,6 +121,56 @@ def test_chat(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_chat_derived_against_brute_force(spark):
+    rows = [(c, t, role, text) for c, n in ((1, 8), (2, 5), (3, 1)) for t, role, text in [(t, ("user", "assistant")[t % 2], f"text {'of some words ' * (c * t % 5)}{t}") for t in range(n)]]
+    rows += [(4, 0, "system", "be brief"), (4, 1, "user", None), (4, 2, "assistant", "yes"), (4, 3, "assistant", "no call"), (None, 0, "user", "who"), (5, None, "user", "when"), (5, None, "assistant", "then"), (6, 0, "user", "{not json")]
+    rows += [(7, 0, "user", json.dumps({"tool_calls": [{"id": "own", "name": "own"}]})), (7, 1, "tool", json.dumps({"tool_call_id": "own"})), (8, 40, "user", "far " * 50)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    messages, tools = chat.derived(clashing(df))
+    schemas = {r.name: json.loads(r.schema) for r in tools.collect()}
+    texts = {(r.conv_id, r.turn, r.role): r.text for r in messages.collect()}
+    assert texts[4, 0, "system"] == "be brief" and texts[7, 0, "user"] == rows[-3][3] and texts[5, None, "assistant"] == "then"
+    made = {k: json.loads(v)["tool_calls"][0] for k, v in texts.items() if k[2] == "user"}
+    lengths = {}
+    for c, t, role, text in rows:
+        if role == "user" and c != 7:
+            lengths.setdefault(made[c, t, role]["name"], []).append(text and len(text))
+    for name, own in lengths.items():
+        own = [x for x in own if x is not None]
+        assert schemas[name]["properties"]["text"].get("maxLength") == (math.ceil(sum(own) / len(own)) if own else None)
+    want = []
+    for c, t, role, text in rows:
+        calls = {y for x, y, r in texts if x == c and r == "user" and y is not None and c is not None}
+        results = {y - 1 for x, y, r in texts if x == c and r == "assistant" and y is not None}
+
+        def level(x):
+            ref = made[c, x, "user"]["arguments"].get("earlier")
+            assert (ref is None) == (x < 2) and (ref is None or int(ref["$ref"]) in range(x % 2, x, 2))
+            return 1 + level(int(ref["$ref"])) if ref and int(ref["$ref"]) in calls else 0
+
+        if c == 7:
+            want.append((c, t, ("call", "result")[t], "linked", 0, False))
+        elif role == "user":
+            wrong = text is None or len(text) > schemas[made[c, t, role]["name"]]["properties"]["text"]["maxLength"]
+            status = "unnamed" if t is None or c is None else "invalid" if wrong else "linked" if t in results else "unanswered"
+            want.append((c, t, "call", status, None if status == "unnamed" else level(t), wrong))
+        elif role == "assistant" and t is not None:
+            want.append((c, t, "result", "linked" if t - 1 in calls else "orphan", level(t - 1) if t - 1 in calls else None, False))
+        else:
+            want.append((c, t, "plain", None, None, False))
+    got = [(r.conv_id, r.turn, r.kind, r.status, r.level, bool(r.faults)) for r in chat.formatted(messages, tools).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {w[3] for w in want} >= {"invalid", "linked", "unanswered", "orphan", "unnamed"} and max(w[4] or 0 for w in want) >= 2
+    assert chat.formatted(*chat.derived(df.limit(0))).count() == 0
+
+
+def test_chat_query_makes_calls(spark, sf):
+    from loomgraph.llm import queries
+
+    kinds = {r.kind: r for r in queries.op7_chat(spark, sf).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("faults") != "").alias("faulty")).collect()}
+    assert kinds["call"].n > kinds["call"].faulty > 0 and kinds["result"].n > 0
+
+
 def test_schema_faults():
     schema = {"type": "object", "properties": {"n": {"type": "number", "minimum": 1}, "s": {"enum": ["a"]}, "l": {"items": {"type": "string"}, "maxItems": 2}}, "required": ["n"], "additionalProperties": False}
     assert chat.faults({"n": 2, "s": "a", "l": ["x"]}, schema) == []
