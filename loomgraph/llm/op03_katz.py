@@ -1,17 +1,18 @@
-"""LM scoring: a Katz backoff bigram model over words.
+"""LM scoring: a Katz backoff model over words, of any order.
 
-P(w | h) is d(c) c / c(h) for a bigram seen c times, d being the Good-Turing discount of
-its count, and alpha(h) P(w) for one not seen, alpha being exactly what makes P(. | h) sum
-to 1. P(w) is (c + DELTA) / (N + DELTA (V + 1)), with one share for all unknown words. A
-history is the word before, or the document's beginning; a document's end is a token.
+P(w | h) is d(c) c / c(h) for an n-gram seen c times, d being its order's Good-Turing
+discount of its count, and alpha(h) P(w | h') for one not seen, h' being h without its first
+word and alpha exactly what makes P(. | h) sum to 1; after a history never seen, alpha is 1.
+P(w) is (c + DELTA) / (N + DELTA (V + 1)), with one share for all unknown words. A history
+of order n is the n - 1 words before, less where the document begins; its end is a token.
 
-Counting and scoring share one exchange. Every chunk of documents sends its distinct words
-and bigrams with their local counts, packed by hash bucket. A bucket sums them, names one
+Counting and scoring share one exchange. Every chunk of documents sends its distinct n-grams
+of each order with their local counts, packed by hash bucket. A bucket sums them, names one
 owner for each, and answers the chunks that have less than the whole count, by the key's
-place in what they sent. The answers are a table partitioned by the n-gram's order. From the bigrams that it owns, a chunk sends
-each history's seen count, discounts and lower-order mass; buckets of histories turn the
-sums into backoff weights, the third partition. Then each chunk scores its documents token
-by token: bigram, else weight times unigram, else weight times unknown.
+place in what they sent. The answers are a table partitioned by the n-gram's order. Then, order by order, as a
+lower-order mass needs the weights below it: from the n-grams that it owns, a chunk sends each
+history's seen count, discounts and lower-order mass; buckets of histories turn the sums into
+backoff weights. At last each chunk scores its documents token by token through all orders.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import WordHashes, bucket_cuts, buckets_for, by_chunk, chunked, mixed, runs_of, texts, written
 
 DELTA, TOP, CHUNK_BYTES = 0.1, 5, 6_000_000
+#: Unit of the lower-order mass above bigrams: whole numbers, so that sums don't hang on their order.
+UNIT = 2.0**62
 BEGIN, END = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
 _cache = WordHashes(3)
 _ZSTD = pa.Codec("zstd")
@@ -47,7 +50,7 @@ def unpack(b: bytes, kind: type) -> np.ndarray:
 class Tokens:
     """Tokens of a chunk's documents as hashes, each document's words and then its end."""
 
-    def __init__(self, rows: list[bytes], held: np.ndarray, places: np.ndarray):
+    def __init__(self, rows: list[bytes], held: np.ndarray, places: np.ndarray, order: int):
         self.places = places
         words = [t.lower().split() for t in rows]
         self.sizes = np.array([len(w) + 1 for w in words], np.int64)
@@ -58,10 +61,12 @@ class Tokens:
         is_word[ends - 1] = False
         self.token[is_word] = _cache.of([w for ws in words for w in ws])
         self.token[ends - 1] = END
-        self.before = np.concatenate([[BEGIN], self.token[:-1]]).astype(np.uint64)
-        self.before[self.starts] = BEGIN
         self.learn = np.repeat(~held, self.sizes)
-        self.pair = mixed(self.before, self.token)
+        self.gram, self.history = {1: self.token}, {}
+        for k in range(2, order + 1):  # a history is the n-gram one order below that ends before
+            self.history[k] = np.concatenate([[BEGIN], self.gram[k - 1][:-1]]).astype(np.uint64)
+            self.history[k][self.starts] = BEGIN
+            self.gram[k] = mixed(self.history[k], self.token)
 
 
 def distinct(x: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +98,7 @@ def _answer(rows: list[dict]) -> pa.Table:
 
 
 def _summed(key, rows):
-    """One bucket of words or bigrams: whole counts to the chunks that lack some, and the bucket's statistics."""
+    """One bucket of the n-grams of an order: whole counts to the chunks that lack some, and the bucket's statistics."""
     kind, bucket = key[0].as_py(), key[1].as_py()
     keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("keys")]
     counts = np.concatenate([unpack(x.as_py(), np.uint32) for x in rows.column("counts")]).astype(np.uint64)
@@ -145,7 +150,7 @@ def _told(answers: pa.Table, kind: int, buckets: int, t: Tokens, x: np.ndarray)
 
 
 def discounts(often: list[int]) -> np.ndarray:
-    """Good-Turing discount of counts 1..TOP from the numbers of bigrams seen 1..TOP+1 times (Katz).
+    """Good-Turing discount of counts 1..TOP from the numbers of n-grams seen 1..TOP+1 times (Katz).
 
     Where the numbers can't give one strictly between 0 and 1, r / (r + 1/2).
     """
@@ -160,7 +165,7 @@ def discounts(often: list[int]) -> np.ndarray:
     return d
 
 
-def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Learns from the documents that aren't held out (null: not) and scores all. A null text is
@@ -171,64 +176,91 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     table, chunk = chunked(chosen, CHUNK_BYTES, place="place")
     words = table.select(F.sum(F.length("text") / 6 + 1)).first()[0] or 0
-    n_words, n_pairs = buckets_for(spark, words / 6), buckets_for(spark, words)
+    n_words, n_grams = buckets_for(spark, words / 6), buckets_for(spark, words)
+    buckets = {k: n_words if k == 1 else n_grams for k in range(1, order + 1)}
 
     def read(rows) -> Tokens:
-        return Tokens([x for c in rows.column("text").chunks for x in texts(c)], np.array(rows.column("held_out").to_pylist(), bool), np.asarray(rows.column("place")))
+        return Tokens([x for c in rows.column("text").chunks for x in texts(c)], np.array(rows.column("held_out").to_pylist(), bool), np.asarray(rows.column("place")), order)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in by_chunk(batches, chunk):
             t = read(rows)
             part = int(t.places[0]), len(rows)
-            yield _sent(1, number, *distinct(t.token, t.learn), n_words, *part)
-            yield _sent(2, number, *distinct(t.pair, t.learn), n_pairs, *part)
+            for k, n in buckets.items():
+                yield _sent(k, number, *distinct(t.gram[k], t.learn), n, *part)
 
     sent = table.mapInArrow(send, SENT)
     counts = written(sent.groupBy("kind", "bucket").applyInArrow(_summed, ANSWER), "counts", by="kind")
     stats = {r["kind"]: r for r in counts.where("chunk IS NULL").groupBy("kind").agg(F.sum("seen").alias("seen"), F.sum("total").alias("total"), *[F.sum(F.col("often")[i]).alias(f"n{i}") for i in range(TOP + 1)]).collect()}
     total = stats[1]["total"] if 1 in stats else 0
     norm = total + DELTA * ((stats[1]["seen"] if 1 in stats else 0) + 1)
-    d = discounts([stats[2][f"n{i}"] for i in range(TOP + 1)] if 2 in stats else [0] * (TOP + 1))
+    d = {k: discounts([stats[k][f"n{i}"] for i in range(TOP + 1)] if k in stats else [0] * (TOP + 1)) for k in range(2, order + 1)}
     answers = counts.where("chunk IS NOT NULL").select(*TOLD)
 
-    def histories(key, rows, told):
-        if not len(rows):
-            return pa.Table.from_batches([_sent(3, 0, np.zeros(0, np.uint64), np.zeros((0, 3 + TOP), np.uint64), 1)])
-        t = read(rows.sort_by("place"))
-        uni, c_uni, _ = _told(told, 1, n_words, t, t.token)
-        _, c_pair, own = _told(told, 2, n_pairs, t, t.pair)
-        _, at = np.unique(t.pair, return_index=True)
-        h = np.unique(t.before)
-        at, c = at[own], c_pair[own]
-        of = np.searchsorted(h, t.before[at])
-        lower = c_uni[np.searchsorted(uni, t.token[at])]
-        sums = np.zeros((len(h), 3 + TOP), np.uint64)
-        for i, x in enumerate((c, lower, np.ones(len(c), np.uint64))):
-            np.add.at(sums[:, i], of, x)
-        few = c <= TOP
-        np.add.at(sums, (of[few], 2 + c[few].astype(np.int64)), np.uint64(1))
-        return pa.Table.from_batches([_sent(3, key[0].as_py(), h, sums, n_words)])
-
-    def weights(key, rows):
-        """Backoff weight of each history of a bucket, to each chunk that has it, in the chunk's order."""
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("keys")]
-        sums = np.concatenate([_rows(x.as_py(), 3 + TOP) for x in rows.column("counts")])
-        sizes, keys = [len(k) for k in keys], np.concatenate(keys)
-        order = np.argsort(keys, kind="stable")
-        start = runs_of(keys[order])
-        whole = np.add.reduceat(sums[order], start)
-        count, lower, seen, low = whole[:, 0].astype(float), whole[:, 1].astype(float), whole[:, 2].astype(float), whole[:, 3:].astype(float)
-        cut = low @ (np.arange(1, TOP + 1) * (1 - d[1:]))
-        spare = np.where((cut > 0) | (count == 0), count, count + 1)  # nothing discounted: one count is set aside
-        left = np.where(cut > 0, cut, 1) / np.maximum(spare, 1)
-        alpha = np.where(count > 0, left / np.maximum(1 - (lower + DELTA * seen) / norm, 1e-300), 1.0)
-        back = np.empty((len(keys), 2))
-        back[order] = np.repeat(np.stack([spare, alpha], axis=1), np.diff(np.append(start, len(keys))), axis=0)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        return _answer([{"kind": 3, "bucket": key[0].as_py(), "chunk": c, "counts": pack(back[at[i] : at[i + 1], 0].astype(np.uint64)), "alpha": pack(back[at[i] : at[i + 1], 1])} for i, c in enumerate(rows.column("chunk").to_pylist())])
-
-    asked = table.groupBy(chunk).cogroup(answers.groupBy("chunk")).applyInArrow(histories, SENT)
-    backoff = written(asked.groupBy("bucket").applyInArrow(weights, ANSWER), "backoff").select(*TOLD)
+    def chances(t: Tokens, told: pa.Table, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Count of each token's n-gram and the token's probability, by order, each from the one below."""
+        for k in range(1, upto + 1):
+            keys, count, _ = _told(told, k, buckets[k], t, t.gram[k])
+            c = count[np.searchsorted(keys, t.gram[k])]
+            if k == 1:
+                p = (c + DELTA) / norm
+            else:
+                parts = sorted((r["bucket"], r["counts"], r["alpha"]) for r in told.filter(pa.compute.equal(told.column("kind"), -k)).select(["bucket", "counts", "alpha"]).to_pylist())
+                spare = np.concatenate([unpack(x[1], np.uint64) for x in parts]).astype(float)
+                alpha = np.concatenate([unpack(x[2], float) for x in parts])
+                of = np.searchsorted(np.unique(t.history[k]), t.history[k])
+                own = d[k][np.minimum(c, TOP + 1).astype(np.int64) % (TOP + 1)] * c  # counts over TOP: d[0] = 1
+                p = np.where(c > 0, own / np.maximum(spare[of], 1), alpha[of] * p)
+            yield c, p
+
+    def histories(k: int):
+        def work(key, rows, told):
+            n = n_words if k == 2 else n_grams
+            if not len(rows):
+                return pa.Table.from_batches([_sent(-k, 0, np.zeros(0, np.uint64), np.zeros((0, 3 + TOP), np.uint64), 1)])
+            t = read(rows.sort_by("place"))
+            *_, (c_low, p_low) = chances(t, told, k - 1)
+            _, count, own = _told(told, k, buckets[k], t, t.gram[k])
+            _, at = np.unique(t.gram[k], return_index=True)
+            h = np.unique(t.history[k])
+            at, c = at[own], count[own]
+            of = np.searchsorted(h, t.history[k][at])
+            lower = c_low[at] if k == 2 else np.rint(p_low[at] * UNIT).astype(np.uint64)
+            sums = np.zeros((len(h), 3 + TOP), np.uint64)
+            for i, x in enumerate((c, lower, np.ones(len(c), np.uint64))):
+                np.add.at(sums[:, i], of, x)
+            few = c <= TOP
+            np.add.at(sums, (of[few], 2 + c[few].astype(np.int64)), np.uint64(1))
+            return pa.Table.from_batches([_sent(-k, key[0].as_py(), h, sums, n)])
+
+        return work
+
+    def weights(k: int):
+        def work(key, rows):
+            """Backoff weight of each history of a bucket, to each chunk that has it, in the chunk's order."""
+            keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("keys")]
+            sums = np.concatenate([_rows(x.as_py(), 3 + TOP) for x in rows.column("counts")])
+            sizes, keys = [len(k) for k in keys], np.concatenate(keys)
+            order = np.argsort(keys, kind="stable")
+            start = runs_of(keys[order])
+            whole = np.add.reduceat(sums[order], start)
+            count, lower, seen, low = whole[:, 0].astype(float), whole[:, 1].astype(float), whole[:, 2].astype(float), whole[:, 3:].astype(float)
+            cut = low @ (np.arange(1, TOP + 1) * (1 - d[k][1:]))
+            spare = np.where((cut > 0) | (count == 0), count, count + 1)  # nothing discounted: one count is set aside
+            left = np.where(cut > 0, cut, 1) / np.maximum(spare, 1)
+            mass = (lower + DELTA * seen) / norm if k == 2 else lower / UNIT
+            alpha = np.where(count > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
+            back = np.empty((len(keys), 2))
+            back[order] = np.repeat(np.stack([spare, alpha], axis=1), np.diff(np.append(start, len(keys))), axis=0)
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            return _answer([{"kind": -k, "bucket": key[0].as_py(), "chunk": c, "counts": pack(back[at[i] : at[i + 1], 0].astype(np.uint64)), "alpha": pack(back[at[i] : at[i + 1], 1])} for i, c in enumerate(rows.column("chunk").to_pylist())])
+
+        return work
+
+    both = answers
+    for k in range(2, order + 1):
+        asked = table.groupBy(chunk).cogroup(both.where(F.col("kind") <= k).groupBy("chunk")).applyInArrow(histories(k), SENT)
+        both = both.unionByName(written(asked.groupBy("bucket").applyInArrow(weights(k), ANSWER), "backoff").select(*TOLD))
 
     def score(key, rows, told):
         names = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
@@ -236,22 +268,12 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
             return pa.table({k: pa.array([], v) for k, v in names.items()})
         rows = rows.sort_by("place")
         t = read(rows)
-        uni, c_uni, _ = _told(told, 1, n_words, t, t.token)
-        pairs, c_pair, _ = _told(told, 2, n_pairs, t, t.pair)
-        c_uni, c_pair = c_uni[np.searchsorted(uni, t.token)], c_pair[np.searchsorted(pairs, t.pair)]
-        h = np.unique(t.before)
-        parts = sorted((r["bucket"], r["counts"], r["alpha"]) for r in told.filter(pa.compute.equal(told.column("kind"), 3)).to_pylist())
-        spare = np.concatenate([unpack(p[1], np.uint64) for p in parts]).astype(float)
-        alpha = np.concatenate([unpack(p[2], float) for p in parts])
-        of = np.searchsorted(h, t.before)
-        base = np.log10((c_uni + DELTA) / norm)
-        own = d[np.minimum(c_pair, TOP + 1).astype(np.int64) % (TOP + 1)] * c_pair  # counts over TOP: d[0] = 1
-        with np.errstate(divide="ignore"):
-            whole = np.where(c_pair > 0, np.log10(own) - np.log10(np.maximum(spare[of], 1)), np.log10(alpha[of]) + base)
+        by_order = list(chances(t, told, order))
+        (c_uni, base), (_, whole) = by_order[0], by_order[-1]
+        base, whole = np.log10(base), np.log10(whole)
         add = lambda x: np.add.reduceat(x, t.starts)
         return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(t.sizes), "n_known": pa.array(add((c_uni > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(rows), total), pa.int64()), "base_score": pa.array(add(base)), "score": pa.array(add(whole))})
 
-    both = answers.unionByName(backoff)
     return table.groupBy(chunk).cogroup(both.groupBy("chunk")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 

@@ -31,7 +31,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import op03_katz as op
 
-    return op.scored(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+    return op.scored(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0, order=3)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

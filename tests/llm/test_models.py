@@ -96,6 +96,47 @@ def test_katz_against_brute_force(spark, monkeypatch, chunk):
     assert sorted((*tuple(r)[:5], round(r.base_score, 6), round(r.score, 6)) for r in got) == want
 
 
+@pytest.mark.parametrize("chunk, order", [(400, 3), (10_000_000, 3), (1000, 4)])
+def test_katz_orders_against_recursion(spark, monkeypatch, chunk, order):
+    monkeypatch.setattr(katz, "CHUNK_BYTES", chunk)
+    rows = prose(60) + [(100 + i, t) for i, t in awkward()[:4]] + [(200, "ka lora mi ka lora mi te ka lora mi")] * 2
+    held = lambda i: i is not None and i % 3 == 0
+    docs = [(i, [*(t or "").lower().split(), None]) for i, t in rows]
+    grams = {k: collections.Counter() for k in range(1, order + 1)}
+    padded = lambda w: ["<s>"] * (order - 1) + w
+    for i, w in docs:
+        for k, c in grams.items():
+            if not held(i):
+                c.update(tuple(padded(w)[j - k + 1 : j + 1]) for j in range(order - 1, len(w) + order - 1))
+    n, norm = sum(grams[1].values()), sum(grams[1].values()) + 0.1 * (len(grams[1]) + 1)
+    seen = collections.defaultdict(dict)
+    for k in range(2, order + 1):
+        for g, c in grams[k].items():
+            seen[g[:-1]][g[-1]] = c
+    ds = {k: katz.discounts([sum(c == r for c in grams[k].values()) for r in range(1, katz.TOP + 2)]) for k in range(2, order + 1)}
+    known = {}
+
+    def p(h, w):
+        if (h, w) in known:
+            return known[h, w]
+        if not h:
+            return (grams[1][(w,)] + 0.1) / norm
+        here, cut = seen.get(h), lambda c: ds[len(h) + 1][c] if c <= katz.TOP else 1.0
+        if not here:
+            return p(h[1:], w)
+        total = sum(here.values()) + all(cut(c) == 1 for c in here.values())
+        if w in here:
+            out = cut(here[w]) * here[w] / total
+        else:
+            out = (1 - sum(cut(c) * c for c in here.values()) / total) * p(h[1:], w) / (1 - sum(p(h[1:], x) for x in here))
+        known[h, w] = out
+        return out
+
+    score = lambda w: sum(math.log10(p(tuple(padded(w)[j : j + order - 1]), x)) for j, x in enumerate(w))
+    got = sorted((r.doc_id, r.n_tokens, r.train_tokens, round(r.score, 6)) for r in katz.scored(clashing(frame(spark, rows)), F.col("doc_id") % 3 == 0, order=order).collect())
+    assert got == sorted((i, len(w), n, round(score(w), 6)) for i, w in docs)
+
+
 def test_katz_empty(spark):
     assert katz.scored(frame(spark, []), F.lit(False)).count() == 0
     one = katz.scored(frame(spark, [(1, "a b"), (None, None)]), F.lit(True)).collect()
