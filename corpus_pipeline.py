@@ -34,7 +34,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    return op06_decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return op06_decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), short=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

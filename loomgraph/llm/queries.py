@@ -49,7 +49,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import op06_decontaminate as op
 
-    return op.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return op.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

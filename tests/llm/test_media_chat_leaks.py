@@ -81,6 +81,17 @@ def test_containment_against_sql(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {r[0] for r in got}
 
 
+def test_short_items(spark):
+    docs = [(1, "The answer: Blue WHALE, of course"), (2, "blue, then whale"), (3, "whale"), (4, None), (5, "a blue whale"), (6, "blue"), (7, "whale blue"), (8, "is it so? yes")]
+    items = [(1, "blue whale"), (2, "Whale!"), (3, "it so yes"), (4, "..."), (5, None), (6, "is it so yes"), (7, "the answer blue whale of course"), (8, "whale blue whale blue")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    split = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    want = sorted((d, i) for d, t in docs for i, x in items if (n := len(split(x))) and any(split(t)[k : k + n] == split(x) for k in range(len(split(t)))))
+    got = leaks.matches(clashing(frame(spark, docs)), bench, short=True).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == want and all(r.containment == 1 for r in got)
+    assert {r.doc_id for r in leaks.decontaminated(frame(spark, docs), bench, short=True).collect()} == {i for i, _ in docs} - {d for d, _ in want}
+
+
 def test_containment_in_blocks(spark, monkeypatch):
     docs, items = prose(60), [(i, t) for i, t in prose(30)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
