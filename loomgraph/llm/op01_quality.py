@@ -23,6 +23,8 @@ from loomgraph.llm.common import free_name, texts, written
 
 #: Bound of the training sample: about as many documents, those with the smallest hashes of text and id.
 TRAIN_DOCS = 20_000
+#: Longer words are hashed in consecutive pieces of so many bytes.
+PIECE = 48
 DIMENSIONS, EPOCHS, REJECT_BELOW = 1 << 16, 200, 0.5
 GOOD, BAD, NONE = 2, 1, 0
 #: Those that only ever say "bad" or nothing, then those that say either.
@@ -67,7 +69,7 @@ class Shapes(dict):
         if len(self) >= 400_000:
             self.clear()
         kinds, shape = word.translate(_SHAPE), bytearray()
-        for c in kinds[:40] + kinds[-8:] if len(kinds) > 48 else kinds:
+        for c in kinds:
             if not shape or shape[-1] != c:
                 shape.append(c)
         got = self[word] = xxhash.xxh32_intdigest(bytes(shape), 1) % (DIMENSIONS - 2)
@@ -83,8 +85,9 @@ def features(text: bytes) -> tuple[int, np.ndarray, np.ndarray]:
     if not words:
         return votes(text, words, 0), np.array([DIMENSIONS - 1]), np.ones(1, np.float32)
     repeated = sum(map(bytes.__eq__, words[1:], words[:-1]))
-    ids, counts = np.unique(np.fromiter(map(_shapes.__getitem__, words), np.int64, len(words)), return_counts=True)
-    return votes(text, words, repeated), np.append(ids, DIMENSIONS - 2), np.append(np.sqrt(counts / len(words)), np.sqrt(repeated / len(words))).astype(np.float32)
+    pieces = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)] if max(map(len, words)) > PIECE else words
+    ids, counts = np.unique(np.fromiter(map(_shapes.__getitem__, pieces), np.int64, len(pieces)), return_counts=True)
+    return votes(text, words, repeated), np.append(ids, DIMENSIONS - 2), np.append(np.sqrt(counts / len(pieces)), np.sqrt(repeated / len(words))).astype(np.float32)
 
 
 def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[dict[int, float], np.ndarray, float]:

@@ -21,6 +21,13 @@ def test_quality_separates_junk(spark):
     assert kept == {i for i, _ in good}
 
 
+def test_quality_sees_whole_long_words():
+    clean, junk = b"a" * 2000, b"a" * 960 + b"#A$1" * 20 + b"a" * 960
+    assert quality.features(clean)[1].tolist() != quality.features(junk)[1].tolist()
+    same = quality.features(b"short words only, " + b"x" * 48)
+    assert np.isclose((same[2][:-1] ** 2).sum(), 1) and np.isclose((quality.features(junk)[2][:-1] ** 2).sum(), 1)
+
+
 def test_quality_awkward(spark):
     df = clashing(frame(spark, awkward()))
     out = quality.accepted(df)
