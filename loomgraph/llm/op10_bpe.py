@@ -3,7 +3,8 @@
 Each leaf of the tree is an adjacent pair, keyed by (merge rank, position); the
 root is thus the leftmost pair of lowest rank. A merge changes three leaves, each
 in logarithmic time, until the root is no mergeable pair. Pre-tokens repeat, so a
-worker keeps the ids of those it has seen lately.
+worker keeps the ids of those it has seen lately; the trees of the short ones that
+are new are worked on together, a row each.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import json
 import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,7 +27,14 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: No pair, larger than any key.
 NONE = 1 << 62
 SPACE = re.compile(r" (?=\S)")
-CACHED, CACHED_LENGTH = 300_000, 64
+CACHED, CACHED_LENGTH = 600_000, 64
+#: Leaves up to which pre-tokens are merged in numpy together, leaves of a block of them, and characters encoded at once.
+TOGETHER, BLOCK, AT_ONCE = 128, 1 << 19, 4_000_000
+
+
+def tree_size(n: int) -> int:
+    """Leaves of the tree for n tokens: the power of two that holds their n - 1 pairs."""
+    return 1 << max(n - 2, 0).bit_length()
 
 
 def byte_letters() -> dict[int, str]:
@@ -47,6 +57,9 @@ class Bpe:
         merges = [(vocab[a] << 20 | vocab[b], vocab[a + b]) for a, b in pairs]
         self.rank = {pair: rank for rank, (pair, _) in enumerate(merges)}
         self.joined = [into for _, into in merges]
+        by_pair = sorted(self.rank.items())
+        self.pairs, self.pair_rank = (np.array(x or [-1], np.int64) for x in ([p for p, _ in by_pair], [r for _, r in by_pair]))
+        self.first_ids, self.joined_ids, self.none = np.array(self.first), np.array(self.joined or [0]), len(merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.bytes = {i: bytes(back[c] for c in token) for token, i in vocab.items()}
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
@@ -56,6 +69,12 @@ class Bpe:
         self.tokens: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge rank of each pair of ids; `self.none` where there is no such merge."""
+        pair = left << 20 | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.pair_rank[at], self.none)
+
     def merged(self, data: bytes) -> list[int]:
         """Ids of one pre-token's bytes, by the segment tree.
 
@@ -66,8 +85,7 @@ class Bpe:
         ids, n = [self.first[b] for b in data], len(data)
         if n < 2:
             return ids
-        rank, size, shift = self.rank.get, 1 << (n - 1).bit_length() - 1, n.bit_length()
-        size = size if size >= n - 1 else 2 * size
+        rank, size, shift = self.rank.get, tree_size(n), n.bit_length()
         tree = [NONE] * size
         tree += [r << shift | i if (r := rank(ids[i] << 20 | ids[i + 1])) is not None else NONE for i in range(n - 1)]
         tree += [NONE] * (2 * size - len(tree))
@@ -101,41 +119,127 @@ class Bpe:
                     tree[p] = a if a < b else b
         return [i for i in ids if i >= 0]
 
-    def token(self, word: str) -> bytes:
-        """Ids of one pre-token, as little-endian 32-bit integers."""
-        ids = self.merged(word.encode())
-        got = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= CACHED_LENGTH:
-            if len(self.tokens) >= CACHED:
-                self.tokens.clear()
-            self.tokens[word] = got
-        return got
+    def merged_together(self, words: list[bytes], size: int) -> list[bytes]:
+        """Packed ids of pre-tokens of 2 to size + 1 bytes: one segment tree of `size` leaves a row.
 
-    def part(self, part: str) -> bytes:
-        """Ids of what follows one space, with that space."""
-        kept, token = self.tokens.get, self.token
-        got = b"".join([kept(w) or token(w) for w in self.split(" " + part)])
-        if len(part) <= CACHED_LENGTH:
-            if len(self.parts) >= CACHED:
-                self.parts.clear()
-            self.parts[part] = got
+        The steps are those of `merged`, each taken by every row that still has a mergeable pair.
+        """
+        count, width, shift = len(words), size + 2, size.bit_length() + 1
+        lengths = np.fromiter(map(len, words), np.int64, count)
+        inside = np.arange(width) < lengths[:, None]
+        ids = np.full((count, width), -1, np.int64)
+        ids[inside] = self.first_ids[np.frombuffer(b"".join(words), np.uint8)]
+        place = np.arange(size)
+        leaf = np.where(place + 1 < lengths[:, None], self.ranks(ids[:, :size], ids[:, 1 : size + 1]), self.none)
+        tree = np.full((count, 2 * size), NONE, np.int64)
+        tree[:, size:] = np.where(leaf == self.none, NONE, leaf << shift | place)
+        level = size
+        while level > 1:
+            tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+            level //= 2
+        after = np.tile(np.arange(1, width + 1), (count, 1))
+        before = np.tile(np.arange(-1, width - 1), (count, 1))
+        tree, ids, after, before = tree.ravel(), ids.ravel(), after.ravel(), before.ravel()
+        rows = np.arange(count)
+        while True:
+            top = tree[rows * (2 * size) + 1]
+            going = top != NONE
+            rows, top = rows[going], top[going]
+            if not len(rows):
+                break
+            at, root, n = rows * width, rows * (2 * size), lengths[rows]
+            i = top & ((1 << shift) - 1)
+            j = after[at + i]
+            k = after[at + j]
+            own = self.joined_ids[top >> shift]
+            ids[at + i], ids[at + j] = own, -1
+            after[at + i], before[at + np.minimum(k, width - 1)] = k, i
+            j = np.minimum(j, size - 1)
+            tree[root + size + j] = NONE
+            r = np.where(k < n, self.ranks(own, ids[at + np.minimum(k, width - 1)]), self.none)
+            tree[root + size + i] = np.where(r == self.none, NONE, r << shift | i)
+            h = before[at + i]
+            has = h >= 0
+            h = np.where(has, h, i)
+            r = self.ranks(ids[at + h], own)
+            tree[root + size + h] = np.where(has, np.where(r == self.none, NONE, r << shift | h), tree[root + size + h])
+            nodes = [size + j, size + i, size + h]
+            for _ in range(size.bit_length() - 1):
+                nodes = [x >> 1 for x in nodes]
+                for x in nodes:
+                    tree[root + x] = np.minimum(tree[root + 2 * x], tree[root + 2 * x + 1])
+        left = ids >= 0
+        ends = np.cumsum(left.reshape(count, width).sum(axis=1)) * 4
+        packed = ids[left].astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def merged_all(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of each pre-token: short ones by their trees' size together, long ones alone."""
+        got: dict[str, bytes] = {}
+        sized: dict[int, list[tuple[str, bytes]]] = {}
+        for word in words:
+            data = word.encode()
+            if 2 <= len(data) <= TOGETHER + 1:
+                sized.setdefault(tree_size(len(data)), []).append((word, data))
+            else:
+                ids = self.merged(data)
+                got[word] = struct.pack(f"<{len(ids)}I", *ids)
+        for size, members in sized.items():
+            step = max(1, BLOCK // size)
+            for lo in range(0, len(members), step):
+                names, data = zip(*members[lo : lo + step])
+                got.update(zip(names, self.merged_together(list(data), size)))
         return got
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text, as little-endian 32-bit integers; special tokens in it count as such.
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian 32-bit integers; special tokens in it count as such.
 
-        A space before a character that is no white space always begins a pre-token, so the
-        text is cut there first, and parts that repeat are looked up.
+        A space before a character that is no white space always begins a pre-token, so texts
+        are cut there first. Parts not seen lately are cut into pre-tokens, and the pre-tokens
+        not seen lately are merged together.
         """
-        out, kept, part = [], self.parts.get, self.part
-        for piece in self.cut.split(text) if self.cut else [text]:
-            if piece in self.special:
-                out.append(self.special[piece].to_bytes(4, "little"))
-            elif piece:
-                first, *rest = SPACE.split(piece)
-                out += [self.token(w) for w in self.split(first)]
-                out += [kept(p) or part(p) for p in rest]
-        return b"".join(out)
+        plans: list[list] = []  # ids of a special token, the pre-tokens that begin a piece, or the parts after spaces
+        parts, tokens, missing = self.parts, self.tokens, set()
+        cut: dict[str, list[str]] = {}
+        for text in texts:
+            plan: list = []
+            for piece in self.cut.split(text) if self.cut else [text]:
+                if piece in self.special:
+                    plan.append(self.special[piece].to_bytes(4, "little"))
+                elif piece:
+                    begin, *rest = SPACE.split(piece)
+                    begin = self.split(begin)
+                    missing.update(w for w in begin if w not in tokens)
+                    got = list(map(parts.get, rest))
+                    if None in got:
+                        cut.update((p, []) for p, g in zip(rest, got) if g is None)
+                    plan.append((begin, rest, got))
+            plans.append(plan)
+        for p in cut:
+            cut[p] = words = self.split(" " + p)
+            missing.update(w for w in words if w not in tokens)
+        fresh = self.merged_all(list(missing))
+        token = lambda w: tokens[w] if w in tokens else fresh[w]
+        new = {p: b"".join(map(token, words)) for p, words in cut.items()}
+        out = []
+        for plan in plans:
+            row: list[bytes] = []
+            for step in plan:
+                if isinstance(step, bytes):
+                    row.append(step)
+                else:
+                    begin, rest, got = step
+                    row += map(token, begin)
+                    row += [g or new[p] for p, g in zip(rest, got)] if None in got else got
+            out.append(b"".join(row))
+        for kept, more in ((tokens, fresh), (parts, new)):
+            kept.update((w, ids) for w, ids in more.items() if len(w) <= CACHED_LENGTH)
+            for w in list(islice(kept, len(kept) - CACHED // 2)) if len(kept) > CACHED else ():  # the older half goes
+                del kept[w]
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the ids' text; bytes that are no UTF-8 become U+FFFD."""
@@ -153,6 +257,19 @@ def loaded(path: str) -> Bpe:
     return _loaded[path]
 
 
+def at_once(column: pa.Array) -> Iterator[list[str]]:
+    """A column's texts, in lists of about AT_ONCE characters; a missing text is empty."""
+    part, size = [], 0
+    for x in column:
+        part.append(x.as_py() or "")
+        size += len(part[-1])
+        if size >= AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of each text (little-endian 32-bit binary). A null text is encoded as empty.
 
@@ -164,7 +281,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for b in batches:
-            got = pa.array([bpe.encode(x or "") for x in b.column(at).to_pylist()], pa.binary())
+            got = pa.array([x for part in at_once(b.column(at)) for x in bpe.encode_all(part)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, ids])
 
     return kept.mapInArrow(work, T.StructType([*kept.schema.fields, T.StructField(ids, T.BinaryType())]))
@@ -196,11 +313,11 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
         bpe = loaded(path)
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for x in b.column(1):
-                ids = bpe.encode(x.as_py() or "")
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            for part in at_once(b.column(1)):
+                for ids in bpe.encode_all(part):
+                    n.append(len(ids) // 4)
+                    ids_sha.append(hashlib.sha256(ids).hexdigest())
+                    text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
