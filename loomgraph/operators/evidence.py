@@ -1,11 +1,20 @@
-"""Evidence text: rendering, ordering, budgets and candidates."""
+"""Evidence text: relevance, order, rendering, budgets, candidates, and the whole bundle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import text as t
 from loomgraph.functions.vocab import FRAMES
+from loomgraph.operators import graph
+from loomgraph.storage import materialised
+
+KEYS = ["graph_id", "question_id"]
+#: The headings of evidence text, and what is said where there is none.
+HEADING, CANDIDATES = "=== CONTEXT GRAPH EVIDENCE ===", "=== DISCOVERED PATH CANDIDATES ==="
+UNKNOWN, UNLINKED = "No matching context graph entries found.", "No event assertions linked to this entity."
+CONTEXT = "raw string, start_year bigint, end_year bigint, location string, region string, source string, confidence double, speculative boolean"
 
 
 def role_meanings(spark: SparkSession) -> DataFrame:
@@ -13,28 +22,155 @@ def role_meanings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, r.lstrip(":"), m) for s, roles in FRAMES.items() for r, m in roles.items()], "sense string, role string, meaning string")
 
 
-def rendered(bindings: DataFrame, spark: SparkSession) -> DataFrame:
-    """(graph_id, event_id, block): one line an event with its roles, their meanings and entities."""
-    told = bindings.join(F.broadcast(role_meanings(spark)), ["sense", "role"], "left").withColumn("meaning", F.coalesce("meaning", F.lit("")))
-    part = F.struct("role", "entity", F.concat("role", F.when(F.col("meaning") == "", "").otherwise(F.concat(F.lit("["), "meaning", F.lit("]"))), F.lit("="), "entity").alias("text"))
-    roles = told.groupBy("graph_id", "event_id", "sense").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+def role_place(role: Column) -> Column:
+    """Where a role is shown: ARG0 to ARG5, then modifiers, then others."""
+    bare = F.upper(F.regexp_replace(role, "^:", ""))
+    return F.when(bare.rlike("^ARG[0-5]$"), F.substring(bare, 4, 1).cast("int")).when(bare.startswith("ARGM"), 10).otherwise(20)
+
+
+def _told(bindings: DataFrame, spark: SparkSession) -> DataFrame:
+    return bindings.join(F.broadcast(role_meanings(spark)), ["sense", "role"], "left").withColumn("meaning", F.coalesce("meaning", F.lit("")))
+
+
+def context_lines(*, provenance: bool = False) -> Column:
+    """Lines of an event's envelopes, from columns raw to speculative; a default provenance is left out unless asked."""
+    known = lambda c: F.col(c).isNotNull() & (F.col(c) != -1)
+    span = F.when(F.col("start_year") != F.col("end_year"), F.concat(F.lit("["), "start_year", F.lit("-"), "end_year", F.lit("]"))).otherwise(F.concat(F.lit("["), "start_year", F.lit("]")))
+    raw = F.coalesce("raw", F.lit(""))
+    time = F.when(known("start_year") & known("end_year"), F.rtrim(F.concat(F.lit("  Temporal Scope: "), raw, F.lit(" "), span))).when(raw != "", F.concat(F.lit("  Temporal Scope: "), raw))
+    region = F.coalesce("region", F.lit(""))
+    place = F.when(F.coalesce("location", F.lit("")) != "", F.concat(F.lit("  Spatial Scope: "), "location", F.when(region != "", F.concat(F.lit(" ("), region, F.lit(")"))).otherwise("")))
+    sure = (F.col("confidence") >= 1.0) & ~F.col("speculative")
+    status = F.when(F.col("speculative") | (F.col("confidence") < 0.6), "[SPECULATIVE]").otherwise("[VERIFIED]")
+    said = F.concat(F.lit("  Epistemic Envelope: Source='"), F.coalesce("source", F.lit("Unattributed")), F.lit("', Certainty="), F.bround(F.col("confidence") * 100).cast("int"), F.lit("% "), status)
+    shown = F.col("confidence").isNotNull() & (F.lit(provenance) | ~sure)
+    return F.array_compact(F.array(time, place, F.when(shown, said)))
+
+
+def rendered(bindings: DataFrame, spark: SparkSession, contexts: DataFrame | None = None, discourse: DataFrame | None = None) -> DataFrame:
+    """(graph_id, event_id, block): an event's roles in their order, with meanings and entities; then its envelopes' and links' lines.
+
+    contexts: graph_id, event_id, raw, start_year, end_year, location, region, source,
+    confidence, speculative, one row an event. discourse: graph_id, src_event, dst_event, relation.
+    """
+    part = F.struct(role_place(F.col("role")).alias("at"), "role", "entity", F.concat("role", F.when(F.col("meaning") == "", "").otherwise(F.concat(F.lit("["), "meaning", F.lit("]"))), F.lit("="), "entity").alias("text"))
+    roles = _told(bindings, spark).groupBy("graph_id", "event_id", "sense").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["text"]), "; ")
-    return roles.select("graph_id", "event_id", F.concat(F.lit("- ["), "event_id", F.lit("] "), F.split_part("sense", F.lit("."), F.lit(1)), F.lit(" ("), "sense", F.lit("): "), text).alias("block"))
+    line = F.concat(F.lit("- ["), "event_id", F.lit("] "), F.split_part("sense", F.lit("."), F.lit(1)), F.lit(" ("), "sense", F.lit("): "), text)
+    out, lines = roles, [F.array(line)]
+    if contexts is not None:
+        out, lines = out.join(contexts, ["graph_id", "event_id"], "left"), [*lines, context_lines()]
+    if discourse is not None:
+        said = discourse.groupBy("graph_id", F.col("src_event").alias("event_id")).agg(F.sort_array(F.collect_list(F.concat(F.lit("  Discourse: --"), "relation", F.lit("--> ["), "dst_event", F.lit("]")))).alias("links"))
+        out, lines = out.join(said, ["graph_id", "event_id"], "left"), [*lines, F.coalesce("links", F.array().cast("array<string>"))]
+    return out.select("graph_id", "event_id", F.array_join(F.concat(*lines), "\n").alias("block"))
+
+
+def triples(bindings: DataFrame) -> DataFrame:
+    """(graph_id, event_id, block): the first role's entity with every other one, as plain triples."""
+    part = F.struct(role_place(F.col("role")).alias("at"), "role", "entity")
+    names = bindings.groupBy("graph_id", "event_id", "sense").agg(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["entity"]).alias("names"))
+    lemma, first = F.split_part("sense", F.lit("."), F.lit(1)), F.element_at("names", 1)
+    row = lambda other: F.concat(F.lit("- ("), first, F.lit(", "), lemma, F.lit(", "), other, F.lit(")"))
+    return names.select("graph_id", "event_id", F.when(F.size("names") == 1, row(F.lit("-"))).otherwise(F.array_join(F.transform(F.slice("names", F.lit(2), F.size("names") - 1), row), "\n")).alias("block"))
+
+
+def with_relevance(events: DataFrame, questions: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Adds `relevance`: stems that a question shares with an event's frame name and role meanings.
+
+    questions: question_id, text. An event's words hang on its sense and roles alone, so the
+    stems are made once a kind of event, and only the reached events are described.
+    """
+    spark = events.sparkSession
+    asked = questions.select("question_id", t.content_stems(F.col("text")).alias("asked"))
+    mine = bindings.join(events.select("graph_id", "event_id").distinct(), ["graph_id", "event_id"], "left_semi")
+    kinds = mine.groupBy("graph_id", "event_id", "sense").agg(F.sort_array(F.collect_set("role")).alias("roles"))
+    told = kinds.select("sense", "roles").distinct().withColumn("role", F.explode("roles"))
+    words = _told(told, spark).groupBy("sense", "roles").agg(F.concat_ws(" ", F.split_part("sense", F.lit("."), F.lit(1)), F.collect_list("meaning")).alias("words"))
+    stems = words.select("sense", "roles", t.content_stems(F.col("words")).alias("stems"))
+    described = kinds.join(stems, ["sense", "roles"]).select("graph_id", "event_id", "stems")
+    return events.join(described, ["graph_id", "event_id"], "left").join(asked, "question_id", "left").select(*events.columns, F.coalesce(F.size(F.array_intersect("stems", "asked")), F.lit(0)).alias("relevance"))
 
 
-def within_budget(blocks: DataFrame, budget: int, header: int) -> DataFrame:
-    """Blocks by (dist, event_id) while header and lines fit the budget; the first always stays.
+def top_events(events: DataFrame, most: int, order: str = "event_id") -> DataFrame:
+    """A question's first events by (distance, relevance, insertion order), with their `rank`."""
+    per = Window.partitionBy(*KEYS).orderBy("dist", F.col("relevance").desc(), order)
+    return events.withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= most)
+
+
+def within_budget(blocks: DataFrame, budget: int, header: int = len(HEADING)) -> DataFrame:
+    """Blocks by rank while header and lines fit the budget; the first always stays.
 
     Sizes are positive, so what fits is a prefix.
     """
-    per = Window.partitionBy("graph_id", "question_id").orderBy("dist", "event_id")
-    sized = blocks.withColumn("rank", F.row_number().over(per)).withColumn("cum", F.sum(F.length("block") + 1).over(per.rowsBetween(Window.unboundedPreceding, 0)))
+    per = Window.partitionBy(*KEYS).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    sized = blocks.withColumn("cum", F.sum(F.length("block") + 1).over(per))
     return sized.where((F.col("cum") + header <= budget) | (F.col("rank") == 1)).drop("cum")
 
 
-def round_robin(candidates: DataFrame, most: int) -> DataFrame:
-    """Up to `most` entities a question, one from each distance in turn, then by distance."""
-    per = Window.partitionBy("graph_id", "question_id")
-    turns = candidates.withColumn("rn", F.row_number().over(Window.partitionBy("graph_id", "question_id", "dist").orderBy("entity")))
+def candidates(entities: DataFrame, kept: DataFrame, relevance: DataFrame, bindings: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Entities of the kept events but the anchors, with the relevance of the event that they are reached by, and whether it is kept."""
+    named = kept.select(*KEYS, "event_id").join(bindings.select("graph_id", "event_id", "entity").distinct(), ["graph_id", "event_id"]).select(*KEYS, "entity").distinct()
+    open_ = entities.join(named, [*KEYS, "entity"], "left_semi").join(anchors.select(*KEYS, "entity"), [*KEYS, "entity"], "left_anti").withColumn("event_id", F.col("via.event_id"))
+    rated = open_.join(relevance.select(*KEYS, "event_id", "relevance"), [*KEYS, "event_id"], "left").join(kept.select(*KEYS, "event_id", F.lit(True).alias("shown")), [*KEYS, "event_id"], "left")
+    return rated.select(*KEYS, "entity", "dist", "via", F.coalesce("relevance", F.lit(0)).alias("relevance"), F.coalesce("shown", F.lit(False)).alias("shown"))
+
+
+def round_robin(found: DataFrame, most: int) -> DataFrame:
+    """Up to `most` of `candidates` a question, in turns from each distance, then by distance.
+
+    Within a distance the more relevant come first, then those by a kept event, then by name.
+    """
+    per = Window.partitionBy(*KEYS)
+    turns = found.withColumn("rn", F.row_number().over(Window.partitionBy(*KEYS, "dist").orderBy(F.col("relevance").desc(), F.col("shown").desc(), "entity")))
     picked = turns.where(F.col("rn") <= most).withColumn("turn", F.row_number().over(per.orderBy("rn", "dist"))).where(F.col("turn") <= most)
     return picked.withColumn("rank", F.row_number().over(per.orderBy("dist", "rn"))).drop("rn", "turn")
+
+
+def _listed(rows: DataFrame, value: Column, name: str, order: str = "rank") -> DataFrame:
+    return rows.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value.alias("v")))), lambda x: x["v"]).alias(name))
+
+
+def bundle(
+    bindings: DataFrame, anchors: DataFrame, questions: DataFrame, contexts: DataFrame | None = None, discourse: DataFrame | None = None, max_hops: int = 3, hub_degree: int = 25,
+    max_events: int = 40, max_chars: int | None = None, max_candidates: int = 10, roles: bool = True,
+) -> DataFrame:
+    """Evidence about each question: graph_id, question_id, text, event_ids, candidates, anchors, sources, entity_names.
+
+    Events by distance, relevance and insertion order, as many as fit; then the candidates
+    with the paths that reach them. The limits are of the bundle's own making, so a question's
+    rows come together only after them. A question without a known anchor has empty lists; one
+    whose anchors reach no event has no text. `roles=False` tells plain triples and lemmas.
+    """
+    spark = bindings.sparkSession
+    entities, events = graph.explore(bindings, anchors, max_hops, hub_degree)
+    reached = graph.discourse_expanded(events, discourse) if discourse is not None else events
+    rated = materialised(with_relevance(reached, questions, bindings))
+    best = top_events(rated, max_events)
+    mine = bindings.join(best.select("graph_id", "event_id").distinct(), ["graph_id", "event_id"], "left_semi")
+    of = lambda df, column: df if df is None else df.join(best.select("graph_id", F.col("event_id").alias(column)).distinct(), ["graph_id", column], "left_semi")
+    blocks = rendered(mine, spark, of(contexts, "event_id"), of(discourse, "src_event")) if roles else triples(mine)
+    told = best.join(blocks, ["graph_id", "event_id"])
+    kept = materialised(within_budget(told, max_chars) if max_chars is not None else told)
+    known = entities.where("dist = 0 AND via IS NULL").select(*KEYS, "entity")
+    picked = materialised(round_robin(candidates(entities, kept, rated, bindings, known), max_candidates))
+    names = kept.select(*KEYS, "event_id").join(bindings.select("graph_id", "event_id", "entity"), ["graph_id", "event_id"]).groupBy(*KEYS).agg(F.array_sort(F.collect_set("entity")).alias("entity_names"))
+    path = F.concat(F.lit("- Candidate: "), "entity", F.lit(" (Path: "), graph.readable_path(roles), F.lit(")"))
+    parts = [_listed(kept, F.col("block"), "blocks"), _listed(kept, F.col("event_id"), "event_ids"), _listed(picked, F.col("entity"), "candidates"), _listed(picked, path, "paths"), names]
+    parts.append(known.groupBy(*KEYS).agg(F.array_sort(F.collect_set("entity")).alias("anchors")))
+    if contexts is not None:
+        sourced = kept.select(*KEYS, "event_id").join(contexts.select("graph_id", "event_id", "source").where("source <> ''"), ["graph_id", "event_id"])
+        parts.append(sourced.groupBy(*KEYS).agg(F.array_sort(F.collect_set("source")).alias("sources")))
+    out = anchors.select(*KEYS).distinct()
+    for part in parts:
+        out = out.join(part, KEYS, "left")
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>")) if c in out.columns else F.array().cast("array<string>")
+    lines = F.concat(F.array(F.lit(HEADING)), some("blocks"), F.when(F.size(some("paths")) > 0, F.array(F.lit(""), F.lit(CANDIDATES))).otherwise(F.array().cast("array<string>")), some("paths"))
+    text = F.when(F.size(some("blocks")) > 0, F.array_join(lines, "\n")).otherwise("")
+    return out.select(*KEYS, text.alias("text"), *[some(c).alias(c) for c in ("event_ids", "candidates", "anchors", "sources", "entity_names")])
+
+
+def blueprint(bindings: DataFrame, asked: DataFrame, **limits) -> DataFrame:
+    """Evidence text about single entities (graph_id, question_id, entity), with messages where there is none."""
+    found = bundle(bindings, asked, asked.select("question_id", F.lit("").alias("text")).distinct(), **limits)
+    return found.select(*KEYS, F.when(F.size("anchors") == 0, UNKNOWN).when(F.col("text") == "", UNLINKED).otherwise(F.col("text")).alias("text"))

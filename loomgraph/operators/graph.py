@@ -7,11 +7,14 @@ one and the same: it costs nothing to cross. An entity's degree counts its role
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.vocab import IDENTITY_FRAMES
-from loomgraph.storage import materialised
+from loomgraph.storage import fresh_folder, materialised
+
+_STEP = "struct<entity:string,event_id:string,role_in:string,role_out:string,sense:string>"
+_VIA = f"struct<entity:string,event_id:string,role_in:string,role_out:string,sense:string,path:array<{_STEP}>>"
 
 
 def degrees(bindings: DataFrame) -> DataFrame:
@@ -25,44 +28,64 @@ def explore(bindings: DataFrame, anchors: DataFrame, max_hops: int = 3, hub_degr
     anchors: graph_id, question_id, entity. Edges are entity-event-entity and cost 1, or 0
     through an identity event, which is crossed even at the last hop. Entities over
     hub_degree at a distance above 0 are reached but not expanded. Returns (graph_id,
-    question_id, entity, dist) and (graph_id, question_id, event_id, dist); an event's
+    question_id, entity, dist, via) and (graph_id, question_id, event_id, dist); an event's
     distance is the least of its expanded participants'. Anchors that the graph doesn't have
-    reach nothing.
+    reach nothing. `via` is the step by which an entity is reached, null for an anchor: of the
+    steps that reach it first, the least by (entity, event_id, role_in, role_out), and `path`
+    in it the steps before, so that a path never turns in a circle of names.
 
-    A level is closed over identity events before the next unit step; every step is two
-    equi-joins on entity and event, and is written to the shared folder.
+    A level is closed over identity events before the next unit step. Every step is two
+    equi-joins, on entity and on event, and adds its entities to one table in the shared
+    folder; events are found at the end, in one join.
     """
-    keys = ["graph_id", "question_id"]
-    known = materialised(degrees(bindings).withColumnRenamed("degree", "deg"))
-    edges = materialised(bindings.select("graph_id", "event_id", "entity", F.col("sense").isin(*IDENTITY_FRAMES).alias("same")).distinct())
-    members = edges.select("graph_id", "event_id", F.col("entity").alias("member"))
-    start = anchors.select(*keys, "entity").distinct().join(known, ["graph_id", "entity"])
-    settled = materialised(start.select(*keys, "entity", F.lit(0).alias("dist")))
-    frontier, events = settled, None
-
-    def step(frontier: DataFrame, same: bool, cost: int) -> tuple[DataFrame, DataFrame]:
-        open_ = frontier.join(known, ["graph_id", "entity"]).where((F.col("dist") == 0) | (F.col("deg") <= hub_degree))
-        crossed = open_.join(edges.where(F.col("same") == same), ["graph_id", "entity"]).select(*keys, "event_id", "dist").distinct()
-        return crossed, crossed.join(members, ["graph_id", "event_id"]).select(*keys, F.col("member").alias("entity"), (F.col("dist") + cost).alias("dist")).distinct()
+    spark, keys = bindings.sparkSession, ["graph_id", "question_id"]
+    known = degrees(bindings).withColumnRenamed("degree", "deg")
+    edges = materialised(bindings.select("graph_id", "event_id", "entity", "role", "sense", F.col("sense").isin(*IDENTITY_FRAMES).alias("same")).distinct().join(known, ["graph_id", "entity"]))
+    members = edges.select("graph_id", "event_id", F.col("entity").alias("member"), F.col("role").alias("role_out"))
+    has_same = edges.where("same").limit(1).count() > 0
+    folder = fresh_folder(spark, "search")
+    start = anchors.select(*keys, "entity").distinct().join(edges.select("graph_id", "entity").distinct(), ["graph_id", "entity"], "left_semi")
+    start.select(*keys, "entity", F.lit(0).alias("dist"), F.lit(None).cast(_VIA).alias("via")).write.parquet(f"{folder}/step=0")
+    schema, steps = f"graph_id {bindings.schema['graph_id'].dataType.simpleString()}, question_id {anchors.schema['question_id'].dataType.simpleString()}, entity string, dist int, via {_VIA}, step int", 0
+    reached = lambda: spark.read.schema(schema).parquet(folder)
+
+    def step(frontier: DataFrame, same: bool, cost: int) -> bool:
+        """Adds what the frontier reaches that wasn't reached before; whether there is any."""
+        nonlocal steps
+        steps += 1
+        crossed = frontier.join(edges.where(F.col("same") == same), ["graph_id", "entity"]).where((F.col("dist") == 0) | (F.col("deg") <= hub_degree))
+        path = F.concat(F.coalesce(F.col("via.path"), F.array().cast(f"array<{_STEP}>")), F.when(F.col("via").isNull(), F.array().cast(f"array<{_STEP}>")).otherwise(F.array(F.col("via").dropFields("path"))))
+        via = F.struct("entity", "event_id", F.col("role").alias("role_in"), "role_out", "sense", path.alias("path"))
+        found = crossed.join(members, ["graph_id", "event_id"]).where("member <> entity").groupBy(*keys, "member").agg(F.min(via).alias("via"), F.first("dist").alias("dist"))
+        fresh = found.select(*keys, F.col("member").alias("entity"), (F.col("dist") + cost).alias("dist"), "via").join(reached().select(*keys, "entity"), [*keys, "entity"], "left_anti")
+        fresh.write.parquet(f"{folder}/step={steps}")
+        return reached().where(F.col("step") == steps).limit(1).count() > 0
 
     for hop in range(max_hops + 1):
-        level = frontier
-        while True:  # identity events
-            crossed, found = step(frontier, True, 0)
-            events = crossed if events is None else events.unionByName(crossed)
-            frontier = materialised(found.join(settled, [*keys, "entity"], "left_anti"))
-            if not frontier.limit(1).count():
-                break
-            settled, level = settled.unionByName(frontier), level.unionByName(frontier)
-        if hop == max_hops:
-            break
-        crossed, found = step(level, False, 1)
-        events = events.unionByName(crossed)
-        frontier = materialised(found.join(settled, [*keys, "entity"], "left_anti"))
-        if not frontier.limit(1).count():
+        while has_same and step(reached().where(F.col("step") == steps), True, 0):
+            pass
+        if hop == max_hops or not step(reached().where(F.col("dist") == hop), False, 1):
             break
-        settled = settled.unionByName(frontier)
-    return settled, events.groupBy(*keys, "event_id").agg(F.min("dist").alias("dist"))
+    settled = reached().drop("step")
+    open_ = settled.join(edges, ["graph_id", "entity"]).where(((F.col("dist") == 0) | (F.col("deg") <= hub_degree)) & (F.col("same") | (F.col("dist") < max_hops)))
+    return settled, open_.groupBy(*keys, "event_id").agg(F.min("dist").alias("dist"))
+
+
+def path_parts(roles: bool = True) -> Column:
+    """Names and steps from the anchor to an entity of `explore`; a step by its roles and sense, or by its lemma."""
+    steps = F.when(F.col("via").isNotNull(), F.concat("via.path", F.array(F.col("via").dropFields("path")))).otherwise(F.array().cast(f"array<{_STEP}>"))
+    said = (lambda s: F.concat(s["role_in"], F.lit("<-["), s["sense"], F.lit("]->"), s["role_out"])) if roles else (lambda s: F.split_part(s["sense"], F.lit("."), F.lit(1)))
+    return F.concat(F.flatten(F.transform(steps, lambda s: F.array(s["entity"], said(s)))), F.array("entity"))
+
+
+def readable_path(roles: bool = True) -> Column:
+    return F.array_join(path_parts(roles), " | ")
+
+
+def reachable(entities: DataFrame) -> DataFrame:
+    """Entities of `explore` but the anchors, with their path and rank by (distance, name)."""
+    per = Window.partitionBy("graph_id", "question_id").orderBy("dist", "entity")
+    return entities.where("via IS NOT NULL").select("graph_id", "question_id", "entity", "dist", path_parts().alias("path")).withColumn("rank", F.row_number().over(per))
 
 
 def discourse_expanded(events: DataFrame, discourse: DataFrame) -> DataFrame:

@@ -50,7 +50,27 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.lit("g").alias("graph_id"), F.col("n_nationkey").cast("long").alias("question_id"), F.explode(both).alias("a")).select("graph_id", "question_id", "a.place", "a.entity")
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, text."""
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("question_id"), F.concat(F.lit("Where was the supply of parts located in "), "n_name", F.lit(" that customers bought?")).alias("text"))
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time and provenance of purchases, and places of suppliers."""
+    o, s, n = (table(spark, sf_dir, x) for x in ("orders", "supplier", "nation"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    sure = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.75).otherwise(0.5)
+    bought = o.select(F.lit("g").alias("graph_id"), tag("buy", "o_orderkey").alias("event_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("raw"), F.year("o_orderdate").cast("long").alias("start_year"), F.year(F.date_add("o_orderdate", 60)).cast("long").alias("end_year"), none("string", "location"), none("string", "region"), F.col("o_orderpriority").alias("source"), sure.alias("confidence"), F.col("o_orderpriority").startswith("5").alias("speculative"))
+    placed = s.join(n, s.s_nationkey == n.n_nationkey).select(F.lit("g").alias("graph_id"), tag("at:supplier", "s_suppkey").alias("event_id"), none("string", "raw"), none("long", "start_year"), none("long", "end_year"), F.col("n_name").alias("location"), F.when(F.col("s_suppkey") % 2 == 0, tag("region", "n_regionkey")).alias("region"), F.lit("").alias("source"), none("double", "confidence"), none("boolean", "speculative"))
+    return bought.unionByName(placed)
+
+
+CONTEXTS_SQL = """contexts AS (
+  SELECT 'buy:' || o_orderkey AS event_id, strftime(o_orderdate, '%Y-%m-%d') AS raw, year(o_orderdate) AS start_year, year(o_orderdate + INTERVAL 60 DAY) AS end_year, CAST(NULL AS VARCHAR) AS location, CAST(NULL AS VARCHAR) AS region, o_orderpriority AS source,
+    CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.75 ELSE 0.5 END AS confidence, starts_with(o_orderpriority, '5') AS speculative FROM orders
+  UNION ALL SELECT 'at:supplier:' || s_suppkey, NULL, NULL, NULL, n_name, CASE WHEN s_suppkey % 2 = 0 THEN 'region:' || n_regionkey END, '', NULL, NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 SQL = """
+questions AS (SELECT n_nationkey AS question_id, 'Where was the supply of parts located in ' || n_name || ' that customers bought?' AS text FROM nation),
 pairs AS (
   SELECT 'buy.01' AS sense, 'buy:' || o_orderkey AS event_id, 'ARG0' AS r1, 'customer:' || o_custkey AS e1, 'ARG1' AS r2, 'order:' || o_orderkey AS e2 FROM orders
   UNION ALL SELECT 'contain.01', 'contain:' || l_orderkey || ':' || l_partkey, 'ARG0', 'order:' || l_orderkey, 'ARG1', 'part:' || l_partkey FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import vocab as v
 from loomgraph.operators import evidence, graph
 from loomgraph.plans import fixture
+from loomgraph.plans.text_queries import _STEM, lists
 from loomgraph.session import table
 
 HOPS, HUB, TOP = 3, 300, 40
@@ -29,10 +31,48 @@ def g2_event_distance(spark: SparkSession, sf: str) -> DataFrame:
     return _explored(spark, sf)[1].select("question_id", "event_id", "dist")
 
 
+def _rated(spark, sf):
+    b = fixture.bindings(spark, sf)
+    return evidence.with_relevance(_explored(spark, sf)[1], fixture.questions(spark, sf), b)
+
+
+def e3_relevance(spark: SparkSession, sf: str) -> DataFrame:
+    """Stems that each question shares with the events that it reaches."""
+    return _rated(spark, sf).select("question_id", "event_id", "relevance")
+
+
 def k1_top_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagship: the nearest events to each nation, ranked."""
-    per = Window.partitionBy("question_id").orderBy("dist", "event_id")
-    return _explored(spark, sf)[1].select("question_id", "event_id", "dist").withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= TOP)
+    """Flagship: the events nearest to each nation, the more relevant first, ranked."""
+    return evidence.top_events(_rated(spark, sf), TOP).select("question_id", "event_id", "dist", "relevance", "rank")
+
+
+def g4_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """How each entity is reached, with roles and by lemma only."""
+    return _explored(spark, sf)[0].select("question_id", "entity", "dist", graph.readable_path().alias("path"), graph.readable_path(False).alias("plain"))
+
+
+def g5_reachable(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities by distance and name."""
+    found = graph.explore(fixture.bindings(spark, sf), _names(spark, sf), 2, HUB)[0]
+    return graph.reachable(found).select("question_id", "entity", "dist", "rank", F.array_join("path", " | ").alias("path"))
+
+
+def g7_blueprint(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence text about regions, one that isn't known, and one of no reach."""
+    r = table(spark, sf, "region").select(F.lit("g").alias("graph_id"), F.col("r_regionkey").cast("long").alias("question_id"), fixture.tag("region", "r_regionkey").alias("entity"))
+    asked = r.unionByName(r.select("graph_id", (F.col("question_id") + 100).alias("question_id"), F.concat(F.lit("lost:"), "entity").alias("entity")))
+    b = fixture.bindings(spark, sf)
+    return evidence.blueprint(b, asked, max_hops=1, hub_degree=HUB, max_events=10).select("question_id", "text")
+
+
+def e1_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence about every nation's question, with envelopes, links, candidates and their paths."""
+    out = evidence.bundle(fixture.bindings(spark, sf), _names(spark, sf), fixture.questions(spark, sf), fixture.contexts(spark, sf), _discourse(spark, sf), HOPS, HUB, TOP, 3000, 10)
+    return out.select("question_id", "text", *[F.array_join(c, "|").alias(c) for c in ("event_ids", "candidates", "sources", "entity_names")])
+
+
+def e2a_triples(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.triples(fixture.bindings(spark, sf)).select("event_id", "block")
 
 
 def _sources(spark, sf):
@@ -110,20 +150,25 @@ def s5_discourse_write(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k2_evidence_budget(spark: SparkSession, sf: str) -> DataFrame:
-    """The nearest purchases as text, up to a budget of characters."""
-    near = _explored(spark, sf)[1]
-    b = fixture.bindings(spark, sf).join(near.select("event_id").distinct(), "event_id", "left_semi")
+    """The first events as text, up to a budget of characters."""
+    best = evidence.top_events(_rated(spark, sf), TOP)
+    b = fixture.bindings(spark, sf).join(best.select("event_id").distinct(), "event_id", "left_semi")
     blocks = evidence.rendered(b, spark)
-    return evidence.within_budget(near.join(blocks, ["graph_id", "event_id"]), 1500, 30).select("question_id", "event_id", "dist", "rank", "block")
+    return evidence.within_budget(best.join(blocks, ["graph_id", "event_id"]), 1500).select("question_id", "event_id", "dist", "rank", "block")
 
 
 def k3_round_robin(spark: SparkSession, sf: str) -> DataFrame:
-    found = _explored(spark, sf)[0].where("dist > 0")
-    return evidence.round_robin(found, 10).select("question_id", "entity", "dist", "rank")
+    """Candidates among the entities of the first events."""
+    b, anchors = fixture.bindings(spark, sf), _names(spark, sf)
+    entities, events = graph.explore(b, anchors, HOPS, HUB)
+    rated = evidence.with_relevance(events, fixture.questions(spark, sf), b)
+    found = evidence.candidates(entities, evidence.top_events(rated, TOP), rated, b, anchors)
+    return evidence.round_robin(found, 10).select("question_id", "entity", "dist", "relevance", "rank")
 
 
 def e2_rendered_events(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.rendered(fixture.bindings(spark, sf), spark).select("event_id", "block")
+    """Every event's lines, with its envelopes and links."""
+    return evidence.rendered(fixture.bindings(spark, sf), spark, fixture.contexts(spark, sf), _discourse(spark, sf)).select("event_id", "block")
 
 
 def s3_graph_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,12 +184,78 @@ def _sql(*steps: str) -> str:
 
 _WALK = fixture.walk_sql(NAMES, HOPS, HUB)
 _MEANING = " WHEN ".join(f"sense = '{s}' AND role = '{r}' THEN '{m}'" for s, r, m in (("locate.01", "ARG1", "thing located"), ("locate.01", "ARG2", "location"), ("alias.01", "ARG0", "entity"), ("alias.01", "ARG1", "alternative name of the same entity")))
-_BLOCKS = f"""blocks AS (SELECT event_id, '- [' || event_id || '] ' || split_part(sense, '.', 1) || ' (' || sense || '): ' || string_agg(role || CASE WHEN meaning = '' THEN '' ELSE '[' || meaning || ']' END || '=' || entity, '; ' ORDER BY role, entity) AS block
-  FROM (SELECT *, CASE WHEN {_MEANING} ELSE '' END AS meaning FROM bindings) GROUP BY event_id, sense)"""
+_ROLES = f"""told AS (SELECT *, CASE WHEN {_MEANING} ELSE '' END AS meaning FROM bindings),
+lines AS (SELECT event_id, '- [' || event_id || '] ' || split_part(sense, '.', 1) || ' (' || sense || '): ' || string_agg(role || CASE WHEN meaning = '' THEN '' ELSE '[' || meaning || ']' END || '=' || entity, '; ' ORDER BY role, entity) AS line FROM told GROUP BY event_id, sense)"""
+_BLOCKS = _ROLES + ", blocks AS (SELECT event_id, line AS block FROM lines)"
+_FULL = f"""{_ROLES}, {DISCOURSE_SQL}, links AS (SELECT src_event AS event_id, string_agg(chr(10) || '  Discourse: --:before--> [' || dst_event || ']', '' ORDER BY dst_event) AS said FROM discourse GROUP BY 1),
+full_blocks AS (SELECT event_id, line
+  || CASE WHEN start_year IS NULL THEN '' WHEN start_year <> end_year THEN chr(10) || '  Temporal Scope: ' || raw || ' [' || start_year || '-' || end_year || ']' ELSE chr(10) || '  Temporal Scope: ' || raw || ' [' || start_year || ']' END
+  || CASE WHEN location IS NULL THEN '' ELSE chr(10) || '  Spatial Scope: ' || location || coalesce(' (' || region || ')', '') END
+  || CASE WHEN confidence IS NULL OR confidence >= 1 AND NOT speculative THEN '' ELSE chr(10) || '  Epistemic Envelope: Source=' || chr(39) || source || chr(39) || ', Certainty=' || CAST(confidence * 100 AS INTEGER) || '% ' || CASE WHEN speculative OR confidence < 0.6 THEN '[SPECULATIVE]' ELSE '[VERIFIED]' END END
+  || coalesce(said, '') AS block FROM lines LEFT JOIN contexts USING (event_id) LEFT JOIN links USING (event_id))"""
+
+
+def _stems(text: str) -> str:
+    return f"list_distinct(list_transform(list_filter(regexp_extract_all({text}, '[A-Za-z]+'), lambda w: length(w) > 2 AND lower(w) NOT IN {lists(v.RELEVANCE_STOP)}), lambda w: {_STEM('lower(w)')}))"
+
+
+def _rated_sql(events: str) -> str:
+    return f"""words AS (SELECT event_id, {_stems("split_part(sense, '.', 1) || ' ' || string_agg(meaning, ' ')")} AS stems FROM told GROUP BY event_id, sense),
+rated AS (SELECT e.question_id, e.event_id, e.dist, len(list_intersect(stems, {_stems('q.text')})) AS relevance FROM {events} e JOIN words USING (event_id) JOIN questions q USING (question_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY dist, relevance DESC, event_id) AS rank FROM rated)"""
+
+
+def _via_sql(start: str, hops: int) -> str:
+    """Where and by which step each entity is reached first: `spot` is ten times the distance and the names crossed there."""
+    return f"""steps AS (
+  SELECT question_id, entity, 0 AS d, 0 AS r FROM ({start})
+  UNION
+  SELECT w.question_id, m.entity, CASE WHEN e.sense = 'alias.01' THEN w.d ELSE w.d + 1 END, CASE WHEN e.sense = 'alias.01' THEN w.r + 1 ELSE 0 END
+  FROM steps w JOIN degrees g ON g.entity = w.entity JOIN bindings e ON e.entity = w.entity JOIN bindings m ON m.event_id = e.event_id
+  WHERE (w.d = 0 OR g.degree <= {HUB}) AND CASE WHEN e.sense = 'alias.01' THEN w.r < 3 ELSE w.d < {hops} END),
+firsts AS (SELECT question_id, entity, min(d * 10 + r) AS spot FROM steps GROUP BY 1, 2),
+via AS (SELECT f.question_id, f.entity, f.spot, u.entity AS origin, e.event_id, e.role AS role_in, m.role AS role_out, e.sense
+  FROM firsts f JOIN bindings m ON m.entity = f.entity JOIN bindings e ON e.event_id = m.event_id AND e.entity <> m.entity JOIN firsts u ON u.question_id = f.question_id AND u.entity = e.entity JOIN degrees g ON g.entity = u.entity
+  WHERE f.spot > 0 AND (u.spot < 10 OR g.degree <= {HUB}) AND CASE WHEN e.sense = 'alias.01' THEN f.spot % 10 > 0 AND u.spot = f.spot - 1 ELSE f.spot % 10 = 0 AND u.spot // 10 = f.spot // 10 - 1 END
+  QUALIFY row_number() OVER (PARTITION BY f.question_id, f.entity ORDER BY u.entity, e.event_id, e.role, m.role) = 1),
+paths AS (
+  SELECT question_id, entity, 0 AS dist, spot, entity AS path, entity AS plain FROM firsts WHERE spot = 0
+  UNION ALL
+  SELECT v.question_id, v.entity, CAST(v.spot // 10 AS INTEGER), v.spot, p.path || ' | ' || v.role_in || '<-[' || v.sense || ']->' || v.role_out || ' | ' || v.entity, p.plain || ' | ' || split_part(v.sense, '.', 1) || ' | ' || v.entity
+  FROM via v JOIN paths p ON p.question_id = v.question_id AND p.entity = v.origin)"""
+
+
+def _candidates_sql(kept: str) -> str:
+    return f"""shown AS (SELECT DISTINCT k.question_id, b.entity FROM {kept} k JOIN bindings b USING (event_id)),
+candidates AS (SELECT v.question_id, v.entity, v.spot // 10 AS dist, coalesce(r.relevance, 0) AS relevance, k.event_id IS NOT NULL AS by_kept
+  FROM via v JOIN shown USING (question_id, entity) LEFT JOIN rated r ON r.question_id = v.question_id AND r.event_id = v.event_id LEFT JOIN {kept} k ON k.question_id = v.question_id AND k.event_id = v.event_id),
+turns AS (SELECT *, row_number() OVER (PARTITION BY question_id, dist ORDER BY relevance DESC, by_kept DESC, entity) AS rn FROM candidates),
+picked AS (SELECT question_id, entity, dist, relevance, row_number() OVER (PARTITION BY question_id ORDER BY dist, rn) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rn, dist) AS turn FROM turns) WHERE turn <= 10)"""
+
+
+_VIA = _via_sql(NAMES, HOPS)
+_BEST = f"best AS (SELECT * FROM ranked WHERE rank <= {TOP})"
+_EXPANDED = "expanded AS (SELECT question_id, event_id, dist FROM events_at UNION ALL SELECT e.question_id, dst_event, min(dist) + 1 FROM events_at e JOIN discourse ON src_event = e.event_id WHERE NOT EXISTS (SELECT 1 FROM events_at x WHERE x.question_id = e.question_id AND x.event_id = dst_event) GROUP BY 1, 2)"
+_KEPT = "kept AS (SELECT * FROM (SELECT *, sum(length(block) + 1) OVER (PARTITION BY question_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum FROM best JOIN full_blocks USING (event_id)) WHERE cum + 30 <= 3000 OR rank = 1)"
+_REGIONS = "SELECT r_regionkey AS question_id, 'region:' || r_regionkey AS entity FROM region"
 ORACLES = {
     "g1_explore": _sql(_WALK) + "SELECT question_id, entity, dist FROM dist",
     "g2_event_distance": _sql(_WALK) + "SELECT question_id, event_id, dist FROM events_at",
-    "k1_top_events": _sql(_WALK) + f"SELECT question_id, event_id, dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY dist, event_id) AS rank FROM events_at) WHERE rank <= {TOP}",
+    "e3_relevance": _sql(_WALK, _ROLES, _rated_sql("events_at")) + "SELECT question_id, event_id, relevance FROM rated",
+    "k1_top_events": _sql(_WALK, _ROLES, _rated_sql("events_at")) + f"SELECT question_id, event_id, dist, relevance, rank FROM ranked WHERE rank <= {TOP}",
+    "g4_paths": _sql(_VIA) + "SELECT question_id, entity, dist, path, plain FROM paths",
+    "g5_reachable": _sql(_via_sql(NAMES, 2)) + "SELECT question_id, entity, dist, row_number() OVER (PARTITION BY question_id ORDER BY dist, entity) AS rank, path FROM paths WHERE spot > 0",
+    "g7_blueprint": _sql(fixture.walk_sql(_REGIONS, 1, HUB), _via_sql(_REGIONS, 1), _BLOCKS, _rated_sql("events_at").replace("q.text", "''"), "kept AS (SELECT * FROM ranked JOIN blocks USING (event_id) WHERE rank <= 10)", _candidates_sql("kept"))
+    + f"""SELECT question_id, '{evidence.HEADING}' || chr(10) || b || coalesce(chr(10) || chr(10) || '{evidence.CANDIDATES}' || chr(10) || c, '') AS text FROM (SELECT question_id, string_agg(block, chr(10) ORDER BY rank) AS b FROM kept GROUP BY 1)
+  LEFT JOIN (SELECT p.question_id, string_agg('- Candidate: ' || p.entity || ' (Path: ' || path || ')', chr(10) ORDER BY rank) AS c FROM picked p JOIN paths USING (question_id, entity) GROUP BY 1) USING (question_id)
+  UNION ALL SELECT r_regionkey + 100, '{evidence.UNKNOWN}' FROM region""",
+    "e1_bundle": _sql(_WALK, fixture.CONTEXTS_SQL, _VIA, _FULL, _EXPANDED, _rated_sql("expanded"), _BEST, _KEPT, _candidates_sql("kept"))
+    + f"""SELECT question_id, '{evidence.HEADING}' || chr(10) || b || coalesce(chr(10) || chr(10) || '{evidence.CANDIDATES}' || chr(10) || c, '') AS text, event_ids, coalesce(candidates, '') AS candidates, coalesce(sources, '') AS sources, entity_names
+  FROM (SELECT question_id, string_agg(block, chr(10) ORDER BY rank) AS b, string_agg(event_id, '|' ORDER BY rank) AS event_ids FROM kept GROUP BY 1)
+  LEFT JOIN (SELECT p.question_id, string_agg('- Candidate: ' || p.entity || ' (Path: ' || path || ')', chr(10) ORDER BY rank) AS c, string_agg(p.entity, '|' ORDER BY rank) AS candidates FROM picked p JOIN paths USING (question_id, entity) GROUP BY 1) USING (question_id)
+  LEFT JOIN (SELECT question_id, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM kept JOIN contexts USING (event_id) WHERE source <> '' GROUP BY 1) USING (question_id)
+  LEFT JOIN (SELECT question_id, string_agg(entity, '|' ORDER BY entity) AS entity_names FROM shown GROUP BY 1) USING (question_id)""",
+    "e2a_triples": _sql() + "SELECT a.event_id, '- (' || a.entity || ', ' || split_part(a.sense, '.', 1) || ', ' || b.entity || ')' AS block FROM bindings a JOIN bindings b ON a.event_id = b.event_id AND a.role < b.role",
     "g6_source_distances": _sql(_WALK) + "SELECT question_id, o_orderpriority AS source, min(dist) AS dist FROM events_at JOIN orders ON event_id = 'buy:' || o_orderkey GROUP BY 1, 2",
     "g3_discourse_expansion": _sql(fixture.walk_sql(NAMES, 2, HUB), DISCOURSE_SQL) + "SELECT question_id, event_id, dist FROM events_at UNION ALL SELECT e.question_id, dst_event, min(dist) + 1 FROM events_at e JOIN discourse ON src_event = e.event_id WHERE NOT EXISTS (SELECT 1 FROM events_at x WHERE x.question_id = e.question_id AND x.event_id = dst_event) GROUP BY 1, 2",
     "g8_entity_degree": _sql() + "SELECT entity, degree FROM degrees",
@@ -155,9 +266,9 @@ ORACLES = {
     "p8_specific_anchors": _sql() + "SELECT question_id, entity, degree, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY place) AS rank FROM (SELECT *, max(CASE WHEN degree <= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY question_id) AS any_specific FROM anchors JOIN degrees USING (entity)) WHERE any_specific = 0 OR degree <= 3) WHERE rank <= 4",
     "d1_event_dedup": "SELECT 'buy:' || min(o_orderkey) AS event_id, min(o_orderkey) AS ord FROM orders GROUP BY o_custkey, o_orderpriority, year(o_orderdate)",
     "s5_discourse_write": "WITH kept AS (SELECT 'buy:' || min(o_orderkey) AS e FROM orders GROUP BY o_custkey, o_orderpriority, year(o_orderdate)), " + DISCOURSE_SQL + " SELECT src_event, dst_event, src_event IN (SELECT e FROM kept) AND dst_event IN (SELECT e FROM kept) AS stored FROM discourse",
-    "k2_evidence_budget": _sql(_WALK, _BLOCKS) + "SELECT question_id, event_id, dist, rank, block FROM (SELECT *, row_number() OVER w AS rank, sum(length(block) + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS cum FROM events_at JOIN blocks USING (event_id) WINDOW w AS (PARTITION BY question_id ORDER BY dist, event_id)) WHERE cum + 30 <= 1500 OR rank = 1",
-    "k3_round_robin": _sql(_WALK) + "SELECT question_id, entity, dist, row_number() OVER (PARTITION BY question_id ORDER BY dist, rn) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rn, dist) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY question_id, dist ORDER BY entity) AS rn FROM dist WHERE dist > 0)) WHERE turn <= 10",
-    "e2_rendered_events": _sql(_BLOCKS) + "SELECT event_id, block FROM blocks",
+    "k2_evidence_budget": _sql(_WALK, _BLOCKS, _rated_sql("events_at"), _BEST) + "SELECT question_id, event_id, dist, rank, block FROM (SELECT *, sum(length(block) + 1) OVER (PARTITION BY question_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum FROM best JOIN blocks USING (event_id)) WHERE cum + 30 <= 1500 OR rank = 1",
+    "k3_round_robin": _sql(_WALK, _ROLES, _VIA, _rated_sql("events_at"), _BEST, _candidates_sql("best")) + "SELECT question_id, entity, dist, relevance, rank FROM picked",
+    "e2_rendered_events": _sql(fixture.CONTEXTS_SQL, _FULL) + "SELECT event_id, block FROM full_blocks",
     "s3_graph_scan": _sql() + "SELECT b.event_id, b.role, b.entity, year(o_orderdate) AS start_year FROM bindings b JOIN orders ON b.event_id = 'buy:' || o_orderkey",
 }
-QUERIES = {f.__name__: f for f in (g1_explore, g2_event_distance, k1_top_events, g6_source_distances, g3_discourse_expansion, g8_entity_degree, g9_node_listing, j1_mention_to_entity, j2_adjacency, j4_event_exists, p8_specific_anchors, d1_event_dedup, s5_discourse_write, k2_evidence_budget, k3_round_robin, e2_rendered_events, s3_graph_scan)}
+QUERIES = {f.__name__: f for f in (e1_bundle, e2a_triples, e3_relevance, g4_paths, g5_reachable, g7_blueprint, g1_explore, g2_event_distance, k1_top_events, g6_source_distances, g3_discourse_expansion, g8_entity_degree, g9_node_listing, j1_mention_to_entity, j2_adjacency, j4_event_exists, p8_specific_anchors, d1_event_dedup, s5_discourse_write, k2_evidence_budget, k3_round_robin, e2_rendered_events, s3_graph_scan)}

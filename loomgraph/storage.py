@@ -16,8 +16,18 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/") or f"file://{tempfile.gettempdir()}/loomgraph"
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder; it is deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """Writes a frame to the shared folder and reads it back."""
-    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, "round") + "/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
