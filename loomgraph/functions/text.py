@@ -89,6 +89,7 @@ def lower_first(value: Column) -> Column:
     return F.concat(F.lower(F.substring(text, 1, 1)), F.substring(text, 2, 2**31 - 1))
 
 
+#: The patterns of kinship phrases, possessive names, titles and sentence ends in this module.
 _KIN = f"(?:(?:the|a|an|his|her|their|its|only)\\s+)?(?:[a-z][a-z'-]*\\s+){{0,3}}?({any_of(v.KIN_NOUNS)})"
 
 
@@ -245,17 +246,26 @@ def fold(text: pd.Series) -> pd.Series:
 
 def answer_tokens(answer: Column) -> Column:
     """Tokens of a normalised answer: folded, without punctuation and articles."""
-    text = F.regexp_replace(F.regexp_replace(fold(F.coalesce(answer, F.lit(""))), r"(?U)[^\w\s]", " "), r"(?U)\b(a|an|the)\b", " ")
+    return tokens_of_folded(fold(F.coalesce(answer, F.lit(""))))
+
+
+def tokens_of_folded(folded: Column) -> Column:
+    text = F.regexp_replace(F.regexp_replace(folded, r"(?U)[^\w\s]", " "), r"(?U)\b(a|an|the)\b", " ")
     return F.filter(F.split(F.btrim(text), r"(?U)\s+"), lambda t: t != "")
 
 
+def without_period(text: Column) -> Column:
+    """Text without a sentence's period, which an abbreviation keeps."""
+    last = F.element_at(F.split(F.regexp_replace(text, r"\.$", ""), r"\s+"), -1)
+    final = text.endswith(".") & (F.length(last) > 2) & ~last.contains(".") & ~isin(F.lower(last), v.ABBREVIATIONS)
+    return F.when(final, F.rtrim(F.regexp_replace(text, r"\.$", ""))).otherwise(text)
+
+
 def surface(name: Column) -> Column:
     """Display form of a name: quotes, sentence period, leading words, and trailing parenthesis off; never empty."""
     whole = F.btrim(F.coalesce(name, F.lit("")))
     text = F.btrim(F.btrim(whole, F.lit("\"'“”‘’,;:")))
-    last = F.element_at(F.split(F.regexp_replace(text, r"\.$", ""), r"\s+"), -1)
-    final = text.endswith(".") & (F.length(last) > 2) & ~last.contains(".") & ~isin(F.lower(last), v.ABBREVIATIONS)
-    text = F.when(final, F.rtrim(F.regexp_replace(text, r"\.$", ""))).otherwise(text)
+    text = without_period(text)
     for pattern in (r"(?i)^(?:with|by|from|to|at|for|in|on|as)\s+", r"['’]s$", r"(?i)^(?:the|a|an)\s+", r"(?i)^(?:his|her|their|its)\s+", rf"^(?:{any_of(v.DESCRIPTORS)})\s+(?=[A-Z])", r"\s*\([^)]*\)\s*$"):
         text = F.btrim(F.regexp_replace(text, pattern, ""))
     text = F.regexp_replace(text, r"(?U)\s+", " ")
@@ -269,6 +279,24 @@ def _turned(name: Column) -> Column:
     return F.regexp_replace(shown, admin, "$2 $1")
 
 
+def name_variants(name: Column) -> Column:
+    """A name without possessives, and that without its parentheses; distinct."""
+    base = F.btrim(strip_possessives(name))
+    bare = F.btrim(F.regexp_replace(base, r"\s*\([^)]*\)", ""))
+    return F.array_distinct(F.array(base, F.when(bare != "", bare).otherwise(base)))
+
+
+def name_tokens(text: Column) -> Column:
+    """Folded tokens of a name without possessives and articles."""
+    return F.filter(F.split(fold(strip_possessives(text)), r"(?U)[^\w']+"), lambda x: (x != "") & ~x.isin("the", "a", "an"))
+
+
+def is_subsequence(short: Column, long: Column) -> Column:
+    """Whether an array's elements are in another in their order."""
+    at = F.aggregate(long, F.lit(0), lambda i, x: F.when((i < F.size(short)) & (F.try_element_at(short, i + 1) == x), i + 1).otherwise(i))
+    return at == F.size(short)
+
+
 def _key_of(folded: Column) -> Column:
     every = F.filter(F.split(folded, r"(?U)[^\w]+"), lambda t: t != "")
     text = F.array_join(every, " ")

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from loomgraph.storage import materialised
+
 
 def mean_or_nan(value: Column) -> Column:
     return F.coalesce(F.avg(value), F.lit(float("nan")))
@@ -22,20 +24,31 @@ def draw(key: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint"), n)
 
 
+def numbered(values: DataFrame) -> DataFrame:
+    """Rows of (grp, value) with their place 0..n-1 in their group, by value.
+
+    Sorted over all tasks; a row's place is its partition's offset and its place there, less
+    its group's first, so that no group has to fit one task.
+    """
+    put = materialised(values.select("grp", "value").orderBy("grp", "value").select("grp", "value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")))
+    sizes = put.groupBy("part").agg(F.count("*").alias("size"), F.min("row").alias("first"))  # a row a partition
+    before = sizes.select("part", "first", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    placed = put.join(F.broadcast(before), "part").select("grp", "value", (F.col("before") + F.col("row") - F.col("first")).alias("at"))
+    groups = placed.groupBy("grp").agg(F.min("at").alias("base"), F.count("*").alias("n"))
+    return placed.join(groups, "grp").select("grp", "value", (F.col("at") - F.col("base")).alias("at"), "n")
+
+
 def resampled_means(values: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
-    """(grp, b, mean) of bootstrap resamples of `value` by `grp`; rows need ids i = 0..n-1 in their group.
+    """(grp, b, mean) of bootstrap resamples of `value` by `grp`.
 
-    Draw i of resample b takes the row that a hash of (seed, grp, b, i) names. Equal values
-    count together before the join, and a resample's draws meet them by value range.
+    Draw i of resample b takes the row that a hash of (seed, grp, b, i) names. Every row
+    makes the draws of its own number, so that they spread as the rows do, and a resample's
+    draws are added up before they are exchanged where the rows are few enough to be sent along.
     """
-    per = Window.partitionBy("grp").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    counted = values.groupBy("grp", "value").agg(F.count("*").alias("c"))
-    ranged = counted.withColumn("hi", F.sum("c").over(per)).withColumn("lo", F.col("hi") - F.col("c"))
-    places = ranged.select("grp", "value", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("at"))
-    n = values.groupBy("grp").agg(F.count("*").alias("n"))
-    draws = n.select("grp", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select("grp", "n", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    rows = materialised(numbered(values))
+    draws = rows.select("grp", "n", F.col("at").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
     drawn = draws.select("grp", "b", draw(F.concat_ws(":", F.lit(seed), "grp", "b", "i"), F.col("n")).alias("at"))
-    return drawn.join(places, ["grp", "at"]).groupBy("grp", "b").agg(F.avg("value").alias("mean"))
+    return drawn.join(rows.select("grp", "at", "value"), ["grp", "at"]).groupBy("grp", "b").agg(F.avg("value").alias("mean"))
 
 
 def bootstrap_interval(values: DataFrame, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
@@ -54,17 +67,27 @@ def paired_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 0) -
     return extreme.select("grp", "delta", ((F.col("x") + 1) / (resamples + 1)).alias("p"))
 
 
-@F.pandas_udf(DoubleType())
-def binomial_tail(k: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided exact p of k or fewer of n at one half."""
+def _half_tail(k: int, n: int) -> float:
+    """Chance of k or fewer of n at one half: the incomplete beta function by its continued fraction."""
     import math
 
-    def one(k: int, n: int) -> float:
-        if not n:
-            return 1.0
-        return min(1.0, 2 * sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k + 1)))
+    a, b = n - k, k + 1
+    front = math.exp(math.lgamma(n + 1) - math.lgamma(a) - math.lgamma(b) - n * math.log(2) - math.log(2)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * 0.5 / (a + 1))
+    total = d
+    for m in range(1, 10_000):
+        for num in (m * (b - m) * 0.5 / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * 0.5 / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + num * d), 1 + num / c
+            total *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * total
+
 
-    return pd.Series([one(int(a), int(b)) for a, b in zip(k, n)], dtype=float)
+@F.pandas_udf(DoubleType())
+def binomial_tail(k: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided exact p of k or fewer of n at one half, k being at most half of n."""
+    return pd.Series([min(1.0, 2 * _half_tail(int(a), int(b))) if 2 * a < b else 1.0 for a, b in zip(k, n)], dtype=float)
 
 
 def mcnemar(pairs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from loomgraph.operators import retrieval, stats
 from loomgraph.plans.text_queries import lists
 from loomgraph.session import table
 
-TOP, RESAMPLES = 10, 200
+TOP, RESAMPLES = 10, 10_000
 
 
 def _questions(spark, sf):

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import evaluation_queries, event_queries, graph_queries, text_queries
+from loomgraph.plans import answer_queries, evaluation_queries, event_queries, graph_queries, text_queries
 
-MODULES = (graph_queries, text_queries, evaluation_queries, event_queries)
+MODULES = (graph_queries, text_queries, evaluation_queries, event_queries, answer_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
