@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import answers as a
-from loomgraph.functions import text as t
 from loomgraph.operators import metrics
-from loomgraph.plans.text_queries import over_values
 from loomgraph.session import table
 
 #: Answers as models give them; {} is the true one.
@@ -189,7 +187,7 @@ def f40_annotations(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (f24_matches, f26_scores, f30_clean_answer, f31_final_answer, f32_snapped, f34_outcomes, f38_figures, f40_annotations, p11_gold_in_evidence, p13_has_context, k15_stage_counts, a3_summary, a4_dataset_metrics, a6_usage, a10_costs, a12_judge_usage, a15_axis_totals, j14_scored_predictions, r5_pair_kappa, r7_comparison, r8_annotation_scores)
-} | {"p10_refusals": over_values(refusal=a.is_refusal, status=a.has_status, preamble=a.has_preamble), "p12_modifiers": over_values(modifier=a.is_modifier), "f10_name_variants": over_values(variants=lambda c: F.array_join(t.name_variants(c), "|")), "f11_name_tokens": over_values(tokens=lambda c: F.array_join(t.name_tokens(c), "|")), "f12_subsequence": over_values(inside=lambda c: t.is_subsequence(F.split(F.lower(F.substring(c, 1, 9)), ""), F.split(F.lower(F.concat(F.lit("the "), c)), "")))}
+}
 
 
 def _cased(i: str, given: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import answers
 from loomgraph.functions import text as t
 from loomgraph.functions import vocab as v
 from loomgraph.session import importable, table
@@ -20,16 +21,25 @@ VALUES = (
 )
 
 
-def _values(spark: SparkSession) -> DataFrame:
+#: Names and types in the tables.
+NAMED = (("supplier", "s_name"), ("customer", "c_name"), ("part", "p_name"), ("part", "p_type"), ("nation", "n_name"), ("region", "r_name"), ("orders", "o_orderpriority"))
+
+
+def _values(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated values, the tables' names, and every word of the documents; distinct."""
     importable(spark)
-    return spark.createDataFrame([(x,) for x in VALUES], "v string")
+    out = spark.createDataFrame([(x,) for x in VALUES], "v string")
+    for name, column in NAMED:
+        out = out.unionByName(table(spark, sf, name).select(F.col(column).alias("v")))
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", "[ \\t\\n\\x0B\\f\\r]+")).alias("v"))
+    return out.unionByName(words).distinct()
 
 
 def over_values(**columns):
-    """A query that gives functions' results for the stated values."""
+    """A query that gives functions' results for those values."""
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return _values(spark).select("v", *[f(F.col("v")).alias(k) for k, f in columns.items()])
+        return _values(spark, sf).select("v", *[f(F.col("v")).alias(k) for k, f in columns.items()])
 
     return query
 
@@ -42,7 +52,7 @@ def lists(words) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
-VALUES_SQL = "WITH vals AS (SELECT unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in VALUES) + "]) AS v) "
+VALUES_SQL = "WITH vals AS (SELECT unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in VALUES) + "]) AS v" + "".join(f" UNION SELECT {c} FROM {t}" for t, c in NAMED) + " UNION SELECT unnest(string_split_regex(text, '[ \\t\\n\\v\\f\\r]+')) FROM documents) "
 _STEM = lambda w: "CASE " + " ".join(f"WHEN length({w}) > {len(s) + 2} AND ends_with({w}, '{s}') THEN left({w}, length({w}) - {len(s)})" for s in v.STEM_SUFFIXES) + f" ELSE {w} END"
 _KEY = "trim(regexp_replace(lower(v), '[_\\s]+', ' ', 'g'))"
 _DATE = f"""SELECT v, len(t) > 0 AND len(list_filter(t, lambda x: NOT (regexp_full_match(x, '\\d+') OR x IN {lists(v.DATE_WORDS)}))) = 0
@@ -75,17 +85,13 @@ def c2_order_years(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f6_entity_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Match key, display form and id of the values and of all names in the tables."""
-    names = _values(spark).select("v")
-    for name, column in (("supplier", "s_name"), ("customer", "c_name"), ("part", "p_name"), ("nation", "n_name")):
-        names = names.unionByName(table(spark, sf, name).select(F.col(column).alias("v")))
-    distinct = names.distinct()
-    return distinct.select("v", t.surface(F.col("v")).alias("surface"), t.match_key(F.col("v")).alias("key")).withColumn("id", F.concat(F.lit("ent_"), t.slug(F.col("key"))))
+    """Match key, display form and id of the values."""
+    return _values(spark, sf).select("v", t.surface(F.col("v")).alias("surface"), t.match_key(F.col("v")).alias("key")).withColumn("id", F.concat(F.lit("ent_"), t.slug(F.col("key"))))
 
 
 def f25_answer_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact match and token F1 of each value with its successor's text."""
-    pairs = spark.createDataFrame(list(zip(VALUES, (*VALUES[1:], VALUES[0]))), "predicted string, gold string")
+    """Exact match and token F1 of each value with itself, cut after its first word."""
+    pairs = _values(spark, sf).select(F.col("v").alias("predicted"), F.split_part("v", F.lit(" "), F.lit(1)).alias("gold"))
     a = pairs.withColumn("p", t.answer_tokens(F.col("predicted"))).withColumn("g", t.answer_tokens(F.col("gold")))
     return a.select("predicted", "gold", (F.col("p") == F.col("g")).cast("double").alias("em"), t.token_f1(F.col("p"), F.col("g")).alias("f1"), t.set_f1(F.col("p"), F.col("g")).alias("set_f1"))
 
@@ -97,6 +103,11 @@ QUERIES = {
     "p5_frame_contract": over_values(locates=lambda c: t.frame_accepts(F.lit("locate.01"), c), founds=lambda c: t.frame_accepts(F.lit("found.01"), c), runs=lambda c: t.frame_accepts(F.lit("run.01"), c)),
     "p7_mentionable": over_values(mentionable=t.is_mentionable),
     "p14_capitalised": over_values(capitalised=t.is_capitalised),
+    "f10_name_variants": over_values(variants=lambda c: joined(t.name_variants(c))),
+    "f11_name_tokens": over_values(tokens=lambda c: joined(t.name_tokens(c))),
+    "f12_subsequence": over_values(inside=lambda c: t.is_subsequence(F.split(F.lower(F.substring(c, 1, 9)), ""), F.split(F.lower(F.concat(F.lit("the "), c)), ""))),
+    "p10_refusals": over_values(refusal=answers.is_refusal, status=answers.has_status, preamble=answers.has_preamble),
+    "p12_modifiers": over_values(modifier=answers.is_modifier),
     "f1_possessives": over_values(stripped=t.strip_possessives),
     "f2_fold": over_values(folded=t.fold),
     "f6_entity_keys": f6_entity_keys,
@@ -122,10 +133,40 @@ QUERIES = {
     "w16_document_titles": w16_document_titles,
 }
 _CLEAN = "lower(trim(v))"
-_SENSE = f"trim(regexp_replace(trim(regexp_replace({_CLEAN}, '[.\\-_]\\d{{1,2}}$', '')), '[^\\w\\-]', '_', 'g'), '_-')"
+_SENSE = f"trim(regexp_replace(trim(regexp_replace({_CLEAN}, '[.\\-_]\\d{{1,2}}$', '')), '[^\\p{{L}}\\p{{N}}_\\-]', '_', 'g'), '_-')"
 _REL = f"CASE WHEN starts_with({_CLEAN}, ':') THEN {_CLEAN} ELSE ':' || {_CLEAN} END"
 _ROLE = "CASE " + " ".join(f"WHEN list_has_any(w, {str(list(k))}) THEN '{r}'" for r, k in t.ROLE_WORDS.items()) + " ELSE ':ARG2' END"
+_POSS = "regexp_replace(regexp_replace(v, '([\\p{L}\\p{N}_])[''’]s\\b', '\\1', 'g'), '(s)[''’](\\s|$)', '\\1\\2', 'g')"
+_BASE = f"trim({_POSS})"
+_NO_PAREN = f"trim(regexp_replace({_BASE}, '\\s*\\([^)]*\\)', '', 'g'))"
+_LOWERED = "lower(left(trim(v), 1)) || substr(trim(v), 2)"
+_PLACEHOLDER = f"regexp_matches(lower(v), '\\(({'|'.join(v.INVENTED)})\\)') OR lower(trim(regexp_replace(trim(trim(v), '.,;:\"'''), '^(?:the|a|an)\\s+', '', 'i'))) IN {lists(('', *v.PLACEHOLDERS))}"
+_RELATION = lambda noun: "CASE " + " ".join(f"WHEN {noun} IN {lists([k for k, x in v.KIN_NOUNS.items() if x == r and k not in v.PLURAL_KIN])} THEN '{r}'" for r in ("child", "parent", "spouse", "sibling")) + " END"
+_QUOTED = lambda pattern: pattern.replace("'", "''")
+_KINDRED = _QUOTED(t._KIN)
+
+
+def _parts(x: str) -> str:
+    """Names of a conjoined phrase, or the whole."""
+    parts = f"list_filter(list_transform(string_split_regex({x}, ',\\s*|\\s+and\\s+|\\s*&\\s*'), lambda q: trim(q)), lambda q: q <> '')"
+    return f"CASE WHEN len({parts}) > 1 AND len(list_filter({parts}, lambda q: NOT regexp_matches(q, '^\\p{{Lu}}'))) = 0 THEN {parts} ELSE [trim({x})] END"
+
+
+_NAMES = t._NAME.replace("\\w", "\\p{L}\\p{N}_")
+_OWNER = f"^({_NAMES}(?:\\s+{_NAMES})*)[''’]s\\s+({_NAMES}(?:\\s+(?:of|for|and|the|{_NAMES}))*)$"
 ORACLES = {
+    "f1_possessives": VALUES_SQL + f"SELECT v, {_POSS} AS stripped FROM vals",
+    "f8_conjoined": VALUES_SQL + f"SELECT v, array_to_string({_parts('v')}, '|') AS parts FROM vals",
+    "f10_name_variants": VALUES_SQL + f"SELECT v, CASE WHEN {_NO_PAREN} NOT IN ('', {_BASE}) THEN {_BASE} || '|' || {_NO_PAREN} ELSE {_BASE} END AS variants FROM vals",
+    "f15_kinship_phrase": VALUES_SQL + f""", said AS (SELECT v, regexp_extract({_LOWERED}, '^(?:born|borne)\\s+to\\s+(.+)$', 1) AS born, regexp_extract({_LOWERED}, '^{_KINDRED}\\s+(?:of|to)\\s+(.+)$', 1) AS noun, regexp_extract({_LOWERED}, '^{_KINDRED}\\s+(?:of|to)\\s+(.+)$', 2) AS rest FROM vals),
+  told AS (SELECT v, CASE WHEN born <> '' THEN 'child' WHEN regexp_matches(rest, '^\\p{{Lu}}') THEN {_RELATION('noun')} END AS relation, CASE WHEN born <> '' THEN born ELSE rest END AS target FROM said)
+  SELECT v, relation, CASE WHEN relation IS NOT NULL THEN array_to_string({_parts('target')}, '|') END AS targets FROM told""",
+    "f16_bare_kin_noun": VALUES_SQL + f"SELECT v, {_RELATION(f"regexp_extract({_LOWERED}, '^{_KINDRED}$', 1)")} AS relation FROM vals",
+    "f17_possessive_association": VALUES_SQL + f"SELECT v, nullif(regexp_extract(trim(v), '{_OWNER}', 1), '') AS owner, nullif(regexp_extract(trim(v), '{_OWNER}', 2), '') AS owned FROM vals",
+    "f22_hop_count": VALUES_SQL + "SELECT v, CASE WHEN regexp_matches(v, '^\\dhop') THEN CAST(left(v, 1) AS INTEGER) WHEN split_part(v, '__', 1) = 'double' THEN 2 WHEN split_part(v, '__', 1) = 'triple' THEN 3 WHEN split_part(v, '__', 1) = 'quadruple' THEN 4 ELSE greatest(1, len(regexp_extract_all(CASE WHEN contains(v, '__') THEN substr(v, instr(v, '__') + 2) ELSE v END, '\\d+'))) END AS hops FROM vals",
+    "p7_mentionable": VALUES_SQL + f"SELECT v, length(v) >= 4 AND regexp_matches(v, '\\p{{Lu}}') AND NOT ({_PLACEHOLDER}) AS mentionable FROM vals",
+    "p10_refusals": VALUES_SQL + f"SELECT v, regexp_matches(v, '{_QUOTED(answers.REFUSAL)}') AS refusal, regexp_matches(v, '^\\s*(?:status\\s*:\\s*)?not_in_evidence\\s*$', 'i') AS status, regexp_matches(v, '{_QUOTED(answers.PREAMBLE)}') AS preamble FROM vals",
+    "p12_modifiers": VALUES_SQL + f"SELECT v, lower(v) IN {lists(answers.MODIFIERS)} OR starts_with(lower(v), ':argm-') AS modifier FROM vals",
     "p1_is_date_like": VALUES_SQL + _DATE,
     "p2_numeric_quantity": VALUES_SQL + "SELECT v, regexp_matches(v, '\\d,\\d{3}') AS quantity FROM vals",
     "p3_placeholder": VALUES_SQL + f"SELECT v, regexp_matches(lower(v), '\\(({'|'.join(v.INVENTED)})\\)') OR lower(trim(regexp_replace(trim(trim(v), '.,;:\"'''), '^(?:the|a|an)\\s+', '', 'i'))) IN {lists(('', *v.PLACEHOLDERS))} AS placeholder FROM vals",
