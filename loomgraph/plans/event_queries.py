@@ -1,14 +1,14 @@
-"""Queries of coercion and rewriting over stated payloads, and of graph building over documents."""
+"""Queries of coercion, rewriting, senses, aliases and anchoring, over payloads and questions made of whole tables."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators import coerce, rewrite
-from loomgraph.session import importable
+from loomgraph.operators import aliases, anchoring, coerce, rewrite, senses
+from loomgraph.session import importable, table
 
 #: Payloads in the shapes that extractors give.
 PAYLOADS = (
@@ -24,9 +24,23 @@ PAYLOADS = (
 )
 
 
-def _payloads(spark: SparkSession) -> DataFrame:
+def _stated(spark: SparkSession) -> DataFrame:
     importable(spark)
-    return spark.createDataFrame(list(enumerate(PAYLOADS)), "payload int, raw string")
+    return spark.createDataFrame([(i, p) for i, p in enumerate(PAYLOADS)], "payload bigint, raw string")
+
+
+def _payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """An extraction of each order, in five forms by its key, as JSON."""
+    o, key = table(spark, sf, "orders"), F.col("o_orderkey")
+    person, other, made = F.concat(F.lit("Customer "), "o_custkey"), F.concat(F.lit("Customer "), F.col("o_custkey") + 1), F.concat(F.lit("Order "), key)
+    date, form = F.date_format("o_orderdate", "yyyy-MM-dd"), key % 5
+    second = F.when(form == 0, made).when(form == 1, other).when(form == 2, F.lit("Trader")).when(form == 3, F.lit("Harbor Town, Asia")).otherwise("Lowland")
+    lemma = F.when(form == 0, "inspect").when(form == 1, "Marry").when(form == 2, "be").when(form == 3, "be_located").otherwise("born")
+    said = F.create_map(F.lit(":ARG0"), person, F.lit("ARG1"), second, F.when(form == 0, F.lit(":ARGM-TMP")).otherwise(":manner"), F.when(form == 0, F.date_format("o_orderdate", "yyyy")).when(form == 1, "unknown").otherwise("by hand"))
+    event = F.struct(F.concat(F.lit("e"), key).alias("temp_id"), lemma.alias("lemma"), said.alias("roles"), F.when(form > 0, date).alias("time_context"), F.when(form == 2, "Port Said, Egypt").alias("spatial_context"), F.struct((F.col("o_custkey") % 5 / 4).alias("confidence")).alias("epistemic_context"))
+    link = F.struct(F.concat(F.lit("e"), key).alias("source"), F.concat(F.lit("e"), key + 1).alias("to"), F.when(form == 0, "prior to").when(form == 1, "AFTER").when(form == 2, ":cause").otherwise("so").alias("rel"))
+    body = F.to_json(F.struct(F.array(event).alias("events"), F.array(link).alias("discourse")))
+    return o.select(key.alias("payload"), F.when(key % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body).alias("raw"))
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -35,18 +49,146 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.withColumn("roles", roles).withColumn("time", F.concat_ws(" ", "time_context.raw_expression", "time_context.start_year", "time_context.end_year")).withColumn("place", F.concat_ws(" < ", "spatial_context.location_name", "spatial_context.parent_region"))
 
 
+def _events(payloads: DataFrame) -> DataFrame:
+    return _shown(coerce.events_of(payloads)).select("payload", "event_ord", "temp_id", "lemma", "sense_id", "roles", "time", "place", "epistemic_context.source", "epistemic_context.confidence", "valid")
+
+
 def c10_payload_events(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(coerce.events_of(_payloads(spark))).select("payload", "event_ord", "temp_id", "lemma", "sense_id", "roles", "time", "place", "epistemic_context.source", "epistemic_context.confidence", "valid")
+    return _events(_payloads(spark, sf))
+
+
+def c10_stated_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of payloads in the shapes that go wrong."""
+    return _events(_stated(spark))
 
 
 def c12_discourse(spark: SparkSession, sf: str) -> DataFrame:
-    return coerce.discourse_of(_payloads(spark)).drop("raw")
+    return coerce.discourse_of(_payloads(spark, sf)).drop("raw")
+
+
+def _rewritten(payloads: DataFrame) -> DataFrame:
+    events = coerce.events_of(payloads).withColumn("event_id", F.concat_ws(":", "payload", "event_ord"))
+    done = rewrite.prepared(events, F.lit("Acme Corp"), source=F.lit("an order"))
+    return _shown(done).select("event_id", "derived_ord", "part_ord", "lemma", "sense_id", "roles", "time", "place", "epistemic_context.source")
 
 
 def w0_rewrites(spark: SparkSession, sf: str) -> DataFrame:
-    events = coerce.events_of(_payloads(spark)).withColumn("event_id", F.concat_ws(":", "payload", "event_ord"))
-    return _shown(rewrite.prepared(events, F.lit("Acme Corp"))).select("event_id", "derived_ord", "part_ord", "lemma", "sense_id", "roles", "time", "place")
+    """All rewrites of the orders' events."""
+    return _rewritten(_payloads(spark, sf))
+
+
+def w0_stated_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    return _rewritten(_stated(spark))
+
+
+def w15_role_bindings(spark: SparkSession, sf: str) -> DataFrame:
+    """Roles and places of the orders' events as bindings."""
+    events = coerce.events_of(_payloads(spark, sf)).withColumn("event_id", F.concat_ws(":", "payload", "event_ord"))
+    return rewrite.role_bindings(events)
+
+
+def _rolesets(spark, sf):
+    """A catalog of the parts' nouns, a sense an adjective."""
+    words = table(spark, sf, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("first"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("lemma")).distinct()
+    n = F.row_number().over(Window.partitionBy("lemma").orderBy("first"))
+    roles = F.when(F.col("ord") % 2 == 0, F.create_map(F.lit(":ARG1"), F.col("first"), F.lit(":ARG2"), F.lit("thing"))).otherwise(F.create_map(F.lit(":ARG0"), F.lit("agent"), F.lit(":ARG1"), F.lit("thing made"), F.lit(":ARG3"), F.col("first")))
+    numbered = words.withColumn("ord", n.cast("bigint"))
+    return numbered.select(F.concat("lemma", F.lit("."), F.lpad(F.col("ord").cast("string"), 2, "0")).alias("roleset_id"), "lemma", F.col("first").alias("name"), F.concat(F.lit("a kind of "), "first").alias("description"), roles.alias("roles"), "ord")
+
+
+def _part_events(spark, sf):
+    p, key = table(spark, sf, "part"), F.col("p_partkey")
+    lemma = F.split_part("p_name", F.lit(" "), F.lit(2))
+    return p.select(key.alias("event_id"), F.when(key % 3 == 0, F.upper(lemma)).otherwise(F.concat(F.lit(" "), lemma)).alias("lemma"), F.concat_ws(" ", F.when(key % 2 == 0, F.split_part("p_name", F.lit(" "), F.lit(1))), F.lit("thing"), "p_type").alias("context"))
+
+
+def j6_candidate_senses(spark: SparkSession, sf: str) -> DataFrame:
+    return senses.candidate_senses(_part_events(spark, sf), _rolesets(spark, sf)).select("lemma", "roleset_id", "ord")
+
+
+def a7_disambiguated(spark: SparkSession, sf: str) -> DataFrame:
+    """The sense of each part's noun by what is said with it."""
+    return senses.disambiguated(_part_events(spark, sf), _rolesets(spark, sf))
+
+
+def w14_aligned_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """Some arguments of each part aligned to what every sense of its noun declares."""
+    p, key = table(spark, sf, "part"), F.col("p_partkey")
+    given = F.array_compact(F.array(*[F.when((key / 2**i).cast("bigint") % 2 == 1, F.struct(F.lit(f":ARG{i}").alias("k"), F.concat(F.lit(f"{i}="), "p_name").alias("v"))) for i in range(6)], F.struct(F.lit(":manner").alias("k"), F.lit("fast").alias("v"))))
+    asked = p.select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(2)).alias("lemma"), F.map_from_entries(given).alias("roles"))
+    declared = _rolesets(spark, sf).where("ord <= 2").select("lemma", "roleset_id", senses.slots_of(F.col("roles")).alias("slots"))
+    done = asked.join(declared, "lemma").withColumn("roles", senses.aligned_roles(F.col("roles"), F.col("slots")))
+    return done.select("p_partkey", "roleset_id", F.array_join(F.transform(F.array_sort(F.map_entries("roles")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ").alias("roles"))
+
+
+def f41_role_meanings(spark: SparkSession, sf: str) -> DataFrame:
+    r = _rolesets(spark, sf)
+    return r.select("roleset_id", senses.role_meanings_json(F.create_map(F.lit(":ARG1"), F.lit("x"), F.lit(":ARG2"), F.lit("y"), F.lit(":ARGM-LOC"), F.lit("z")), F.col("roles")).alias("meanings"))
+
+
+def w18_unique_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of orders proposed by priority, made unique a customer."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("graph_id"), F.col("o_orderpriority").alias("event_id"), F.col("o_orderkey").alias("ord"))
+    return senses.unique_ids(o).select("graph_id", "ord", "stored_id")
+
+
+def e4_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that questions about suppliers, nations and documents' words mention."""
+    return anchoring.anchored(*_asked(spark, sf)).select("question_id", "name", "place")
+
+
+def j7_mentioned_names(spark: SparkSession, sf: str) -> DataFrame:
+    return anchoring.mentioned(*_asked(spark, sf)).drop("ord")
+
+
+def _asked(spark, sf):
+    """Questions that name two suppliers, a nation or a region; and all names."""
+    s = table(spark, sf, "supplier")
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    named = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    k = F.col("s_suppkey")
+    text = F.when(k % 4 == 0, F.concat(F.lit("Where is "), "s_name", F.lit("'s store in "), "n_name", F.lit("?"))).when(k % 4 == 1, F.concat(F.lit("Who runs the "), F.initcap("r_name"), F.lit(" Trading House of "), "n_name", F.lit("?"))).when(k % 4 == 2, F.concat(F.lit("Does "), F.initcap("r_name"), F.lit(" Holdings trade with supplier?"))).otherwise(F.concat(F.lit("which "), F.lower("r_name"), F.lit(" firm was it")))
+    names = s.select(F.col("s_name").alias("name")).unionByName(n.select(F.col("n_name").alias("name"))).unionByName(r.select(F.col("r_name").alias("name"))).unionByName(r.select(F.concat(F.initcap("r_name"), F.lit(" Trading House of Goods")).alias("name"))).unionByName(r.select(F.concat(F.initcap("r_name"), F.lit(" Central Holdings")).alias("name"))).unionByName(r.select(F.concat(F.initcap("r_name"), F.lit(" Holdings: A History")).alias("name")))
+    return named.select(k.alias("question_id"), text.alias("text")), names.withColumn("ord", F.crc32("name"))
+
+
+def f18_acronyms(spark: SparkSession, sf: str) -> DataFrame:
+    """Abbreviations that texts define: the documents' own, and those made of names of the tables."""
+    d = table(spark, sf, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), "text")
+    p = table(spark, sf, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.concat(F.lit("In 1990 the "), F.initcap("p_name"), F.lit(" of "), F.initcap("p_type"), F.lit(" ("), F.upper(F.concat(F.substring("p_name", 1, 1), F.substring(F.split_part("p_name", F.lit(" "), F.lit(2)), 1, 1), F.substring("p_type", 1, 1))), F.lit(") began.")).alias("text"))
+    return aliases.mined(d.unionByName(p))
+
+
+_MADE = """made AS (SELECT o_orderkey AS k, o_orderkey % 5 AS form, 'Customer ' || o_custkey AS person, 'Customer ' || (o_custkey + 1) AS other, 'Order ' || o_orderkey AS thing, strftime(o_orderdate, '%Y-%m-%d') AS day, year(o_orderdate) AS y, o_custkey % 5 / 4 AS sure FROM orders),
+said AS (SELECT *, CASE form WHEN 0 THEN thing WHEN 1 THEN other WHEN 2 THEN 'Trader' WHEN 3 THEN 'Harbor Town, Asia' ELSE 'Lowland' END AS second, CASE WHEN form = 0 THEN '' ELSE day || ' ' || y || ' ' || y END AS time FROM made)"""
+_ROLESETS = "rolesets AS (SELECT *, lemma || '.' || lpad(CAST(ord AS VARCHAR), 2, '0') AS roleset_id FROM (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY first) AS ord FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS first, split_part(p_name, ' ', 2) AS lemma FROM part)))"
+_PARTS = "parts AS (SELECT p_partkey AS event_id, split_part(p_name, ' ', 2) AS lemma, CASE WHEN p_partkey % 3 = 0 THEN upper(split_part(p_name, ' ', 2)) ELSE ' ' || split_part(p_name, ' ', 2) END AS said, list_distinct(regexp_extract_all(lower(CASE WHEN p_partkey % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE '' END || ' thing ' || p_type), '\\w+')) AS words FROM part)"
+_GLOSS = "list_distinct(regexp_extract_all(lower(first || ' a kind of ' || first || CASE WHEN ord % 2 = 0 THEN ' ' || first || ' thing' ELSE ' agent thing made ' || first END), '\\w+'))"
+
+
+def _part(where: str, lemma: str, sense: str, roles: str, time: str = "time", place: str = "''", at: int = 0) -> str:
+    return f"SELECT k || ':0' AS event_id, 0 AS derived_ord, {at} AS part_ord, '{lemma}' AS lemma, '{sense}' AS sense_id, {roles} AS roles, {time} AS time, {place} AS place, 'an order' AS source FROM said WHERE form = {where}"
 
 
-QUERIES = {f.__name__: f for f in (c10_payload_events, c12_discourse, w0_rewrites)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (c10_payload_events, c10_stated_payloads, c12_discourse, w0_rewrites, w0_stated_payloads, w15_role_bindings, j6_candidate_senses, a7_disambiguated, w14_aligned_roles, f41_role_meanings, w18_unique_ids, e4_anchors, j7_mentioned_names, f18_acronyms)}
+ORACLES: dict[str, str] = {
+    "c10_payload_events": f"WITH {_MADE} SELECT k AS payload, 0 AS event_ord, 'e' || k AS temp_id, CASE form WHEN 0 THEN 'inspect' WHEN 1 THEN 'Marry' WHEN 2 THEN 'be' WHEN 3 THEN 'be_located' ELSE 'born' END AS lemma, CASE form WHEN 0 THEN 'inspect' WHEN 1 THEN 'marry' WHEN 2 THEN 'be' WHEN 3 THEN 'be_located' ELSE 'born' END || '.01' AS sense_id, ':ARG0=' || person || '; :ARG1=' || second || CASE WHEN form = 0 THEN '; :ARGM-TMP=' || y WHEN form = 1 THEN '; :manner=unknown' ELSE '; :manner=by hand' END AS roles, time, CASE WHEN form = 2 THEN 'Port Said < Egypt' ELSE '' END AS place, 'Unattributed' AS source, sure AS confidence, true AS valid FROM said",
+    "c12_discourse": f"WITH {_MADE} SELECT k AS payload, 0 AS link_ord, 'e' || k AS source_id, 'e' || (k + 1) AS target_id, CASE form WHEN 0 THEN ':before' WHEN 1 THEN ':after' ELSE ':cause' END AS relation FROM said",
+    "w0_rewrites": f"WITH {_MADE} "
+    + " UNION ALL ".join(
+        (
+            _part("0", "inspect", "inspect.01", "':ARG0=' || person || '; :ARG1=' || second", "y || ' ' || y || ' ' || y"),
+            _part("1", "marry", "marry.01", "':ARG0=' || person || '; :ARG1=' || second"),
+            _part("2", "be", "be.01", "':ARG1=' || person || '; :ARG2=' || second || '; :manner=by hand'", place="'Port Said < Egypt'"),
+            _part("2", "locate", "locate.01", "':ARG1=Port Said; :ARG2=Egypt'", "''", at=1),
+            _part("3", "locate", "locate.01", "':ARG1=' || person || '; :ARG2=Harbor Town; :manner=by hand'"),
+            _part("3", "locate", "locate.01", "':ARG1=Harbor Town; :ARG2=Asia'", "''", at=1),
+            _part("4", "bear", "bear.02", "':ARG1=' || person || '; :manner=by hand'", place="'Lowland'"),
+        )
+    ),
+    "w15_role_bindings": f"WITH {_MADE} SELECT k || ':0' AS event_id, unnest([':ARG0', ':ARG1', CASE WHEN form = 0 THEN ':ARGM-TMP' ELSE ':manner' END]) AS role, unnest([person, second, CASE WHEN form = 0 THEN CAST(y AS VARCHAR) WHEN form = 1 THEN 'unknown' ELSE 'by hand' END]) AS name FROM said UNION ALL SELECT k || ':0', ':location', 'Port Said' FROM said WHERE form = 2",
+    "j6_candidate_senses": f"WITH {_ROLESETS}, {_PARTS} SELECT DISTINCT p.said AS lemma, r.roleset_id, r.ord FROM parts p JOIN rolesets r USING (lemma)",
+    "a7_disambiguated": f"WITH {_ROLESETS}, {_PARTS}, rated AS (SELECT event_id, roleset_id, ord, len(list_intersect(words, {_GLOSS})) AS overlap FROM parts JOIN rolesets USING (lemma)) SELECT event_id, roleset_id, overlap FROM rated QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY overlap DESC, ord) = 1",
+    "f41_role_meanings": f"WITH {_ROLESETS} SELECT roleset_id, CASE WHEN ord % 2 = 0 THEN '{{\":ARG1\":\"' || first || '\",\":ARG2\":\"thing\"}}' ELSE '{{\":ARG1\":\"thing made\"}}' END AS meanings FROM rolesets",
+    "w18_unique_ids": "SELECT o_custkey AS graph_id, o_orderkey AS ord, o_orderpriority || CASE WHEN n = 1 THEN '' ELSE '_' || n END AS stored_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS n FROM orders)",
+}
