@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import retrieval, stats
+from loomgraph.functions import text
+from loomgraph.operators import hops, retrieval, stats
 from loomgraph.plans.text_queries import lists
 from loomgraph.session import table
 
@@ -64,6 +65,42 @@ def k8_passages(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.passages(best, table(spark, sf, "documents"), 4000).select("question_id", "n_passages", F.md5("text").alias("digest"))
 
 
+def _paragraphs(spark, sf):
+    """Twenty questions, the others' documents as their paragraphs, by remainder."""
+    d = table(spark, sf, "documents")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1))
+    title = F.concat(F.array_join(F.slice(words, 1, 2), " "), F.when(F.col("doc_id") % 3 == 0, " (film)").otherwise(""))
+    rows = d.select((F.col("doc_id") % 20).alias("question_id"), F.col("doc_id").alias("ord"), title.alias("title"), "text", words.alias("w"))
+    first = rows.where("ord < 20").withColumn("w", F.when(F.size("w") > 7, F.col("w")).otherwise(F.array(*map(F.lit, "one two three four five six seven eight".split()))))
+    text = F.concat_ws(" ", F.lit("Which director was born in"), F.element_at("w", 1), F.element_at("w", 2), F.lit("near the"), F.element_at("w", 4), F.lit("club of"), F.element_at("w", 6))
+    return first.select("question_id", text.alias("text")), rows.drop("w"), first.select("question_id", F.explode(F.array(F.concat_ws(" ", F.element_at("w", 3)), F.concat_ws(" ", F.element_at("w", 1), F.element_at("w", 2)), F.element_at("w", 5))).alias("name"))
+
+
+def k9_first_hop(spark: SparkSession, sf: str) -> DataFrame:
+    q, p, _ = _paragraphs(spark, sf)
+    return hops.first_hop(q, p, 3).select("question_id", "ord", F.round("score", 6).alias("score"), "rank")
+
+
+def k10_second_hop(spark: SparkSession, sf: str) -> DataFrame:
+    q, p, b = _paragraphs(spark, sf)
+    return hops.second_hop(q, b, p, 3).select("question_id", "ord", F.round("score", 6).alias("score"), "rank")
+
+
+def j10_title_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of suppliers and nations as titles, with and without what follows them."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.when(F.col("s_suppkey") % 2 == 0, F.concat("s_name", F.lit(" (company)"))).otherwise(F.concat("s_name", F.lit(", Asia"))).alias("title"))
+    e = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("question_id"), text.match_key(F.col("s_name")).alias("key"), (F.col("s_suppkey") % 3).alias("dist"))
+    return hops.title_links(s, e)
+
+
+def j11_stored_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links between an order's lines, of which some were stored in several parts."""
+    l = table(spark, sf, "lineitem").select(F.lit("g").alias("graph_id"), F.col("l_orderkey").alias("source"), F.lit(0).alias("chunk"), "l_linenumber").distinct()
+    links = l.select("graph_id", "source", "chunk", F.col("l_linenumber").alias("source_id"), (F.col("l_linenumber") + 1).alias("target_id"), F.lit(":before").alias("relation"))
+    stored = l.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("l_linenumber") % 2))).select("graph_id", "source", "chunk", F.col("l_linenumber").alias("original_id"), "part", F.concat_ws(":", "source", "l_linenumber", "part").alias("stored_id"))
+    return hops.stored_links(links, stored).drop("graph_id")
+
+
 def _labelled(spark, sf):
     return table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
 
@@ -169,7 +206,7 @@ def d7_first_by_title(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").groupBy(F.lower("p_name").alias("title")).agg(F.min("p_partkey").alias("p_partkey"))
 
 
-QUERIES = {f.__name__: f for f in (a1_means, a3_system_summary, a5_conditional_measures, a8_term_weights, a9_outcome_shares, a11_pivot, a14_upper_median, a16_link_kinds, a17_support_sets, e7_bm25, k6_bm25_top, j9_mentions, k4_source_rank, k5_best_link, k7_graph_then_bm25, k8_passages, j12_paired_systems, j13_seen_by_all, j15_unfinished, j16_role_runs, k14_holm, r1_bootstrap, r2_paired_bootstrap, r3_mcnemar, r4_kappa, r9_seeded_sample, d5_not_in_development, d7_first_by_title)}
+QUERIES = {f.__name__: f for f in (k9_first_hop, k10_second_hop, j10_title_links, j11_stored_links, a1_means, a3_system_summary, a5_conditional_measures, a8_term_weights, a9_outcome_shares, a11_pivot, a14_upper_median, a16_link_kinds, a17_support_sets, e7_bm25, k6_bm25_top, j9_mentions, k4_source_rank, k5_best_link, k7_graph_then_bm25, k8_passages, j12_paired_systems, j13_seen_by_all, j15_unfinished, j16_role_runs, k14_holm, r1_bootstrap, r2_paired_bootstrap, r3_mcnemar, r4_kappa, r9_seeded_sample, d5_not_in_development, d7_first_by_title)}
 
 _W = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
 _WORDS = f"list_filter({_W}, lambda w: w NOT IN {lists(retrieval.STOP)})"
@@ -198,7 +235,26 @@ drawn AS (SELECT grp, b, {_HASH} AS place FROM (SELECT grp, n, b, unnest(range(0
 means AS (SELECT grp, b, avg(value) AS mean FROM drawn JOIN places USING (grp, place) GROUP BY 1, 2)"""
 
 
+_CONTENT = lambda x: f"list_filter(list_distinct(regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}_]+')), lambda w: w NOT IN {lists(hops.QUESTION_STOP)})"
+_MEDIUM = " OR ".join(f"contains(lower(title), '({k}')" for k in hops.MEDIA["director"])
+_HOPS = f"""base AS (SELECT doc_id % 20 AS question_id, doc_id AS ord, text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents),
+paragraphs AS (SELECT question_id, ord, text, array_to_string(w[1:2], ' ') || CASE WHEN ord % 3 = 0 THEN ' (film)' ELSE '' END AS title FROM base),
+firsts AS (SELECT question_id, CASE WHEN len(w) > 7 THEN w ELSE ['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight'] END AS w FROM base WHERE ord < 20),
+asked AS (SELECT question_id, 'Which director was born in ' || w[1] || ' ' || w[2] || ' near the ' || w[4] || ' club of ' || w[6] AS q, w FROM firsts),
+titled AS (SELECT *, trim(regexp_replace(lower(trim(title)), '\\s*\\(.*?\\)', '', 'g')) AS clean FROM paragraphs QUALIFY clean <> '' AND row_number() OVER (PARTITION BY question_id, clean ORDER BY ord) = 1),
+terms AS (SELECT question_id, list_distinct(flatten(list_filter([{", ".join(f"CASE WHEN regexp_matches(lower(q), '\\b(?:{'|'.join(x)})\\b') THEN [{', '.join(repr(y) for y in x)}] END" for x in text.RELATION_TERMS.values())}], lambda z: z IS NOT NULL))) AS terms FROM asked)"""
+_PICK = "SELECT question_id, ord, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, ord) AS rank FROM scored) WHERE rank <= 3 AND score >= {least} - 1e-9"
 ORACLES = {
+    "k9_first_hop": f"""WITH {_HOPS}, scored AS (SELECT question_id, ord, 0.30 * greatest(CASE WHEN contains(lower(q), clean) THEN 1 ELSE 0 END, least(len(list_filter(regexp_extract_all(q, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b'), lambda e: contains(clean, lower(e)))), 2) / 2)
+  + 0.35 * least(len(list_intersect({_CONTENT('q')}, {_CONTENT('text')})), 5) / 5 + 0.25 * least(len(list_intersect(terms, {_CONTENT('text')})), 3) / 3 + 0.10 * CASE WHEN {_MEDIUM} THEN 1 ELSE 0 END AS score FROM titled JOIN asked USING (question_id) JOIN terms USING (question_id)) """
+    + _PICK.format(least=0.2),
+    "k10_second_hop": f"""WITH {_HOPS}, bridges AS (SELECT DISTINCT question_id, q, lower(b) AS bridge FROM (SELECT question_id, q, unnest([w[3], w[1] || ' ' || w[2], w[5]]) AS b FROM asked)),
+open_ AS (SELECT * FROM bridges WHERE length(bridge) > 2 AND bridge NOT IN {lists(hops.QUESTION_STOP)} AND NOT contains(lower(q), bridge) AND NOT (len({_CONTENT('bridge')}) > 0 AND len(list_filter({_CONTENT('bridge')}, lambda z: NOT list_contains({_CONTENT('q')}, z))) = 0)),
+met AS (SELECT question_id, ord, max(CASE WHEN contains(clean, bridge) OR length(clean) > 3 AND contains(bridge, clean) THEN 1.0 ELSE 0.0 END) AS in_title, max(CASE WHEN regexp_matches(lower(coalesce(text, '')), '(^|[^\\p{{L}}\\p{{N}}_])' || bridge || '($|[^\\p{{L}}\\p{{N}}_])') THEN 1.0 ELSE 0.0 END) AS in_body FROM titled JOIN open_ USING (question_id) GROUP BY 1, 2),
+scored AS (SELECT question_id, ord, 0.40 * coalesce(in_title, 0) + 0.35 * coalesce(in_body, 0) + 0.25 * least(len(list_intersect(terms, {_CONTENT('text')})), 3) / 3 AS score FROM titled JOIN terms USING (question_id) LEFT JOIN met USING (question_id, ord)) """
+    + _PICK.format(least=0.25),
+    "j10_title_links": "SELECT s_nationkey AS question_id, s_suppkey AS doc_id, s_suppkey % 3 AS dist FROM supplier",
+    "j11_stored_links": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) SELECT a.l_orderkey || ':' || a.l_linenumber || ':0' AS src_event, b.l_orderkey || ':' || b.l_linenumber || ':0' AS dst_event, ':before' AS relation FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1",
     "a1_means": "SELECT event_type, round(avg(value), 6) AS mean, coalesce(round(avg(CASE WHEN value < -1e9 THEN value END), 6), 'nan'::DOUBLE) AS none FROM events GROUP BY 1",
     "a3_system_summary": f"WITH {_LABELLED} SELECT source, count(*) AS n, round(100 * avg(quality), 6) AS em, round(100 * avg(CASE WHEN toxic = 0 THEN quality END), 6) AS support, round(100 * avg(toxic), 6) AS refusal_rate, round(avg(n_chars), 6) AS chars FROM labelled GROUP BY 1",
     "a5_conditional_measures": f"WITH {_LABELLED} SELECT lang, round(avg(quality), 6) AS precision, round(avg(CASE WHEN quality = 1 THEN 1 - toxic END), 6) AS accuracy, count(DISTINCT source) AS sources FROM labelled GROUP BY 1",
