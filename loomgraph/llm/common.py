@@ -14,6 +14,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +42,44 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes to the shared folder and reads back: cuts the lineage, survives lost executors.
 
-    The shuffle files of the job are let go when it ends.
+    The shuffle files of the job are let go when it ends, and the table when the driver does.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    with _let_go(spark):
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
+    _at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def _let_go(spark: SparkSession):
+    """Lets the shuffle files of the jobs inside go when they end."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        out = df.write.option("compression", "zstd")
-        (out.partitionBy(by) if by else out).parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    """Has a path deleted when the driver ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """A table in the shared folder, bucketed by a column: grouping by that doesn't exchange it again.
+
+    It is deleted when the driver ends.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "bucketed")
+    name = f"loomgraph_{uuid.uuid4().hex}"
+    with _let_go(spark):
+        df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    _at_exit(spark, path)
+    return spark.table(name)
 
 
 def dropped(df: DataFrame) -> None:
