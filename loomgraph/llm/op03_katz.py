@@ -14,8 +14,9 @@ each, and answers the chunks where more than one has it, by the key's place in w
 What isn't answered is the chunk's alone. An n-gram whose history or whose last n - 1 words are
 the chunk's alone can't be elsewhere, so it isn't sent. The answers are a table partitioned by
 the n-gram's order. Then, order by order, as a lower-order mass needs the weights below it: from
-the n-grams that it owns, a chunk sums each history's count, discounts and lower-order mass;
-buckets add them up to backoff weights where other chunks have the history, too. At last each
+the n-grams that it owns, a chunk sums each history's discounts and lower-order mass; buckets add them up to backoff weights where other
+chunks have the history, too, and answer those that a token in the chunk backs off from. A
+history's count is that of itself as an n-gram, as a token always follows it. At last each
 chunk scores its documents token by token through all orders.
 """
 
@@ -34,7 +35,7 @@ from loomgraph.llm.common import WordHashes, bucket_cuts, bucketed, buckets_for,
 
 DELTA, TOP, CHUNK_BYTES = 0.1, 5, 6_000_000
 #: Unit of the lower-order mass above bigrams: whole numbers, so that sums don't hang on their order.
-UNIT = 2.0**62
+UNIT = 2.0**48
 BEGIN, END = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
 _cache = WordHashes(3)
 _ZSTD = pa.Codec("zstd")
@@ -159,15 +160,27 @@ class Chunk:
             level.total[at], level.own[at], level.shared[at] = unpack(r["counts"], np.uint64), unpack(r["own"], bool), True
 
     def sums(self, k: int, low_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Histories of order k, and by column their count, lower mass, n-grams seen, and those seen 1..TOP times; owned ones only."""
+        """Histories of order k, and by column their lower mass, n-grams seen, and those seen 1..TOP times; owned ones only."""
         level = self.level[k]
         start = runs_of(level.of)
         c = np.where(level.own, level.total, 0)
         seen = c > 0
         lower = self.level[1].total[self.level[1].at[level.first]] if k == 2 else np.rint(low_p[level.first] * UNIT).astype(np.uint64)
-        columns = [c, np.where(seen, lower, 0), seen, *(c == r for r in range(1, TOP + 1))]
+        columns = [np.where(seen, lower, 0), seen, *(c == r for r in range(1, TOP + 1))]
         return level.of[start], np.stack([np.add.reduceat(x.astype(np.uint64), start) for x in columns])
 
+    def followed(self, k: int) -> np.ndarray:
+        """How often each history of order k is followed by a token in training; as often as documents end after no word."""
+        ends = self.level[1].total[self.level[1].at[self.starts[0] + self.sizes[0] - 1]]
+        return np.append(self.level[k - 1].total, ends)
+
+    def backed_off(self, k: int) -> np.ndarray:
+        """Whether a token of the chunk backs off from each history of order k."""
+        level = self.level[k]
+        out = np.zeros(len(self.level[k - 1].keys) + 1, bool)
+        out[level.of[level.total == 0]] = True
+        return out
+
     def asked(self, k: int, of: np.ndarray) -> np.ndarray:
         """Which of some histories of order k other chunks have, too: places in `of`, by key."""
         low = self.level[k - 1]
@@ -175,11 +188,11 @@ class Chunk:
         return some[np.argsort(np.append(low.keys, BEGIN)[of[some]])]
 
 
-def _sent(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int, stats: np.ndarray | None = None) -> pa.RecordBatch:
+def _sent(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int, stats: np.ndarray | None = None, wanted: np.ndarray | None = None) -> pa.RecordBatch:
     """A chunk's keys, which ascend, and what belongs to them (by column, if it has several) by bucket; statistics go in a row of their own."""
     cuts = bucket_cuts(keys, buckets)
     has = np.flatnonzero(np.diff(cuts)).tolist()
-    rows = [{"bucket": i, "keys": keys[cuts[i] : cuts[i + 1]].tobytes(), "counts": pack(counts[..., cuts[i] : cuts[i + 1]].ravel())} for i in has]
+    rows = [{"bucket": i, "keys": keys[cuts[i] : cuts[i + 1]].tobytes(), "counts": pack(counts[..., cuts[i] : cuts[i + 1]].ravel()), "stats": None if wanted is None else pack(wanted[cuts[i] : cuts[i + 1]])} for i in has]
     if stats is not None:
         rows.append({"bucket": chunk % buckets, "keys": b"", "counts": pack(np.zeros(0, np.uint32)), "stats": stats.tobytes()})
     return pa.RecordBatch.from_pylist([{"kind": kind, "chunk": chunk} | r for r in rows], _arrow(SENT))
@@ -230,26 +243,27 @@ def discounts(often: list[int]) -> np.ndarray:
 
 
 def weights(sums: np.ndarray, k: int, d: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray]:
-    """(denominator, backoff weight) of histories of order k from their whole sums by column."""
-    count, lower, seen, low = sums[0].astype(float), sums[1].astype(float), sums[2].astype(float), sums[3:].astype(float)
+    """From whole sums of histories of order k: whether one count more is set aside, as nothing is discounted, and the mass
+    that is left over, in counts, by what the lower order leaves."""
+    lower, seen, low = sums[0].astype(float), sums[1].astype(float), sums[2:].astype(float)
     cut = (np.arange(1, TOP + 1) * (1 - d[1:])) @ low
-    spare = np.where((cut > 0) | (count == 0), count, count + 1)  # nothing discounted: one count is set aside
-    left = np.where(cut > 0, cut, 1) / np.maximum(spare, 1)
     mass = (lower + DELTA * seen) / norm if k == 2 else lower / UNIT
-    return spare, np.where(count > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
+    return (cut <= 0) & (seen > 0), np.where(cut > 0, cut, 1) / np.maximum(1 - mass, 1e-300)
 
 
 def _weighted(kind: int, bucket: int, rows: pa.Table, d: np.ndarray, norm: float) -> pa.Table:
-    """Backoff weight of each history of a bucket, to each chunk that has it, in the chunk's order."""
+    """Weights of a bucket's histories to each chunk that has them, in the chunk's order; left mass only where it is wanted."""
     keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("keys")]
-    sums = np.concatenate([unpack(x.as_py(), np.uint64).reshape(3 + TOP, -1) for x in rows.column("counts")], axis=1)
+    sums = np.concatenate([unpack(x.as_py(), np.uint64).reshape(2 + TOP, -1) for x in rows.column("counts")], axis=1)
     at, keys = np.concatenate([[0], np.cumsum([len(k) for k in keys])]), np.concatenate(keys)
     order = np.argsort(keys, kind="stable")
     start = runs_of(keys[order])
-    spare, alpha = weights(np.add.reduceat(sums[:, order], start, axis=1), -kind, d, norm)
-    size, back = np.diff(np.append(start, len(keys))), np.empty((2, len(keys)))
-    back[:, order] = np.repeat(spare, size), np.repeat(alpha, size)
-    told = [{"kind": kind, "chunk": c, "bucket": bucket, "counts": pack(back[0, a:b].astype(np.uint64)), "alpha": pack(back[1, a:b])} for c, a, b in zip(rows.column("chunk").to_pylist(), at[:-1].tolist(), at[1:].tolist())]
+    more, left = weights(np.add.reduceat(sums[:, order], start, axis=1), -kind, d, norm)
+    size, extra, over = np.diff(np.append(start, len(keys))), np.empty(len(keys), bool), np.empty(len(keys))
+    extra[order], over[order] = np.repeat(more, size), np.repeat(left, size)
+    told = []
+    for chunk, wanted, a, b in zip(rows.column("chunk").to_pylist(), rows.column("stats").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+        told.append({"kind": kind, "chunk": chunk, "bucket": bucket, "own": pack(extra[a:b]), "alpha": pack(over[a:b][unpack(wanted, bool)])})
     return pa.Table.from_pylist(told, _arrow(ANSWER))
 
 
@@ -279,13 +293,15 @@ class Model:
     def backoff(self, t: Chunk, told: pa.Table, k: int, low_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Denominators and weights by history: the chunk's own ones from its own sums, the others as answered."""
         of, sums = t.sums(k, low_p)
-        spare, alpha = np.zeros(len(t.level[k - 1].keys) + 1), np.ones(len(t.level[k - 1].keys) + 1)
-        spare[of], alpha[of] = weights(sums, k, self.d[k], self.norm)
-        parts = sorted((r["bucket"], r["counts"], r["alpha"]) for r in told.filter(pc.equal(told.column("kind"), -k)).select(["bucket", "counts", "alpha"]).to_pylist())
+        more, left = np.zeros(len(t.level[k - 1].keys) + 1, bool), np.ones(len(t.level[k - 1].keys) + 1)
+        more[of], left[of] = weights(sums, k, self.d[k], self.norm)
+        parts = sorted((r["bucket"], r["own"], r["alpha"]) for r in told.filter(pc.equal(told.column("kind"), -k)).select(["bucket", "own", "alpha"]).to_pylist())
         mine = of[t.asked(k, of)]
-        spare[mine] = np.concatenate([unpack(x[1], np.uint64) for x in parts] or [np.zeros(0)])
-        alpha[mine] = np.concatenate([unpack(x[2], float) for x in parts] or [np.zeros(0)])
-        return spare, alpha
+        more[mine] = np.concatenate([unpack(x[1], bool) for x in parts] or [np.zeros(0, bool)])
+        left[mine[t.backed_off(k)[mine]]] = np.concatenate([unpack(x[2], float) for x in parts] or [np.zeros(0)])
+        count = t.followed(k).astype(float)
+        spare = count + more
+        return spare, np.where(count > 0, left / np.maximum(spare, 1), 1.0)
 
     def gram_rows(self, t: Chunk, number: int, k: int) -> pa.RecordBatch:
         """What is sent of the n-grams of order k, with the statistics of those that aren't."""
@@ -332,7 +348,8 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
                 t.hear(k, told, model.buckets[min(k, 2)])
                 of, sums = t.sums(k, low_p)
                 mine = t.asked(k, of)
-                out.append(_sent(-k, row["chunk"], np.append(t.level[k - 1].keys, BEGIN)[of[mine]], sums[:, mine], model.histories(k)))
+                wanted = t.backed_off(k)[of[mine]]
+                out.append(_sent(-k, row["chunk"], np.append(t.level[k - 1].keys, BEGIN)[of[mine]], sums[:, mine], model.histories(k), wanted=wanted))
                 if k < order:
                     t.grow(k + 1)
                     out.append(model.gram_rows(t, row["chunk"], k + 1))
