@@ -9,8 +9,10 @@ inside it are carved.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -99,20 +101,49 @@ def riff(b: bytes, at: int) -> int | None:
     return size + 8 if i == end and (form != b"WAVE" or b"fmt " in seen and b"data" in seen[seen.index(b"fmt ") :]) else None
 
 
-def pdf(b: bytes, at: int) -> int | None:
-    """Length of the PDF: version, a startxref, and the last end-of-file mark."""
-    end = b.rfind(b"%%EOF")
-    ok = b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"." and end > at and b.find(b"startxref", at, end) > 0
-    return end + 5 - at if ok else None
+class Marks:
+    """A value and the places of its end marks, each found once whatever refers to it."""
+
+    def __init__(self, b: bytes):
+        self.b, self.found, self.ends = b, {}, None
+
+    def places(self, mark: bytes) -> list[int]:
+        if mark not in self.found:
+            self.found[mark] = [m.start() for m in re.finditer(mark, self.b)]
+        return self.found[mark]
+
+    def within(self, mark: bytes, lo: int, hi: int) -> int | None:
+        """The last place of a mark from lo, before hi."""
+        places = self.places(mark)
+        i = bisect_left(places, hi) - 1
+        return places[i] if i >= 0 and places[i] >= lo else None
+
+    def zips(self) -> dict[int, int]:
+        """End of the ZIP by its start, for every end record whose directory lies where it says."""
+        if self.ends is None:
+            self.ends = {}
+            for end in self.places(rb"PK\x05\x06"):
+                if end + 22 <= len(self.b):
+                    size, offset, note = struct.unpack_from("<IIH", self.b, end + 12)
+                    if end + 22 + note <= len(self.b):
+                        self.ends.setdefault(end - size - offset, end + 22 + note)
+        return self.ends
+
+
+def pdf(b: bytes, at: int, marks: Marks) -> int | None:
+    """Length of the PDF: version, a startxref, and the last end-of-file mark before the next header, so that its updates are in it."""
+    headers = marks.places(rb"%PDF-\d\.")
+    i = bisect_left(headers, at)
+    if i == len(headers) or headers[i] != at:
+        return None
+    end = marks.within(b"%%EOF", at, headers[i + 1] if i + 1 < len(headers) else len(b))
+    return end + 5 - at if end is not None and marks.within(b"startxref", at, end) is not None else None
 
 
-def archive(b: bytes, at: int) -> int | None:
+def archive(b: bytes, at: int, marks: Marks) -> int | None:
     """Length of the ZIP: end record whose directory lies where it says."""
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, offset, note = struct.unpack_from("<IIH", b, end + 12)
-    return end + 22 + note - at if at + offset + size == end and end + 22 + note <= len(b) else None
+    end = marks.zips().get(at)
+    return end - at if end is not None else None
 
 
 def gzip(b: bytes, at: int) -> int | None:
@@ -130,21 +161,74 @@ def gzip(b: bytes, at: int) -> int | None:
     return len(b) - at - len(stream.unused_data) if stream.eof else None
 
 
+def _table(polynomial: int, bits: int) -> list[int]:
+    out = []
+    for i in range(256):
+        x = i << bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ polynomial if x >> bits - 1 else x << 1) & (1 << bits) - 1
+        out.append(x)
+    return out
+
+
+_CRC8, _CRC16 = _table(0x07, 8), _table(0x8005, 16)
+
+
+def flac_frame(b: bytes, at: int) -> tuple[int, int] | None:
+    """(bytes of the header, samples) of the FLAC frame at `at`, if its header's checksum is right."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8 or b[at + 3] & 1:
+        return None
+    size, rate = b[at + 2] >> 4, b[at + 2] & 15
+    lead = (~b[at + 4] & 0xFF).bit_length()
+    number = 1 if lead == 8 else 8 - lead  # of a number written as UTF-8
+    i = at + 4 + number
+    extra = {6: 1, 7: 2}.get(size, 0)
+    end = i + extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if size == 0 or rate == 15 or number == 8 or end >= len(b):
+        return None
+    crc = 0
+    for x in b[at:end]:
+        crc = _CRC8[crc ^ x]
+    known = 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8
+    return (end + 1 - at, int.from_bytes(b[i : i + extra], "big") + 1 if extra else known) if crc == b[end] else None
+
+
 def flac(b: bytes, at: int) -> int | None:
-    """Length of the FLAC, to the value's end: metadata blocks from STREAMINFO, then a frame."""
-    i, first = at + 4, True
+    """Length of the FLAC: metadata from STREAMINFO, then frames with right checksums, up to the samples that it declares, or as far as they go."""
+    i, first, total = at + 4, True, 0
     while i + 4 <= len(b):
         head, size = b[i], int.from_bytes(b[i + 1 : i + 4], "big")
         if first and (head & 127 or size != 34) or head & 127 == 127:
             return None
+        if first:
+            total = int.from_bytes(b[i + 14 : i + 22], "big") & (1 << 36) - 1
         i, first = i + 4 + size, False
         if head & 128:
-            return len(b) - at if b[i : i + 1] == b"\xff" and b[i + 1 : i + 2] >= b"\xf8" else None
-    return None
+            break
+    frame, done, last = flac_frame(b, i), 0, None
+    while frame:
+        crc, end, following, start = 0, None, None, i + frame[0]
+        for j in range(i, len(b)):
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ b[j]]
+            if crc == 0 and j > start:  # a frame and its checksum leave no remainder
+                end = end or j + 1
+                following = flac_frame(b, j + 1)
+                if following or total and done + frame[1] >= total:
+                    end = j + 1
+                    break
+        if end is None:
+            return None
+        done, last = done + frame[1], end
+        if total and done >= total:
+            break
+        i, frame = end, following
+    return last - at if last is not None and done >= total else None
 
 
 def ogg(b: bytes, at: int) -> int | None:
-    """Length of the Ogg stream: pages one after another up to one that ends it."""
+    """Length of the Ogg stream: a page that begins it, and pages one after another up to one that ends it."""
+    if at + 27 > len(b) or not b[at + 5] & 2:
+        return None
     i = at
     while b[i : i + 5] == b"OggS\0" and i + 27 <= len(b):
         end = i + 27 + b[i + 26]
@@ -158,7 +242,7 @@ def ogg(b: bytes, at: int) -> int | None:
 
 
 #: Magic bytes, format, and validator.
-SIGNATURES: tuple[tuple[bytes, str, Callable], ...] = (
+SIGNATURES: tuple[tuple[bytes, str, Callable], ...] = (  # of pdf and zip with the value's marks
     (b"\x89PNG\r\n\x1a\n", "png", png),
     (b"GIF87a", "gif", gif),
     (b"GIF89a", "gif", gif),
@@ -188,14 +272,15 @@ def automaton():
 
 
 def sniffed(b: bytes) -> list[tuple[str, int, int]]:
-    """(format, offset, length) of the media confirmed in b, by offset; hits inside a confirmed RIFF's or ZIP's own header aren't repeated."""
-    found = []
+    """(format, offset, length) of the media confirmed in b, by offset; the parts of a confirmed ZIP aren't ZIPs of their own."""
+    found, marks, zipped = [], Marks(b), 0
     for last, (size, kind, valid) in automaton().iter(b.decode("latin-1")):
         at = last + 1 - size
-        if kind == "zip" and any(k == "zip" and o <= at < o + n for k, o, n in found):
+        if kind == "zip" and at < zipped:
             continue
-        n = valid(b, at)
+        n = valid(b, at, marks) if kind in ("pdf", "zip") else valid(b, at)
         if n is not None:
+            zipped = at + n if kind == "zip" else zipped
             found.append((FORMS.get(b[at + 8 : at + 12], kind) if kind == "riff" else kind, at, n))
     return found
 
