@@ -135,23 +135,37 @@ def _validated(calls: DataFrame, tools: DataFrame | None) -> DataFrame:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, level) of first calls: 0 without dependencies, null in or behind a cycle.
+    """(conv_id, id, level) of first calls: 0 without dependencies; calls in or behind a cycle have no row.
 
-    A dependency that no call of the conversation has is left out.
+    A dependency that no call of the conversation has is left out. Chains of calls with one
+    dependency are followed by pointer doubling, so that they take a logarithm of their length
+    in rounds; the calls that join several take a round each, deepest last.
     """
     edges = calls.select("conv_id", "id", F.explode("depends").alias("on"))
     known = calls.select(F.col("conv_id").alias("c"), F.col("id").alias("i"))
     edges = written(edges.join(known, (edges.conv_id == known.c) & (edges.on == known.i), "left_semi").distinct(), "edges")
-    waiting = edges.select("conv_id", "id").distinct()
-    settled = written(calls.select("conv_id", "id").join(waiting, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
+    counted = edges.groupBy("conv_id", "id").agg(F.count("*").alias("n"), F.min("on").alias("on"))
+    pointers = written(counted.where("n = 1").select("conv_id", "id", "on", F.lit(1).cast("bigint").alias("steps")), "pointers")
+    most = pointers.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(most.bit_length()):  # after it, whoever still points to a pointer is in or behind a cycle
+        to = pointers.select(F.col("conv_id").alias("c"), F.col("id").alias("i"), F.col("on").alias("far"), F.col("steps").alias("more"))
+        jumped = pointers.join(to, (pointers.conv_id == to.c) & (pointers.on == to.i), "left")
+        pointers = written(jumped.select("conv_id", "id", F.coalesce("far", "on").alias("on"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "pointers")
+    ends = pointers.select(F.col("conv_id").alias("c"), F.col("id").alias("i"), F.col("on").alias("root"), "steps")
+    joins = counted.where("n > 1").select("conv_id", "id")
+    wide = edges.join(joins, ["conv_id", "id"], "left_semi").join(ends, (edges.conv_id == F.col("c")) & (edges.on == F.col("i")), "left")
+    wide = written(wide.select("conv_id", "id", F.coalesce("root", "on").alias("on"), F.coalesce("steps", F.lit(0)).alias("steps")), "joins")
+    settled = written(calls.select("conv_id", "id").join(counted.select("conv_id", "id"), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0).cast("bigint")), "levels")
     while True:
         done = settled.select(F.col("conv_id").alias("c"), F.col("id").alias("i"), "level")
-        ready = edges.join(done, (edges.conv_id == done.c) & (edges.on == done.i), "left").groupBy("conv_id", "id").agg(F.max("level").alias("high"), F.count("*").alias("n"), F.count("level").alias("have"))
-        new = ready.where("n = have").join(settled, ["conv_id", "id"], "left_anti").select("conv_id", "id", (F.col("high") + 1).cast("int").alias("level"))
-        new = written(new, "levels")
+        ready = wide.join(done, (wide.conv_id == done.c) & (wide.on == done.i), "left").groupBy("conv_id", "id").agg(F.max(F.col("level") + F.col("steps")).alias("high"), F.count("*").alias("n"), F.count("level").alias("have"))
+        new = written(ready.where("n = have").join(settled, ["conv_id", "id"], "left_anti").select("conv_id", "id", (F.col("high") + 1).alias("level")), "levels")
         if not new.limit(1).count():
-            return settled
-        settled = written(settled.unionByName(new), "levels")
+            break
+        settled = settled.unionByName(new)
+    root = settled.select(F.col("conv_id").alias("c"), F.col("id").alias("i"), "level")
+    chained = pointers.join(root, (pointers.conv_id == root.c) & (pointers.on == root.i)).select("conv_id", "id", (F.col("level") + F.col("steps")).alias("level"))
+    return settled.unionByName(chained).withColumn("level", F.col("level").cast("int"))
 
 
 def derived(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
