@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import dropped, written
 
 
+SALTS = 8
+
+
+def shared_join(rows: DataFrame, few: DataFrame, key: str, of: str, spread: str) -> DataFrame:
+    """Left join of rows with one row a key, whose rows are dealt to SALTS tasks by another column: for keys that many rows have."""
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_share", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, (F.col(key) == F.col(of)) & (F.col("_share") == F.col("_salt")), "left").drop("_salt", "_share")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node reachable.
 
@@ -22,8 +32,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
         better = labels.join(near, labels.node == near.a, "left").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        roots = better.select(F.col("node").alias("of"), F.col("root").alias("up"))
-        jumped = better.join(roots, better.root == roots.of, "left").select("node", F.least("root", "up").alias("root"), "was")
+        # most nodes of a large component have one root: it is looked up once, and joined in SALTS shares
+        asked = better.groupBy("root").agg(F.lit(1).alias("one"))
+        up = asked.join(better.select(F.col("node").alias("of"), F.col("root").alias("up")), F.col("root") == F.col("of")).select(F.col("root").alias("of"), "up")
+        jumped = shared_join(better, up, "root", "of", "node").select("node", F.least("root", "up").alias("root"), "was")
         now = written(jumped, "labels")
         changed = now.where("root <> was").limit(1).count()
         dropped(labels)

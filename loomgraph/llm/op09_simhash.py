@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import free_name, partitions, texts, written
-from loomgraph.llm.components import components
+from loomgraph.llm.components import components, shared_join
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
 POSITIONS = list(combinations(range(8), 8 - DISTANCE))
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     roots = components(link(first))
     of = first.join(roots, first.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = of.join(least, "root").select(F.col("fp").alias("of"), "component_id")
+    ids = shared_join(of, least.withColumnRenamed("root", "top"), "root", "top", "fp").select(F.col("fp").alias("of"), "component_id")
     return fps.join(ids, fps.fp == ids.of).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -174,7 +174,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without near-duplicates: of each component the row with the smallest doc_id stays.
 
     All columns are kept. Rows with a null doc_id stay only where their component has no
-    other; of rows that repeat a doc_id, the one with the smallest text stays.
+    other; of rows that repeat a doc_id, one with the smallest hash of its text stays: whole
+    repeats are equal, so which of them doesn't matter but for other columns.
     """
     groups = near_duplicates(docs)
     mine, key = free_name(docs, "_kept"), free_name(docs, "_text_hash")

@@ -4,6 +4,8 @@ import io
 import json
 import math
 import struct
+import time
+import wave
 import zipfile
 import zlib
 
@@ -35,15 +37,74 @@ JPEG = b"\xff\xd8\xff\xe0\0\x10JFIF\0\1\1\0\0\1\0\1\0\0" + b"\xff\xda\0\x08\1\1\
 PDF = b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF"
 
 
+def a_riff(form, *chunks):
+    body = form + b"".join(kind + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1) for kind, data in chunks)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def remainder(data, polynomial, bits):
+    """A checksum bit by bit."""
+    x = 0
+    for byte in data:
+        x ^= byte << bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ polynomial if x >> bits - 1 & 1 else x << 1) & (1 << bits) - 1
+    return x
+
+
+def a_flac(frames, total):
+    """Constant frames of 192 samples, 16 bits, mono."""
+    info = struct.pack(">HH", 192, 192) + bytes(6) + (44100 << 44 | 15 << 36 | total).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC\x80" + len(info).to_bytes(3, "big") + info
+    for i in range(frames):
+        head = bytes([0xFF, 0xF8, 0x19, 0x08, i])
+        frame = head + bytes([remainder(head, 0x07, 8)]) + b"\0" + struct.pack(">H", 1000 + i)
+        out += frame + remainder(frame, 0x8005, 16).to_bytes(2, "big")
+    return out
+
+
+def an_ogg(pages):
+    return b"".join(b"OggS\0" + bytes([2 * (i == 0) + 4 * (i == pages - 1)]) + bytes(20) + bytes([2, 3, 4]) + b"abcdefg" for i in range(pages))
+
+
 def test_each_format_is_confirmed_with_its_length():
-    whole = {"png": a_png(), "gif": GIF, "jpeg": JPEG, "wav": media.wave(b"abcd"), "pdf": PDF, "zip": a_zip(), "gzip": gzip.compress(b"data" * 9, mtime=0)}
+    whole = {
+        "png": a_png(), "gif": GIF, "jpeg": JPEG, "wav": media.wave(b"abcd"), "pdf": PDF, "zip": a_zip(), "gzip": gzip.compress(b"data" * 9, mtime=0), "flac": a_flac(3, 576), "ogg": an_ogg(3),
+        "webp": a_riff(b"WEBP", (b"VP8 ", b"abc")), "avi": a_riff(b"AVI ", (b"LIST", b"hdrl"), (b"idx1", b"x" * 9)),
+    }
     for kind, data in whole.items():
         assert media.sniffed(data) == [(kind, 0, len(data))], kind
-        inside = media.sniffed(b"some text before" + data + (b" and after" if kind != "pdf" else b""))
-        assert inside == [(kind, 16, len(data))], kind
+        assert media.sniffed(b"some text before" + data + b" and after") == [(kind, 16, len(data))], kind
+        assert media.sniffed(data + b"-" + data) == [(kind, 0, len(data)), (kind, len(data) + 1, len(data))], kind
         for cut in (len(data) // 2, len(data) - 1):
             assert all(k != kind for k, _, _ in media.sniffed(data[:cut])), kind
     assert media.sniffed(b"RIFF of text, PK\x03\x04, GIF89a, %PDF-x, OggS, fLaC, \xff\xd8\xff") == []
+    assert media.sniffed(a_flac(2, 0) + b" text") == [("flac", 0, len(a_flac(2, 0)))]
+    bad = bytearray(a_flac(3, 576))
+    bad[60] ^= 1
+    assert media.sniffed(bytes(bad)) == []
+
+
+def test_updated_pdf_and_many_hits():
+    updated = PDF + b"\n2 0 obj\nendobj\nstartxref\n50\n%%EOF"
+    assert media.sniffed(b"x" + updated + b" y " + PDF) == [("pdf", 1, len(updated)), ("pdf", 1 + len(updated) + 3, len(PDF))]
+    began = time.perf_counter()
+    assert len(media.sniffed(b"%PDF-1." * 40_000 + PDF + b"PK\x03\x04" * 40_000)) == 1
+    assert time.perf_counter() - began < 3
+
+
+def test_feature_is_counted_apart(spark):
+    rows = [(1, "abc" * 50), (2, ""), (3, None), (4, "RIFF GIF89a;" * 9)]
+    for r in media.digest(frame(spark, rows)).collect():
+        t = (dict(rows)[r.doc_id] or "").encode()
+        p = t + bytes(max(64, -(-len(t) // 64) * 64) - len(t))
+        mean = sum(p) / len(p)
+        dev = math.sqrt(sum((x - mean) ** 2 for x in p) / len(p))
+        kind, corrected, unit, n, m, d, inside = r.feature.split(";")
+        assert (kind, corrected, unit, n, inside) == ("wav", "corrected=true", "1x8@8000", f"n={len(p)}", "embedded=")
+        assert abs(float(m[5:]) - mean) < 1e-3 and abs(float(d[4:]) - dev) < 1e-3
+        form = wave.open(io.BytesIO(media.wave(p)))
+        assert (form.getnchannels(), form.getsampwidth(), form.getframerate(), form.readframes(10**6)) == (1, 1, 8000, p)
 
 
 def test_sniff_corrects_and_carves(spark):
@@ -187,3 +248,26 @@ def test_schema_faults():
     assert chat.faults({"n": 2, "s": "a", "l": ["x"]}, schema) == []
     assert chat.faults({"n": 0, "s": "b", "l": ["x", 1, "y"], "z": 1}, schema) == ["$.l[1]: not string", "$.l: out of bounds", "$.n: out of bounds", "$.s: not one of the values", "$.z: unknown"]
     assert chat.faults({}, schema) == ["$.n: missing"]
+
+
+def test_levels_of_chains_joins_and_cycles(spark):
+    """Long chains, joins of them, cycles and what hangs on these, against a plain longest path."""
+    deps = {f"a{i}": [f"a{i - 1}"] if i else [] for i in range(40)}  # a chain
+    deps |= {"j": ["a39", "b"], "b": [], "k": ["j"], "l": ["k", "a5"], "m": ["l"], "lost": ["nowhere"]}
+    deps |= {"x": ["y"], "y": ["z"], "z": ["x"], "w": ["x"], "v": ["w", "b"], "s": ["s"], "u": ["v"]}
+    known, busy = {}, set()
+
+    def level(c):
+        if c in busy:
+            return None
+        if c not in known:
+            busy.add(c)
+            below = [level(d) for d in deps[c] if d in deps]
+            busy.discard(c)
+            known[c] = None if None in below else 1 + max(below, default=-1)
+        return known[c]
+
+    want = {c: level(c) for c in deps}
+    df = spark.createDataFrame([(conv, c, d) for conv in (1, 2) for c, d in deps.items()], "conv_id bigint, id string, depends array<string>")
+    got = {(r.conv_id, r.id): r.level for r in chat._levels(df).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == {(conv, c): v for conv in (1, 2) for c, v in want.items() if v is not None}
