@@ -4,7 +4,7 @@ from loomgraph.plans import event_queries
 
 
 def test_chain(spark, sf):
-    rows = event_queries.w0_rewrites(spark, sf).collect()
+    rows = event_queries.w0_stated_payloads(spark, sf).collect()
     found = {(r["sense_id"], r["roles"]) for r in rows}
     assert ("found.01", ":ARG0=Ada Lee; :ARG1=Acme Corp") in {(s, "; ".join(p for p in r.split("; ") if p.startswith(":ARG0") or p.startswith(":ARG1"))) for s, r in found}
     assert any(s == "sibling.01" and ":ARG0=Ann Poe" in r and ":ARG1=Bob Poe" in r for s, r in found)  # from "elder sister of"
