@@ -46,7 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_duplicates), ("substring dedup", substrings), ("benchmark decontamination", decontaminate), ("BPE encoding and decoding", tokens)]
-#: Not expressible: the classifier's training and BPE. The stages are tested against brute force.
+#: Not expressible: the classifier's training and BPE. tests/llm/test_pipeline.py holds the sequence against plain versions of its stages.
 ORACLE_SQL = None
 
 
