@@ -120,6 +120,23 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+_held: dict[str, list[dict]] = {}
+
+
+def held(operator: str, cache: dict) -> dict:
+    """Makes a cache known as one of an operator's in this worker."""
+    _held.setdefault(operator, []).append(cache)
+    return cache
+
+
+def only(operator: str) -> None:
+    """Empties what other operators keep in this worker: it serves one stage after another, and their caches would add up."""
+    for other, caches in _held.items():
+        if other != operator:
+            for cache in caches:
+                cache.clear()
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; a missing text is empty. `bytes.split()` cuts at [\\x20\\x09-\\x0D]."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

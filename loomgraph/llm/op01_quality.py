@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import free_name, texts, written
+from loomgraph.llm.common import free_name, held, only, texts, written
 
 #: Bound of the training sample: about as many documents, those with the smallest hashes of text and id.
 TRAIN_DOCS = 20_000
@@ -76,7 +76,7 @@ class Shapes(dict):
         return got
 
 
-_shapes = Shapes()
+_shapes = held("op01", Shapes())
 
 
 def features(text: bytes) -> tuple[int, np.ndarray, np.ndarray]:
@@ -145,6 +145,7 @@ def fitted(docs: DataFrame, text: str = "text"):
     chosen = docs.select(F.col(text).alias("text"), F.xxhash64(text, *[c for c in ("doc_id",) if c in docs.columns]).alias("at"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("op01")
         for b in batches:
             found = [features(t) for t in texts(b.column(0))]
             yield pa.RecordBatch.from_arrays(
@@ -173,12 +174,13 @@ def classified(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     posterior, _, w, bias = fitted(docs, text)
-    held = spark.sparkContext.broadcast((posterior, w, bias))
+    model = spark.sparkContext.broadcast((posterior, w, bias))
     kept = docs.drop("weak_label", "quality", "keep")
     at = kept.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posterior, w, bias = held.value
+        only("op01")
+        posterior, w, bias = model.value
         for b in batches:
             label, score = [], []
             for t in texts(b.column(at)):

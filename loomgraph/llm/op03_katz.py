@@ -31,13 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHashes, bucket_cuts, bucketed, buckets_for, mixed, partitions, runs_of, texts, written
+from loomgraph.llm.common import WordHashes, bucket_cuts, bucketed, buckets_for, held, mixed, only, partitions, runs_of, texts, written
 
 DELTA, TOP, CHUNK_BYTES = 0.1, 5, 6_000_000
 #: Unit of the lower-order mass above bigrams: whole numbers, so that sums don't hang on their order.
 UNIT = 2.0**48
 BEGIN, END = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
-_cache = WordHashes(3)
+_cache = held("op03", WordHashes(3))
 _ZSTD = pa.Codec("zstd")
 CHUNK = "chunk bigint, doc_ids array<bigint>, held binary, sizes binary, words binary, places binary, n bigint"
 SENT = "kind int, bucket int, chunk bigint, keys binary, counts binary, stats binary"
@@ -79,6 +79,7 @@ def chunk_row(number: int, ids: list, held: list[bool], rows: list[bytes]) -> pa
     token = np.empty(int(ends[-1]), np.uint64)
     is_word = np.ones(len(token), bool)
     is_word[ends - 1] = False
+    only("op03")
     token[is_word] = _cache.of([w for ws in words for w in ws])
     token[ends - 1] = END
     order, start, place = grouped(token)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LAST_ID, partitions, shared_path, texts, written
+from loomgraph.llm.common import LAST_ID, held, only, partitions, shared_path, texts, written
 
 CACHED, CACHED_LENGTH, MARKS = 1_000_000, 64, b".,;:!?#$%&*|"
 
@@ -72,8 +72,10 @@ _loaded: dict[str, WordEncoder] = {}
 
 
 def loaded(path: str) -> WordEncoder:
+    only("op04")
     if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
+        encoder = _loaded[path] = WordEncoder(path)
+        held("op04", encoder.kept)
     return _loaded[path]
 
 

@@ -23,16 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import MIX, WordHashes, texts, written
+from loomgraph.llm.common import MIX, WordHashes, held, only, texts, written
 
 THRESHOLD, SHINGLE, BLOCK_SHINGLES = 0.8, 5, 2_000_000
 #: ASCII characters other than letters and digits part words; A-Z count as a-z.
 FOLD = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256)).lower()
-_cache = WordHashes(5)
+_cache = held("op06", WordHashes(5))
 
 
 def hashed(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text, one after another, and how many words each text has."""
+    only("op06")
     words = [t.translate(FOLD).split() for t in batch]
     return _cache.of([w for ws in words for w in ws]), np.array([len(w) for w in words], np.int64)
 
@@ -153,10 +154,10 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for index in blocks(items, short):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+        sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
+        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = sent.value
             for b in batches:
                 for part, own in _parts(b, 1):
                     rows = list(index.found(own))
@@ -176,13 +177,13 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", short:
     """The documents that contain no item, of fewer than five words only if short; all columns and repeats stay."""
     at = docs.columns.index(text)
     for index in blocks(items, short):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+        sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for part, own in _parts(b, at):
                     keep = np.ones(len(part), bool)
-                    keep[[k for k, _, _ in held.value.found(own)]] = False
+                    keep[[k for k, _, _ in sent.value.found(own)]] = False
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(work, docs.schema)

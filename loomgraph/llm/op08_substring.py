@@ -27,17 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LAST_ID, MIX, WordHashes, blob, buckets_for, by_chunk, chunked, dropped, free_name, mixed, packed, runs_of, texts, unpacked, written
+from loomgraph.llm.common import LAST_ID, MIX, WordHashes, blob, buckets_for, by_chunk, chunked, dropped, free_name, held, mixed, only, packed, runs_of, texts, unpacked, written
 
 WINDOW, ROUNDS, CHUNK_BYTES = 50, 3, 4_000_000
 #: One symbol of SAMPLE, by its name, is sent; windows without one are candidates.
 SAMPLE_BITS = 2
 RUN, SPLIT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
-_hashes: dict[int, WordHashes] = {}
+_hashes = held("op08", WordHashes(1))
 
 
-def word_hashes(words: list[bytes], seed: int) -> np.ndarray:
-    return _hashes.setdefault(seed, WordHashes(seed)).of(words)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    only("op08")
+    return _hashes.of(words)
 
 
 class Words:
@@ -50,7 +51,7 @@ class Words:
         self.doc = np.repeat(np.arange(len(rows)), sizes)
         self.ids = ids
         flat = [w for ws in self.words for w in ws]
-        self.a = word_hashes(flat, 1)
+        self.a = word_hashes(flat)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """128-bit hashes of the windows, as two 64-bit ones, and where each starts."""

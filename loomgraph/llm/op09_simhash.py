@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import free_name, partitions, texts, written
+from loomgraph.llm.common import free_name, only, partitions, texts, written
 from loomgraph.llm.components import components, shared_join
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
@@ -54,6 +54,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """(doc_id, fp): fp as a signed 64-bit integer. A null text has no words: zero."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("op09")
         for b in batches:
             fp = np.array([fingerprint(t) for t in texts(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])

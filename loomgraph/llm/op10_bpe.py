@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomgraph.llm.common import held, only
+
 #: Fixed value: the public byte-level pre-tokenisation pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: No pair, larger than any key.
@@ -252,8 +254,10 @@ _loaded: dict[str, Bpe] = {}
 
 def loaded(path: str) -> Bpe:
     """One vocabulary a worker and path."""
+    only("op10")
     if path not in _loaded:
-        _loaded[path] = Bpe(path)
+        bpe = _loaded[path] = Bpe(path)
+        held("op10", bpe.tokens), held("op10", bpe.parts)
     return _loaded[path]
 
 
