@@ -27,6 +27,9 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rank of a missing doc_id: after every other document.
 LAST_ID = 2**63 - 1
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch on its way to Python, which the JVM and the worker hold several times over, each for every task.
+BATCH_BYTES = 8 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -54,13 +57,15 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 @contextmanager
 def _let_go(spark: SparkSession):
-    """Lets the shuffle files of the jobs inside go when they end."""
-    before = spark.conf.get(_CLEANUP, None)
+    """Lets the shuffle files of the jobs inside go when they end, and keeps their batches small."""
+    before = {name: spark.conf.get(name, None) for name in (_CLEANUP, _BATCH)}
     spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def _at_exit(spark: SparkSession, path: str) -> None:
