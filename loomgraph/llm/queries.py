@@ -76,11 +76,29 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import op11_vector_codes as op
+
+    return op.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import op12_prefix_trie as op
+
+    return op.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import op13_packing as op
+
+    return op.digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_language, op3_katz, op4_token_files, op5_media, op6_decontaminate, op7_chat, op8_substring, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_language, op3_katz, op4_token_files, op5_media, op6_decontaminate, op7_chat, op8_substring, op9_simhash, op10_bpe, op11_vector_codes, op12_prefix_trie, op13_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from loomgraph.llm import op06_decontaminate
+    from loomgraph.llm import op06_decontaminate, op11_vector_codes, op12_prefix_trie
 
-    return {"op6_decontaminate": op06_decontaminate.ORACLE_SQL}
+    return {"op6_decontaminate": op06_decontaminate.ORACLE_SQL, "op11_vector_codes": op11_vector_codes.ORACLE_SQL, "op12_prefix_trie": op12_prefix_trie.ORACLE_SQL}
