@@ -17,9 +17,18 @@ UNKNOWN, UNLINKED = "No matching context graph entries found.", "No event assert
 CONTEXT = "raw string, start_year bigint, end_year bigint, location string, region string, source string, confidence double, speculative boolean"
 
 
-def role_meanings(spark: SparkSession) -> DataFrame:
-    """(sense, role, meaning) of the system frames: a few dozen rows."""
-    return spark.createDataFrame([(s, r.lstrip(":"), m) for s, roles in FRAMES.items() for r, m in roles.items()], "sense string, role string, meaning string")
+#: Rows of a catalog's meanings up to which they are sent to every task.
+FEW_MEANINGS = 20_000
+
+
+def role_meanings(spark: SparkSession, rolesets: DataFrame | None = None) -> DataFrame:
+    """(sense, role, meaning) of the system frames, a few dozen rows, and of a roleset catalog."""
+    frames = spark.createDataFrame([(s, r, m) for s, roles in FRAMES.items() for r, m in roles.items()], "sense string, role string, meaning string")
+    if rolesets is None:
+        return F.broadcast(frames)
+    own = rolesets.where(~F.col("roleset_id").isin(*FRAMES)).dropDuplicates(["roleset_id"])
+    both = materialised(frames.unionByName(own.select(F.col("roleset_id").alias("sense"), F.explode("roles").alias("role", "meaning"))))
+    return F.broadcast(both) if both.count() <= FEW_MEANINGS else both
 
 
 def role_place(role: Column) -> Column:
@@ -28,8 +37,10 @@ def role_place(role: Column) -> Column:
     return F.when(bare.rlike("^ARG[0-5]$"), F.substring(bare, 4, 1).cast("int")).when(bare.startswith("ARGM"), 10).otherwise(20)
 
 
-def _told(bindings: DataFrame, spark: SparkSession) -> DataFrame:
-    return bindings.join(F.broadcast(role_meanings(spark)), ["sense", "role"], "left").withColumn("meaning", F.coalesce("meaning", F.lit("")))
+def _told(bindings: DataFrame, spark: SparkSession, rolesets: DataFrame | None = None) -> DataFrame:
+    """Bindings with their role's meaning; a possessor is one in every sense."""
+    known = bindings.join(role_meanings(spark, rolesets), ["sense", "role"], "left")
+    return known.withColumn("meaning", F.when(F.col("role") == ":ARGM-POSS", "possessor").otherwise(F.coalesce("meaning", F.lit(""))))
 
 
 def context_lines(*, provenance: bool = False) -> Column:
@@ -47,16 +58,16 @@ def context_lines(*, provenance: bool = False) -> Column:
     return F.array_compact(F.array(time, place, F.when(shown, said)))
 
 
-def rendered(bindings: DataFrame, spark: SparkSession, contexts: DataFrame | None = None, discourse: DataFrame | None = None) -> DataFrame:
-    """(graph_id, event_id, block): an event's roles in their order, with meanings and entities; then its envelopes' and links' lines.
+def rendered(bindings: DataFrame, spark: SparkSession, contexts: DataFrame | None = None, discourse: DataFrame | None = None, rolesets: DataFrame | None = None) -> DataFrame:
+    """(graph_id, event_id, block): an event's roles in their order, with meanings and names; then its envelopes' and links' lines.
 
     contexts: graph_id, event_id, raw, start_year, end_year, location, region, source,
     confidence, speculative, one row an event. discourse: graph_id, src_event, dst_event, relation.
     """
-    part = F.struct(role_place(F.col("role")).alias("at"), "role", "entity", F.concat("role", F.when(F.col("meaning") == "", "").otherwise(F.concat(F.lit("["), "meaning", F.lit("]"))), F.lit("="), "entity").alias("text"))
-    roles = _told(bindings, spark).groupBy("graph_id", "event_id", "sense").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    part = F.struct(role_place(F.col("role")).alias("at"), "role", "name", F.concat(F.ltrim("role", F.lit(":")), F.when(F.col("meaning") == "", "").otherwise(F.concat(F.lit("["), "meaning", F.lit("]"))), F.lit("="), "name").alias("text"))
+    roles = _told(bindings, spark, rolesets).groupBy("graph_id", "event_id", "lemma", "sense").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["text"]), "; ")
-    line = F.concat(F.lit("- ["), "event_id", F.lit("] "), F.split_part("sense", F.lit("."), F.lit(1)), F.lit(" ("), "sense", F.lit("): "), text)
+    line = F.concat(F.lit("- ["), "event_id", F.lit("] "), "lemma", F.lit(" ("), "sense", F.lit("): "), text)
     out, lines = roles, [F.array(line)]
     if contexts is not None:
         out, lines = out.join(contexts, ["graph_id", "event_id"], "left"), [*lines, context_lines()]
@@ -68,33 +79,35 @@ def rendered(bindings: DataFrame, spark: SparkSession, contexts: DataFrame | Non
 
 def triples(bindings: DataFrame) -> DataFrame:
     """(graph_id, event_id, block): the first role's entity with every other one, as plain triples."""
-    part = F.struct(role_place(F.col("role")).alias("at"), "role", "entity")
-    names = bindings.groupBy("graph_id", "event_id", "sense").agg(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["entity"]).alias("names"))
-    lemma, first = F.split_part("sense", F.lit("."), F.lit(1)), F.element_at("names", 1)
-    row = lambda other: F.concat(F.lit("- ("), first, F.lit(", "), lemma, F.lit(", "), other, F.lit(")"))
+    part = F.struct(role_place(F.col("role")).alias("at"), "role", "name")
+    names = bindings.groupBy("graph_id", "event_id", "lemma").agg(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["name"]).alias("names"))
+    first = F.element_at("names", 1)
+    row = lambda other: F.concat(F.lit("- ("), first, F.lit(", "), "lemma", F.lit(", "), other, F.lit(")"))
     return names.select("graph_id", "event_id", F.when(F.size("names") == 1, row(F.lit("-"))).otherwise(F.array_join(F.transform(F.slice("names", F.lit(2), F.size("names") - 1), row), "\n")).alias("block"))
 
 
-def with_relevance(events: DataFrame, questions: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Adds `relevance`: stems that a question shares with an event's frame name and role meanings.
+def with_relevance(events: DataFrame, questions: DataFrame, bindings: DataFrame, rolesets: DataFrame | None = None) -> DataFrame:
+    """Adds `ord` and `relevance`: stems that a question shares with an event's verb, frame name and role meanings.
 
-    questions: question_id, text. An event's words hang on its sense and roles alone, so the
-    stems are made once a kind of event, and only the reached events are described.
+    questions: question_id, text. An event's words hang on its lemma, sense and roles alone, so
+    the stems are made once a kind of event, and only the reached events are described.
     """
     spark = events.sparkSession
     asked = questions.select("question_id", t.content_stems(F.col("text")).alias("asked"))
     mine = bindings.join(events.select("graph_id", "event_id").distinct(), ["graph_id", "event_id"], "left_semi")
-    kinds = mine.groupBy("graph_id", "event_id", "sense").agg(F.sort_array(F.collect_set("role")).alias("roles"))
-    told = kinds.select("sense", "roles").distinct().withColumn("role", F.explode("roles"))
-    words = _told(told, spark).groupBy("sense", "roles").agg(F.concat_ws(" ", F.split_part("sense", F.lit("."), F.lit(1)), F.collect_list("meaning")).alias("words"))
-    stems = words.select("sense", "roles", t.content_stems(F.col("words")).alias("stems"))
-    described = kinds.join(stems, ["sense", "roles"]).select("graph_id", "event_id", "stems")
-    return events.join(described, ["graph_id", "event_id"], "left").join(asked, "question_id", "left").select(*events.columns, F.coalesce(F.size(F.array_intersect("stems", "asked")), F.lit(0)).alias("relevance"))
+    kinds = mine.groupBy("graph_id", "event_id", "ord", "lemma", "sense").agg(F.sort_array(F.collect_set("role")).alias("roles"))
+    kind = ["lemma", "sense", "roles"]
+    told = kinds.select(*kind).distinct().withColumn("role", F.explode("roles"))
+    words = _told(told, spark, rolesets).groupBy(*kind).agg(F.concat_ws(" ", "lemma", F.split_part("sense", F.lit("."), F.lit(1)), F.collect_list("meaning")).alias("words"))
+    stems = words.select(*kind, t.content_stems(F.col("words")).alias("stems"))
+    described = kinds.join(stems, kind).select("graph_id", "event_id", "ord", "stems")
+    both = events.join(described, ["graph_id", "event_id"], "left").join(asked, "question_id", "left")
+    return both.select(*events.columns, "ord", F.coalesce(F.size(F.array_intersect("stems", "asked")), F.lit(0)).alias("relevance"))
 
 
-def top_events(events: DataFrame, most: int, order: str = "event_id") -> DataFrame:
+def top_events(events: DataFrame, most: int, order: str = "ord") -> DataFrame:
     """A question's first events by (distance, relevance, insertion order), with their `rank`."""
-    per = Window.partitionBy(*KEYS).orderBy("dist", F.col("relevance").desc(), order)
+    per = Window.partitionBy(*KEYS).orderBy("dist", F.col("relevance").desc(), order, "event_id")
     return events.withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= most)
 
 
@@ -113,7 +126,7 @@ def candidates(entities: DataFrame, kept: DataFrame, relevance: DataFrame, bindi
     named = kept.select(*KEYS, "event_id").join(bindings.select("graph_id", "event_id", "entity").distinct(), ["graph_id", "event_id"]).select(*KEYS, "entity").distinct()
     open_ = entities.join(named, [*KEYS, "entity"], "left_semi").join(anchors.select(*KEYS, "entity"), [*KEYS, "entity"], "left_anti").withColumn("event_id", F.col("via.event_id"))
     rated = open_.join(relevance.select(*KEYS, "event_id", "relevance"), [*KEYS, "event_id"], "left").join(kept.select(*KEYS, "event_id", F.lit(True).alias("shown")), [*KEYS, "event_id"], "left")
-    return rated.select(*KEYS, "entity", "dist", "via", F.coalesce("relevance", F.lit(0)).alias("relevance"), F.coalesce("shown", F.lit(False)).alias("shown"))
+    return rated.select(*KEYS, "entity", "name", "dist", "via", F.coalesce("relevance", F.lit(0)).alias("relevance"), F.coalesce("shown", F.lit(False)).alias("shown"))
 
 
 def round_robin(found: DataFrame, most: int) -> DataFrame:
@@ -122,7 +135,7 @@ def round_robin(found: DataFrame, most: int) -> DataFrame:
     Within a distance the more relevant come first, then those by a kept event, then by name.
     """
     per = Window.partitionBy(*KEYS)
-    turns = found.withColumn("rn", F.row_number().over(Window.partitionBy(*KEYS, "dist").orderBy(F.col("relevance").desc(), F.col("shown").desc(), "entity")))
+    turns = found.withColumn("rn", F.row_number().over(Window.partitionBy(*KEYS, "dist").orderBy(F.col("relevance").desc(), F.col("shown").desc(), "name", "entity")))
     picked = turns.where(F.col("rn") <= most).withColumn("turn", F.row_number().over(per.orderBy("rn", "dist"))).where(F.col("turn") <= most)
     return picked.withColumn("rank", F.row_number().over(per.orderBy("dist", "rn"))).drop("rn", "turn")
 
@@ -133,7 +146,7 @@ def _listed(rows: DataFrame, value: Column, name: str, order: str = "rank") -> D
 
 def bundle(
     bindings: DataFrame, anchors: DataFrame, questions: DataFrame, contexts: DataFrame | None = None, discourse: DataFrame | None = None, max_hops: int = 3, hub_degree: int = 25,
-    max_events: int = 40, max_chars: int | None = None, max_candidates: int = 10, roles: bool = True,
+    max_events: int = 40, max_chars: int | None = None, max_candidates: int = 10, roles: bool = True, rolesets: DataFrame | None = None,
 ) -> DataFrame:
     """Evidence about each question: graph_id, question_id, text, event_ids, candidates, anchors, sources, entity_names.
 
@@ -145,19 +158,19 @@ def bundle(
     spark = bindings.sparkSession
     entities, events = graph.explore(bindings, anchors, max_hops, hub_degree)
     reached = graph.discourse_expanded(events, discourse) if discourse is not None else events
-    rated = materialised(with_relevance(reached, questions, bindings))
+    rated = materialised(with_relevance(reached, questions, bindings, rolesets))
     best = top_events(rated, max_events)
     mine = bindings.join(best.select("graph_id", "event_id").distinct(), ["graph_id", "event_id"], "left_semi")
     of = lambda df, column: df if df is None else df.join(best.select("graph_id", F.col("event_id").alias(column)).distinct(), ["graph_id", column], "left_semi")
-    blocks = rendered(mine, spark, of(contexts, "event_id"), of(discourse, "src_event")) if roles else triples(mine)
+    blocks = rendered(mine, spark, of(contexts, "event_id"), of(discourse, "src_event"), rolesets) if roles else triples(mine)
     told = best.join(blocks, ["graph_id", "event_id"])
     kept = materialised(within_budget(told, max_chars) if max_chars is not None else told)
-    known = entities.where("dist = 0 AND via IS NULL").select(*KEYS, "entity")
+    known = entities.where("dist = 0 AND via IS NULL").select(*KEYS, "entity", "name")
     picked = materialised(round_robin(candidates(entities, kept, rated, bindings, known), max_candidates))
-    names = kept.select(*KEYS, "event_id").join(bindings.select("graph_id", "event_id", "entity"), ["graph_id", "event_id"]).groupBy(*KEYS).agg(F.array_sort(F.collect_set("entity")).alias("entity_names"))
-    path = F.concat(F.lit("- Candidate: "), "entity", F.lit(" (Path: "), graph.readable_path(roles), F.lit(")"))
-    parts = [_listed(kept, F.col("block"), "blocks"), _listed(kept, F.col("event_id"), "event_ids"), _listed(picked, F.col("entity"), "candidates"), _listed(picked, path, "paths"), names]
-    parts.append(known.groupBy(*KEYS).agg(F.array_sort(F.collect_set("entity")).alias("anchors")))
+    names = kept.select(*KEYS, "event_id").join(bindings.select("graph_id", "event_id", "name"), ["graph_id", "event_id"]).groupBy(*KEYS).agg(F.array_sort(F.collect_set("name")).alias("entity_names"))
+    path = F.concat(F.lit("- Candidate: "), "name", F.lit(" (Path: "), graph.readable_path(roles), F.lit(")"))
+    parts = [_listed(kept, F.col("block"), "blocks"), _listed(kept, F.col("event_id"), "event_ids"), _listed(picked, F.col("name"), "candidates"), _listed(picked, path, "paths"), names]
+    parts.append(known.groupBy(*KEYS).agg(F.array_sort(F.collect_set("name")).alias("anchors")))
     if contexts is not None:
         sourced = kept.select(*KEYS, "event_id").join(contexts.select("graph_id", "event_id", "source").where("source <> ''"), ["graph_id", "event_id"])
         parts.append(sourced.groupBy(*KEYS).agg(F.array_sort(F.collect_set("source")).alias("sources")))

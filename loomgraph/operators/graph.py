@@ -1,8 +1,10 @@
 """The event graph: bindings of entities to events, and bounded search over them.
 
 Tables carry graph_id, so that one job works on many graphs.
-bindings: graph_id, event_id, sense, role, entity, ord. An identity event's entities are
-one and the same: it costs nothing to cross. An entity's degree counts its role edges.
+bindings: graph_id, event_id, ord, lemma, sense, role, entity, name, as `ingest.bindings` gives
+them: an event's place in the order of insertion, its verb, and the entity's id and display
+name. An identity event's entities are one and the same: it costs nothing to cross. An
+entity's degree counts its role edges.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from loomgraph.functions.vocab import IDENTITY_FRAMES
 from loomgraph.storage import fresh_folder, materialised
 
-_STEP = "struct<entity:string,event_id:string,role_in:string,role_out:string,sense:string>"
-_VIA = f"struct<entity:string,event_id:string,role_in:string,role_out:string,sense:string,path:array<{_STEP}>>"
+_FIELDS = "entity:string,event_id:string,role_in:string,role_out:string,sense:string,lemma:string,name:string"
+_STEP = f"struct<{_FIELDS}>"
+_VIA = f"struct<{_FIELDS},path:array<{_STEP}>>"
 
 
 def degrees(bindings: DataFrame) -> DataFrame:
@@ -28,7 +31,7 @@ def explore(bindings: DataFrame, anchors: DataFrame, max_hops: int = 3, hub_degr
     anchors: graph_id, question_id, entity. Edges are entity-event-entity and cost 1, or 0
     through an identity event, which is crossed even at the last hop. Entities over
     hub_degree at a distance above 0 are reached but not expanded. Returns (graph_id,
-    question_id, entity, dist, via) and (graph_id, question_id, event_id, dist); an event's
+    question_id, entity, name, dist, via) and (graph_id, question_id, event_id, dist); an event's
     distance is the least of its expanded participants'. Anchors that the graph doesn't have
     reach nothing. `via` is the step by which an entity is reached, null for an anchor: of the
     steps that reach it first, the least by (entity, event_id, role_in, role_out), and `path`
@@ -40,24 +43,24 @@ def explore(bindings: DataFrame, anchors: DataFrame, max_hops: int = 3, hub_degr
     """
     spark, keys = bindings.sparkSession, ["graph_id", "question_id"]
     known = degrees(bindings).withColumnRenamed("degree", "deg")
-    edges = materialised(bindings.select("graph_id", "event_id", "entity", "role", "sense", F.col("sense").isin(*IDENTITY_FRAMES).alias("same")).distinct().join(known, ["graph_id", "entity"]))
-    members = edges.select("graph_id", "event_id", F.col("entity").alias("member"), F.col("role").alias("role_out"))
+    edges = materialised(bindings.select("graph_id", "event_id", "entity", "role", "sense", "lemma", "name", F.col("sense").isin(*IDENTITY_FRAMES).alias("same")).distinct().join(known, ["graph_id", "entity"]))
+    members = edges.select("graph_id", "event_id", F.col("entity").alias("member"), F.col("role").alias("role_out"), F.col("name").alias("member_name"))
     has_same = edges.where("same").limit(1).count() > 0
     folder = fresh_folder(spark, "search")
-    start = anchors.select(*keys, "entity").distinct().join(edges.select("graph_id", "entity").distinct(), ["graph_id", "entity"], "left_semi")
-    start.select(*keys, "entity", F.lit(0).alias("dist"), F.lit(None).cast(_VIA).alias("via")).write.parquet(f"{folder}/step=0")
-    schema, steps = f"graph_id {bindings.schema['graph_id'].dataType.simpleString()}, question_id {anchors.schema['question_id'].dataType.simpleString()}, entity string, dist int, via {_VIA}, step int", 0
+    start = anchors.select(*keys, "entity").distinct().join(edges.select("graph_id", "entity", "name").distinct(), ["graph_id", "entity"])
+    start.select(*keys, "entity", "name", F.lit(0).alias("dist"), F.lit(None).cast(_VIA).alias("via")).write.parquet(f"{folder}/step=0")
+    schema, steps = f"graph_id {bindings.schema['graph_id'].dataType.simpleString()}, question_id {anchors.schema['question_id'].dataType.simpleString()}, entity string, name string, dist int, via {_VIA}, step int", 0
     reached = lambda: spark.read.schema(schema).parquet(folder)
 
     def step(frontier: DataFrame, same: bool, cost: int) -> bool:
         """Adds what the frontier reaches that wasn't reached before; whether there is any."""
         nonlocal steps
         steps += 1
-        crossed = frontier.join(edges.where(F.col("same") == same), ["graph_id", "entity"]).where((F.col("dist") == 0) | (F.col("deg") <= hub_degree))
+        crossed = frontier.drop("name").join(edges.where(F.col("same") == same), ["graph_id", "entity"]).where((F.col("dist") == 0) | (F.col("deg") <= hub_degree))
         path = F.concat(F.coalesce(F.col("via.path"), F.array().cast(f"array<{_STEP}>")), F.when(F.col("via").isNull(), F.array().cast(f"array<{_STEP}>")).otherwise(F.array(F.col("via").dropFields("path"))))
-        via = F.struct("entity", "event_id", F.col("role").alias("role_in"), "role_out", "sense", path.alias("path"))
-        found = crossed.join(members, ["graph_id", "event_id"]).where("member <> entity").groupBy(*keys, "member").agg(F.min(via).alias("via"), F.first("dist").alias("dist"))
-        fresh = found.select(*keys, F.col("member").alias("entity"), (F.col("dist") + cost).alias("dist"), "via").join(reached().select(*keys, "entity"), [*keys, "entity"], "left_anti")
+        via = F.struct("entity", "event_id", F.col("role").alias("role_in"), "role_out", "sense", "lemma", "name", path.alias("path"))
+        found = crossed.join(members, ["graph_id", "event_id"]).where("member <> entity").groupBy(*keys, "member").agg(F.min(via).alias("via"), F.first("dist").alias("dist"), F.first("member_name").alias("name"))
+        fresh = found.select(*keys, F.col("member").alias("entity"), "name", (F.col("dist") + cost).alias("dist"), "via").join(reached().select(*keys, "entity"), [*keys, "entity"], "left_anti")
         fresh.write.parquet(f"{folder}/step={steps}")
         return reached().where(F.col("step") == steps).limit(1).count() > 0
 
@@ -67,15 +70,15 @@ def explore(bindings: DataFrame, anchors: DataFrame, max_hops: int = 3, hub_degr
         if hop == max_hops or not step(reached().where(F.col("dist") == hop), False, 1):
             break
     settled = reached().drop("step")
-    open_ = settled.join(edges, ["graph_id", "entity"]).where(((F.col("dist") == 0) | (F.col("deg") <= hub_degree)) & (F.col("same") | (F.col("dist") < max_hops)))
+    open_ = settled.drop("name").join(edges, ["graph_id", "entity"]).where(((F.col("dist") == 0) | (F.col("deg") <= hub_degree)) & (F.col("same") | (F.col("dist") < max_hops)))
     return settled, open_.groupBy(*keys, "event_id").agg(F.min("dist").alias("dist"))
 
 
 def path_parts(roles: bool = True) -> Column:
     """Names and steps from the anchor to an entity of `explore`; a step by its roles and sense, or by its lemma."""
     steps = F.when(F.col("via").isNotNull(), F.concat("via.path", F.array(F.col("via").dropFields("path")))).otherwise(F.array().cast(f"array<{_STEP}>"))
-    said = (lambda s: F.concat(s["role_in"], F.lit("<-["), s["sense"], F.lit("]->"), s["role_out"])) if roles else (lambda s: F.split_part(s["sense"], F.lit("."), F.lit(1)))
-    return F.concat(F.flatten(F.transform(steps, lambda s: F.array(s["entity"], said(s)))), F.array("entity"))
+    told = (lambda s: F.concat(F.ltrim(s["role_in"], F.lit(":")), F.lit("<-["), s["sense"], F.lit("]->"), F.ltrim(s["role_out"], F.lit(":")))) if roles else (lambda s: s["lemma"])
+    return F.concat(F.flatten(F.transform(steps, lambda s: F.array(s["name"], told(s)))), F.array("name"))
 
 
 def readable_path(roles: bool = True) -> Column:
@@ -84,8 +87,8 @@ def readable_path(roles: bool = True) -> Column:
 
 def reachable(entities: DataFrame) -> DataFrame:
     """Entities of `explore` but the anchors, with their path and rank by (distance, name)."""
-    per = Window.partitionBy("graph_id", "question_id").orderBy("dist", "entity")
-    return entities.where("via IS NOT NULL").select("graph_id", "question_id", "entity", "dist", path_parts().alias("path")).withColumn("rank", F.row_number().over(per))
+    per = Window.partitionBy("graph_id", "question_id").orderBy("dist", "name", "entity")
+    return entities.where("via IS NOT NULL").select("graph_id", "question_id", "entity", "name", "dist", path_parts().alias("path")).withColumn("rank", F.row_number().over(per))
 
 
 def discourse_expanded(events: DataFrame, discourse: DataFrame) -> DataFrame:
@@ -106,6 +109,12 @@ def specific_anchors(anchors: DataFrame, bindings: DataFrame, hub_degree: int =
     return kept.withColumn("rank", F.row_number().over(per.orderBy("place"))).where(F.col("rank") <= most).drop("some", "specific")
 
 
+def said(sense: Column, bindings: Column, has_time: Column, start_year: Column, end_year: Column) -> Column:
+    """Digest of what an event says: its sense, the set of its (role, key) bindings, and its years."""
+    whole = F.struct(sense.alias("sense"), F.array_sort(F.array_distinct(bindings)).alias("bindings"), has_time.alias("has_time"), start_year.alias("start_year"), end_year.alias("end_year"))
+    return F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256)
+
+
 def first_events(events: DataFrame) -> DataFrame:
     """De-duplicates events by what they say: the first by ord stays.
 
@@ -113,8 +122,7 @@ def first_events(events: DataFrame) -> DataFrame:
     array<struct<role, key>>. Two say the same if sense, the set of bindings and the years
     are equal; no time differs from a time without years.
     """
-    said = F.struct("sense", F.array_sort(F.array_distinct("bindings")).alias("bindings"), "has_time", "start_year", "end_year")
-    key = F.sha2(F.to_json(said, {"ignoreNullFields": "false"}), 256)
+    key = said(*map(F.col, ("sense", "bindings", "has_time", "start_year", "end_year")))
     first = events.withColumn("said", key).groupBy("graph_id", "said").agg(F.min(F.struct("ord", "event_id")).alias("first"))
     return first.select("graph_id", F.col("first.event_id").alias("event_id"), F.col("first.ord").alias("ord"))
 

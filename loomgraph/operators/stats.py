@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from loomgraph.storage import materialised
+from loomgraph.storage import materialised, numbered
 
 
 def mean_or_nan(value: Column) -> Column:
@@ -19,36 +23,88 @@ def upper_median(column: str) -> Column:
     return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{column})")
 
 
-def draw(key: Column, n: Column) -> Column:
-    """A number from 0 to n - 1 by the hash of a key: the same on any partitioning."""
-    return F.pmod(F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint"), n)
-
-
-def numbered(values: DataFrame) -> DataFrame:
-    """Rows of (grp, value) with their place 0..n-1 in their group, by value.
-
-    Sorted over all tasks; a row's place is its partition's offset and its place there, less
-    its group's first, so that no group has to fit one task.
-    """
-    put = materialised(values.select("grp", "value").orderBy("grp", "value").select("grp", "value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")))
-    sizes = put.groupBy("part").agg(F.count("*").alias("size"), F.min("row").alias("first"))  # a row a partition
-    before = sizes.select("part", "first", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
-    placed = put.join(F.broadcast(before), "part").select("grp", "value", (F.col("before") + F.col("row") - F.col("first")).alias("at"))
-    groups = placed.groupBy("grp").agg(F.min("at").alias("base"), F.count("*").alias("n"))
-    return placed.join(groups, "grp").select("grp", "value", (F.col("at") - F.col("base")).alias("at"), "n")
+#: Distinct values of a group up to which its resamples are counted by value in one task each.
+FEW_VALUES = 100_000
+#: Resamples that one row of work makes, and draws that are made at once.
+BLOCK, AT_ONCE = 50, 1 << 18
+MASK, MULTIPLIER = (1 << 32) - 1, 0x45D9F3B
+
+
+def _mix(x):
+    """A 32-bit integer hash, of an array or a Column."""
+    if isinstance(x, Column):
+        for _ in range(2):
+            x = (F.shiftrightunsigned(x, 16).bitwiseXOR(x) * MULTIPLIER).bitwiseAND(F.lit(MASK))
+        return F.shiftrightunsigned(x, 16).bitwiseXOR(x)
+    for _ in range(2):
+        x = (x >> np.uint64(16) ^ x) * np.uint64(MULTIPLIER) & np.uint64(MASK)
+    return x >> np.uint64(16) ^ x
+
+
+def _group_hash(seed: int) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("grp").cast("string"))), 1, 8), 16, 10).cast("bigint")
+
+
+def _places(resample: np.uint64, lo: int, hi: int, n: int) -> np.ndarray:
+    """Rows that draws lo to hi of a resample take, of n: draws are numbered, so any task makes the same ones."""
+    i = np.arange(lo, hi, dtype=np.uint64)
+    h = _mix(resample ^ _mix(_mix(i >> np.uint64(32)) ^ (i & np.uint64(MASK))))
+    if n < 1 << 31:
+        return (h * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    return ((h << np.uint64(32) | _mix(h ^ np.uint64(MULTIPLIER))) % np.uint64(n)).astype(np.int64)
+
+
+def _counted_means(counts: DataFrame, resamples: int) -> DataFrame:
+    """Means of resamples of groups with few distinct values: draws are counted by value where they are made."""
+    rows = counts.groupBy("grp", "g", "n").agg(F.array_sort(F.collect_list(F.struct("value", "count"))).alias("vs"))
+    work = rows.select("grp", "g", "n", F.col("vs.value").alias("values"), F.col("vs.count").alias("counts"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(BLOCK))).alias("b"))
+    kind = counts.schema["grp"].dataType
+
+    def resampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, row in enumerate(batch.select(["g", "n", "values", "counts", "b"]).to_pylist()):
+                values, ends, n = np.array(row["values"]), np.cumsum(row["counts"]), row["n"]
+                first, last = row["b"], min(row["b"] + BLOCK, resamples)
+                keys = _mix(np.uint64(row["g"]) ^ _mix(np.arange(first, last, dtype=np.uint64)))
+                drawn = np.zeros((last - first, len(values)), np.int64)
+                for lo in range(0, n, AT_ONCE):
+                    for b, key in enumerate(keys):
+                        which = np.searchsorted(ends, _places(key, lo, min(lo + AT_ONCE, n), n), "right")
+                        drawn[b] += np.bincount(which, minlength=len(values))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[at].as_py()] * len(keys), batch.schema.field(0).type), pa.array(np.arange(first, last)), pa.array(drawn @ values / n)], names=["grp", "b", "mean"])
+
+    return work.repartition("grp", "b").mapInArrow(resampled, StructType([StructField("grp", kind), StructField("b", LongType()), StructField("mean", DoubleType())]))
+
+
+def _joined_means(values: DataFrame, resamples: int) -> DataFrame:
+    """Means of resamples of groups with many distinct values: every row makes the draws of its own number, which are joined by place."""
+    rows = materialised(numbered(values, ["grp"], ["value"]))
+    i = F.col("i")
+    drawn = rows.select("grp", "g", "n", F.col("at").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).cast("bigint").alias("b"))
+    drawn = drawn.withColumn("key", F.col("g").bitwiseXOR(_mix(F.col("b")))).withColumn("key", _mix(F.col("key")))
+    drawn = drawn.withColumn("m", _mix(F.shiftrightunsigned(i, 32)).bitwiseXOR(i.bitwiseAND(F.lit(MASK)))).withColumn("m", F.col("key").bitwiseXOR(_mix(F.col("m")))).withColumn("h", _mix(F.col("m")))
+    wide = F.shiftleft("h", 32).bitwiseOR(_mix(F.col("h").bitwiseXOR(F.lit(MULTIPLIER))))
+    far = (wide.cast("decimal(38,0)") + F.when(wide < 0, F.lit(2**64).cast("decimal(38,0)")).otherwise(0)) % F.col("n")
+    at = F.when(F.col("n") < 1 << 31, F.shiftright(F.col("h") * F.col("n"), 32)).otherwise(far.cast("bigint"))
+    return drawn.select("grp", "b", at.alias("at")).join(rows.select("grp", "at", "value"), ["grp", "at"]).groupBy("grp", "b").agg(F.avg("value").alias("mean"))
 
 
 def resampled_means(values: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
-    """(grp, b, mean) of bootstrap resamples of `value` by `grp`.
+    """(grp, b, mean) of bootstrap resamples of `value` by `grp`; null groups and values are left out.
 
-    Draw i of resample b takes the row that a hash of (seed, grp, b, i) names. Every row
-    makes the draws of its own number, so that they spread as the rows do, and a resample's
-    draws are added up before they are exchanged where the rows are few enough to be sent along.
+    Draw i of resample b takes the row, of the group's n in order of their values, that a hash
+    of (seed, grp, b, i) names. Where a group has at most FEW_VALUES distinct values, they and
+    their counts go to the tasks, each of which counts the draws of some resamples by value; of
+    other groups every row makes the draws of its own number. Both give the same means.
     """
-    rows = materialised(numbered(values))
-    draws = rows.select("grp", "n", F.col("at").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    drawn = draws.select("grp", "b", draw(F.concat_ws(":", F.lit(seed), "grp", "b", "i"), F.col("n")).alias("at"))
-    return drawn.join(rows.select("grp", "at", "value"), ["grp", "at"]).groupBy("grp", "b").agg(F.avg("value").alias("mean"))
+    known = values.where("grp IS NOT NULL AND value IS NOT NULL")
+    counts = materialised(known.groupBy("grp", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("count")))
+    groups = counts.groupBy("grp").agg(F.sum("count").alias("n"), F.count("*").alias("distinct")).withColumn("g", _group_hash(seed))
+    few, many = (groups.where(c).drop("distinct") for c in (F.col("distinct") <= FEW_VALUES, F.col("distinct") > FEW_VALUES))
+    out = _counted_means(counts.join(few, "grp"), resamples)
+    if many.limit(1).count():
+        out = out.unionByName(_joined_means(known.select("grp", F.col("value").cast("double").alias("value")).join(many, "grp"), resamples))
+    return out
 
 
 def bootstrap_interval(values: DataFrame, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:

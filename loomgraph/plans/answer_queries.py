@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import answers as a
 from loomgraph.operators import metrics
+from loomgraph.plans.evaluation_queries import interval_sql, means_sql, paired_sql
 from loomgraph.session import table
 
 #: Answers as models give them; {} is the true one.
@@ -108,12 +109,12 @@ def _records(spark, sf):
 
 def r7_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """The second system against the first, on their common questions."""
-    found = metrics.compared(_records(spark, sf), "first", 200)
-    return found.select("system", "n", F.round("d_em", 6).alias("d_em"), F.round("p_em", 9).alias("p_em"), F.round("d_f1", 6).alias("d_f1"))
+    found = metrics.compared(_records(spark, sf), "first")
+    return found.select("system", "n", F.round("d_em", 6).alias("d_em"), F.round("p_em", 9).alias("p_em"), F.round("d_f1", 6).alias("d_f1"), "p_f1")
 
 
 def a3_summary(spark: SparkSession, sf: str) -> DataFrame:
-    found = metrics.system_summary(_records(spark, sf), 200)
+    found = metrics.system_summary(_records(spark, sf))
     return found.select("system", "n", *[F.round(c, 6).alias(c) for c in ("em", "em_lo", "em_hi", "support_f1", "refusal_rate", "tokens_per_q", "seconds_per_q")])
 
 
@@ -254,19 +255,19 @@ _TWO = f"WITH {_CASES}, {_score('raw')}, first AS (SELECT * FROM s), " + _score(
 _TAIL = "list_sum(list_transform(range(0, least(b01, b10) + 1), lambda i: exp(lgamma(b01 + b10 + 1) - lgamma(i + 1) - lgamma(b01 + b10 - i + 1) - (b01 + b10) * ln(2))))"
 _SETS = "list_filter([CASE WHEN id % 2 = 0 THEN 0 END, CASE WHEN {x} % 3 = 0 THEN 1 END, CASE WHEN size % 2 = 0 THEN 2 END], lambda z: z IS NOT NULL)"
 _SUPPORT = f"CASE WHEN len({_SETS.format(x='id')}) = 0 AND len({_SETS.format(x='size')}) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect({_SETS.format(x='id')}, {_SETS.format(x='size')})) / (len({_SETS.format(x='id')}) + len({_SETS.format(x='size')})) END"
-_BOTH = f"""{_TWO}, records AS (SELECT 'first' AS system, * FROM first UNION ALL SELECT 'second', * FROM second), vals AS (SELECT system AS grp, em AS value, row_number() OVER (PARTITION BY system ORDER BY em) - 1 AS place, count(*) OVER (PARTITION BY system) AS n FROM records),
-drawn AS (SELECT grp, b, ('0x' || left(md5('0:' || grp || ':' || b || ':' || place), 12))::BIGINT % n AS place FROM (SELECT grp, n, place, unnest(range(0, 200)) AS b FROM vals)),
-means AS (SELECT grp, avg(value) AS mean, b FROM drawn JOIN vals USING (grp, place) GROUP BY grp, b), spans AS (SELECT grp, 100 * max(mean) FILTER (r = 5) AS lo, 100 * max(mean) FILTER (r = 195) AS hi FROM (SELECT grp, mean, row_number() OVER (PARTITION BY grp ORDER BY mean) - 1 AS r FROM means) GROUP BY 1)"""
+_BOTH = f"""{_TWO}, records AS (SELECT 'first' AS system, * FROM first UNION ALL SELECT 'second', * FROM second), {means_sql("SELECT system AS grp, em AS value FROM records")}, spans AS (SELECT grp, 100 * lo AS lo, 100 * hi AS hi FROM ({interval_sql()}))"""
 ORACLES = {
     "f24_matches": f"WITH {_CASES} SELECT id, CASE WHEN {_norm('raw')} = {_norm('answer')} THEN 1.0 ELSE 0.0 END AS exact, CASE WHEN trim(raw) = trim(answer) THEN 1.0 ELSE 0.0 END AS strict FROM c",
     "f26_scores": f"WITH {_CASES}, {_score('raw')} SELECT id, em, round(f1, 9) AS f1, refused FROM s",
     "f30_clean_answer": f"WITH {_CASES}, {_clean('raw')} SELECT id, answer_ AS answer FROM cleaned",
+    "f31_final_answer": f"WITH {_CASES}, {_clean("CASE WHEN raw = '' AND id % 7 = 0 THEN 'no line' ELSE raw END")} SELECT id, CASE WHEN id % 5 = 0 OR answer_ IS NULL THEN '{a.NOTHING}' ELSE 'ANSWER: ' || answer_ END AS answer FROM cleaned",
+    "f32_snapped": f"WITH {_CASES} SELECT id, CASE id % 4 WHEN 0 THEN 'ANSWER: ' || array_to_string(list_transform(string_split(answer, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') WHEN 1 THEN 'ANSWER: ' || brand WHEN 2 THEN 'ANSWER: nowhere' ELSE '{a.NOTHING}' END AS answer FROM c",
     "f34_outcomes": _STAGES + " SELECT id, stage FROM stages",
     "k15_stage_counts": _STAGES + " SELECT stage, n, row_number() OVER (ORDER BY n DESC, stage) AS rank FROM (SELECT stage, count(*) AS n FROM stages GROUP BY 1)",
     "p11_gold_in_evidence": f"WITH {_CASES} SELECT id, {_INSIDE} AS inside FROM c",
     "j14_scored_predictions": _GOLD + " SELECT id, strict_em, normalized_em, alias_em, round(f1, 9) AS f1 FROM m",
     "a4_dataset_metrics": _GOLD + " SELECT round(100 * avg(strict_em), 2) AS strict_em, round(100 * avg(normalized_em), 2) AS normalized_em, round(100 * avg(alias_em), 2) AS answer_em, round(100 * avg(alias_em), 2) AS alias_em, round(100 * avg(f1), 2) AS answer_f1, count(*) AS evaluated_cases FROM m",
-    "r7_comparison": f"{_TWO}, pairs AS (SELECT a.em AS ea, b.em AS eb, a.f1 AS fa, b.f1 AS fb FROM second a JOIN first b USING (id)), counts AS (SELECT count(*) AS n, count(*) FILTER (ea <> 1 AND eb = 1) AS b01, count(*) FILTER (ea = 1 AND eb <> 1) AS b10, round(100 * (avg(ea) - avg(eb)), 6) AS d_em, round(100 * (avg(fa) - avg(fb)), 6) AS d_f1 FROM pairs) SELECT 'second' AS system, n, d_em, round(CASE WHEN b01 + b10 = 0 THEN 1.0 ELSE least(1.0, 2 * {_TAIL}) END, 9) AS p_em, d_f1 FROM counts",
+    "r7_comparison": f"{_TWO}, pairs AS (SELECT a.em AS ea, b.em AS eb, a.f1 AS fa, b.f1 AS fb FROM second a JOIN first b USING (id)), f1_pairs AS (SELECT 'second' AS grp, fa AS a, fb AS b FROM pairs), {paired_sql('f1_pairs')}, counts AS (SELECT count(*) AS n, count(*) FILTER (ea <> 1 AND eb = 1) AS b01, count(*) FILTER (ea = 1 AND eb <> 1) AS b10, round(100 * (avg(ea) - avg(eb)), 6) AS d_em, round(100 * (avg(fa) - avg(fb)), 6) AS d_f1 FROM pairs) SELECT 'second' AS system, n, d_em, round(CASE WHEN b01 + b10 = 0 THEN 1.0 ELSE least(1.0, 2 * {_TAIL}) END, 9) AS p_em, d_f1, p AS p_f1 FROM counts, paired",
     "a3_summary": f"{_BOTH} SELECT system, count(*) AS n, round(100 * avg(em), 6) AS em, round(any_value(lo), 6) AS em_lo, round(any_value(hi), 6) AS em_hi, round(100 * avg(CASE WHEN answerable THEN {_SUPPORT} END), 6) AS support_f1, round(100 * avg(CASE WHEN refused THEN 1.0 ELSE 0.0 END), 6) AS refusal_rate, round(avg(length(raw)), 6) AS tokens_per_q, round(avg(price), 6) AS seconds_per_q FROM records JOIN spans ON grp = system GROUP BY 1",
     "a6_usage": f"WITH {_CALLS} SELECT question_id, {_USAGE}, coalesce(sum(tokens) FILTER (kind <> 'other'), 0) AS total_tokens, coalesce(sum(seconds) FILTER (kind <> 'other'), 0) AS seconds, count(*) FILTER (kind <> 'other' AND NOT cached) AS llm_calls, count(*) FILTER (kind = 'extract' AND cached) AS extract_cache_hits, count(*) FILTER (kind = 'finalize') AS finalize_calls FROM calls GROUP BY 1",
     "a10_costs": f"WITH {_CALLS}, each AS (SELECT event_type AS system, question_id, {_USAGE} FROM calls GROUP BY 1, 2) SELECT system, round(avg(index_tokens), 6) AS index_tokens, round(avg(query_tokens), 6) AS query_tokens, round(avg(index_seconds), 6) AS index_seconds, round(avg(query_seconds), 6) AS query_seconds FROM each GROUP BY 1",

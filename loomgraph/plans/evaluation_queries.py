@@ -18,8 +18,9 @@ def _questions(spark, sf):
 
 
 def _names(spark, sf):
-    """Names to find: the first three words of each item."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("name_id"), F.concat_ws(" ", F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"((?U)\w+)"), F.lit(1)), 1, 3)).alias("name"))
+    """Names to find: the first three words of each item, as they stand there."""
+    first = F.regexp_extract("text", r"(?U)^\W*(\w+\W+\w+\W+\w+)", 1)
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("name_id"), F.coalesce(first, F.lit("")).alias("name"))
 
 
 def a8_term_weights(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,8 +218,10 @@ weights AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SE
 _BM25 = _POST + f""", asked AS (SELECT item_id AS question_id, term, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY 1, 2),
 scores AS (SELECT question_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / CASE WHEN avgdl > 0 THEN avgdl ELSE 1 END))) AS score FROM asked JOIN posted USING (term) JOIN weights USING (term) JOIN lens USING (doc_id), size GROUP BY 1, 2),
 best AS (SELECT question_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores) WHERE rank <= {TOP})"""
-_MENTION = f"""names AS (SELECT item_id AS name_id, array_to_string({_W}[1:3], ' ') AS name FROM benchmark), flat AS (SELECT doc_id, text, ' ' || array_to_string({_W}, ' ') || ' ' AS flat FROM documents),
-mentions AS (SELECT doc_id, name_id, len(string_split(text, chr(10))) AS lines FROM flat JOIN names ON contains(flat, ' ' || name || ' ') WHERE name <> '')"""
+_WORD = "[\\p{L}\\p{N}_]"
+_NOT = "[^\\p{L}\\p{N}_]"
+_MENTION = f"""names AS (SELECT item_id AS name_id, lower(regexp_extract(text, '^{_NOT}*({_WORD}+{_NOT}+{_WORD}+{_NOT}+{_WORD}+)', 1)) AS name FROM benchmark),
+mentions AS MATERIALIZED (SELECT doc_id, name_id, len(string_split(text, chr(10))) AS lines FROM documents JOIN names ON contains(lower(text), name) WHERE name <> '' AND regexp_matches(lower(text), '(?:^|{_NOT})' || regexp_escape(name) || '(?:$|{_NOT})'))"""
 _LINKS = _MENTION + """, links AS (SELECT name_id AS question_id, doc_id, 1 AS dist, 0 AS kind FROM mentions WHERE lines < 5 UNION ALL SELECT name_id, doc_id, CASE WHEN lines < 20 THEN 1 ELSE 2 END, 1 FROM mentions),
 best_link AS (SELECT question_id, doc_id, l.dist AS dist, l.kind AS kind FROM (SELECT question_id, doc_id, min({'dist': dist, 'kind': kind}) AS l FROM links GROUP BY 1, 2)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY dist, kind, doc_id) AS rank FROM best_link)"""
@@ -226,15 +229,36 @@ _LABELLED = "labelled AS (SELECT l.doc_id, quality, toxic, lang, source, n_chars
 _COMB = "SELECT source AS grp, count(*) FILTER (quality = 0 AND toxic = 1) AS b01, count(*) FILTER (quality = 1 AND toxic = 0) AS b10 FROM labelled GROUP BY 1"
 _TAIL = "list_sum(list_transform(range(0, least(b01, b10) + 1), lambda i: exp(lgamma(b01 + b10 + 1) - lgamma(i + 1) - lgamma(b01 + b10 - i + 1) - (b01 + b10) * ln(2))))"
 _MCNEMAR = _LABELLED + f", tests AS (SELECT grp, b01, b10, round(CASE WHEN b01 + b10 = 0 THEN 1.0 ELSE least(1.0, 2 * {_TAIL}) END, 9) AS p FROM ({_COMB}))"
-_HASH = "('0x' || left(md5('0:' || grp || ':' || b || ':' || i), 12))::BIGINT % n"
 
 
-def _means(values: str) -> str:
-    return f"""vals AS ({values}), places AS (SELECT grp, value, row_number() OVER (PARTITION BY grp ORDER BY value) - 1 AS place FROM vals), ns AS (SELECT grp, count(*) AS n FROM vals GROUP BY 1),
-drawn AS (SELECT grp, b, {_HASH} AS place FROM (SELECT grp, n, b, unnest(range(0, n)) AS i FROM (SELECT grp, n, unnest(range(0, {RESAMPLES})) AS b FROM ns))),
+def _mixed(source: str) -> str:
+    """`source` with its column x hashed as `stats` hashes draws."""
+    for _ in range(2):
+        source = f"SELECT * REPLACE ((xor(x >> 16, x) * {stats.MULTIPLIER}) & {stats.MASK} AS x) FROM ({source})"
+    return f"SELECT * REPLACE (xor(x >> 16, x) AS x) FROM ({source})"
+
+
+def means_sql(values: str, resamples: int = RESAMPLES) -> str:
+    """means (grp, b, mean) of resamples of (grp, value), draw by draw."""
+    return f"""vals AS ({values}), places AS MATERIALIZED (SELECT grp, value, row_number() OVER (PARTITION BY grp ORDER BY value) - 1 AS place FROM vals WHERE grp IS NOT NULL AND value IS NOT NULL),
+ns AS (SELECT grp, count(*) AS n, ('0x' || left(md5('0:' || grp), 8))::BIGINT AS g FROM places GROUP BY 1),
+bs AS ({_mixed(f"SELECT b, b AS x FROM range(0, {resamples}) t(b)")}), keyed AS MATERIALIZED ({_mixed("SELECT grp, n, b, xor(g, x) AS x FROM ns, bs")}),
+numbered AS ({_mixed("SELECT grp, n, b, x AS key, unnest(range(0, n)) AS x FROM keyed")}),
+drawn AS (SELECT grp, b, (x * n) >> 32 AS place FROM ({_mixed("SELECT grp, n, b, xor(key, x) AS x FROM numbered")})),
 means AS (SELECT grp, b, avg(value) AS mean FROM drawn JOIN places USING (grp, place) GROUP BY 1, 2)"""
 
 
+def interval_sql(resamples: int = RESAMPLES) -> str:
+    """(grp, lo, hi) from `means`."""
+    return f"SELECT grp, max(mean) FILTER (r = {int(0.025 * resamples)}) AS lo, max(mean) FILTER (r = {min(resamples - 1, int(0.975 * resamples))}) AS hi FROM (SELECT grp, mean, row_number() OVER (PARTITION BY grp ORDER BY mean) - 1 AS r FROM means) GROUP BY 1"
+
+
+def paired_sql(pairs: str, resamples: int = RESAMPLES) -> str:
+    """paired (grp, delta, p) of (grp, a, b) in the relation `pairs`."""
+    return f"""deltas AS (SELECT grp, avg(a - b) AS delta FROM {pairs} GROUP BY 1), {means_sql(f"SELECT grp, a - b - delta AS value FROM {pairs} JOIN deltas USING (grp)", resamples)},
+paired AS (SELECT grp, delta, (count(*) FILTER (abs(mean) >= abs(delta) - 1e-12) + 1) / {resamples + 1} AS p FROM means JOIN deltas USING (grp) GROUP BY 1, 2)"""
+
+
 _CONTENT = lambda x: f"list_filter(list_distinct(regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}_]+')), lambda w: w NOT IN {lists(hops.QUESTION_STOP)})"
 _MEDIUM = " OR ".join(f"contains(lower(title), '({k}')" for k in hops.MEDIA["director"])
 _HOPS = f"""base AS (SELECT doc_id % 20 AS question_id, doc_id AS ord, text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents),
@@ -276,7 +300,8 @@ scored AS (SELECT question_id, ord, 0.40 * coalesce(in_title, 0) + 0.35 * coales
     "j15_unfinished": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "j16_role_runs": "SELECT conv_id, run, role, min(turn) AS first_turn, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS c FROM conversations)) GROUP BY 1, 2, 3",
     "k14_holm": f"WITH {_MCNEMAR} SELECT grp AS name, round(max(step) OVER (ORDER BY p, grp), 6) AS adjusted FROM (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, grp) + 1) * p) AS step FROM tests)",
-    "r1_bootstrap": f"WITH {_LABELLED}, {_means('SELECT lang AS grp, quality::DOUBLE AS value FROM labelled')} SELECT grp, round(max(mean) FILTER (r = {int(0.025 * RESAMPLES)}), 9) AS lo, round(max(mean) FILTER (r = {min(RESAMPLES - 1, int(0.975 * RESAMPLES))}), 9) AS hi FROM (SELECT grp, mean, row_number() OVER (PARTITION BY grp ORDER BY mean) - 1 AS r FROM means) GROUP BY 1",
+    "r1_bootstrap": f"WITH {_LABELLED}, {means_sql('SELECT lang AS grp, quality::DOUBLE AS value FROM labelled')} SELECT grp, round(lo, 9) AS lo, round(hi, 9) AS hi FROM ({interval_sql()})",
+    "r2_paired_bootstrap": f"WITH {_LABELLED}, both_sides AS (SELECT lang AS grp, quality::DOUBLE AS a, 1.0::DOUBLE - toxic AS b FROM labelled), {paired_sql('both_sides')} SELECT grp, round(delta, 6) AS delta, p FROM paired",
     "r3_mcnemar": f"WITH {_MCNEMAR} SELECT grp, b01, b10, p FROM tests",
     "r4_kappa": f"WITH {_LABELLED} SELECT grp, n, round(CASE WHEN pe = 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM (SELECT source AS grp, count(*) AS n, avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END) AS po, (sum(quality) * sum(toxic) + sum(1 - quality) * sum(1 - toxic)) / (count(*) * count(*)) AS pe FROM labelled GROUP BY 1)",
     "r9_seeded_sample": "SELECT doc_id FROM documents ORDER BY md5('13:' || doc_id), doc_id LIMIT 50",

@@ -7,9 +7,18 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators import aliases, anchoring, coerce, rewrite, senses
+from loomgraph.functions import vocab as v
+from loomgraph.operators import aliases, anchoring, coerce, evidence, rewrite, senses
+from loomgraph.plans.text_queries import _STEM, lists
 from loomgraph.session import importable, table
 
+
+
+def stems_sql(text: str) -> str:
+    """Content stems of a text, as a list."""
+    return f"list_distinct(list_transform(list_filter(regexp_extract_all({text}, '[A-Za-z]+'), lambda w: length(w) > 2 AND lower(w) NOT IN {lists(v.RELEVANCE_STOP)}), lambda w: {_STEM('lower(w)')}))"
+
+
 #: Payloads in the shapes that extractors give.
 PAYLOADS = (
     json.dumps({"events": [{"temp_id": "e1", "lemma": "found", "sense_id": "found.01", "roles": {":ARG0": "Ada Lee", "ARG1": "Acme Corp", "when": "1999"}, "time_context": 1999, "spatial_context": "Canyon, Texas, United States"}], "discourse": [{"source": "e1", "target": "e2", "rel": "prior to"}]}),
@@ -126,6 +135,29 @@ def f41_role_meanings(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("roleset_id", senses.role_meanings_json(F.create_map(F.lit(":ARG1"), F.lit("x"), F.lit(":ARG2"), F.lit("y"), F.lit(":ARGM-LOC"), F.lit("z")), F.col("roles")).alias("meanings"))
 
 
+def _cataloged(spark, sf):
+    """An event a part, in the first or second sense of its noun, with brand, name, type and size bound to it."""
+    p, key = table(spark, sf, "part"), F.col("p_partkey")
+    lemma = F.split_part("p_name", F.lit(" "), F.lit(2))
+    bound = F.array(*[F.struct(F.lit(r).alias("role"), F.col(c).cast("string").alias("name")) for r, c in ((":ARG0", "p_brand"), (":ARG1", "p_name"), (":ARG2", "p_type"), (":ARGM-POSS", "p_size"))])
+    rows = p.select(F.lit("g").alias("graph_id"), F.concat(F.lit("made:"), key).alias("event_id"), key.cast("bigint").alias("ord"), lemma.alias("lemma"), F.concat(lemma, F.lit(".0"), 1 + key % 2).alias("sense"), F.explode(bound).alias("b"))
+    return rows.select("graph_id", "event_id", "ord", "lemma", "sense", "b.role", F.col("b.name").alias("entity"), "b.name")
+
+
+def e2_catalog_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events whose roles have the meanings of a roleset catalog."""
+    return evidence.rendered(_cataloged(spark, sf), spark, rolesets=_rolesets(spark, sf)).select("event_id", "block")
+
+
+def e3_catalog_relevance(spark: SparkSession, sf: str) -> DataFrame:
+    """Relevance of every part's event to a question about its size and colour, by the catalog's meanings."""
+    p = table(spark, sf, "part")
+    events = p.select(F.lit("g").alias("graph_id"), F.col("p_size").cast("bigint").alias("question_id"), F.concat(F.lit("made:"), "p_partkey").alias("event_id"), F.lit(0).alias("dist"))
+    colour = F.when(F.col("p_size") % 2 == 0, "red bolts").otherwise("small rings")
+    questions = p.select(F.col("p_size").cast("bigint").alias("question_id"), F.concat(F.lit("Which agents make "), colour, F.lit(" as things?")).alias("text")).distinct()
+    return evidence.with_relevance(events, questions, _cataloged(spark, sf), _rolesets(spark, sf)).select("question_id", "event_id", "ord", "relevance")
+
+
 def w18_unique_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of orders proposed by priority, made unique a customer."""
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("graph_id"), F.col("o_orderpriority").alias("event_id"), F.col("o_orderkey").alias("ord"))
@@ -170,7 +202,26 @@ def _part(where: str, lemma: str, sense: str, roles: str, time: str = "time", pl
     return f"SELECT k || ':0' AS event_id, 0 AS derived_ord, {at} AS part_ord, '{lemma}' AS lemma, '{sense}' AS sense_id, {roles} AS roles, {time} AS time, {place} AS place, 'an order' AS source FROM said WHERE form = {where}"
 
 
-QUERIES = {f.__name__: f for f in (c10_payload_events, c10_stated_payloads, c12_discourse, w0_rewrites, w0_stated_payloads, w15_role_bindings, j6_candidate_senses, a7_disambiguated, w14_aligned_roles, f41_role_meanings, w18_unique_ids, e4_anchors, j7_mentioned_names, f18_acronyms)}
+_TITLE = lambda x: f"array_to_string(list_transform(string_split(lower({x}), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')"
+_CRC = lambda x: f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda c: ord(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, d: xor(c >> 1, (c & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"
+#: What the suppliers' questions mention: at, length, in capitals, exactly.
+_MENTIONED = f"""named AS (SELECT s_suppkey AS k, s_name, n_name, r_name, {_TITLE('r_name')} AS title FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+hits AS (
+  SELECT k, s_name AS name, 9 AS lo, 9 + length(s_name) AS hi, true AS capital, true AS exact FROM named WHERE k % 4 = 0
+  UNION ALL SELECT k, n_name, 9 + length(s_name) + 10, 9 + length(s_name) + 10 + length(n_name), true, true FROM named WHERE k % 4 = 0
+  UNION ALL SELECT k, r_name, 13, 13 + length(title), true, true FROM named WHERE k % 4 = 1
+  UNION ALL SELECT k, n_name, 13 + length(title) + 18, 13 + length(title) + 18 + length(n_name), true, true FROM named WHERE k % 4 = 1
+  UNION ALL SELECT k, r_name, 5, 5 + length(title), true, true FROM named WHERE k % 4 = 2
+  UNION ALL SELECT k, title || unnest([' Central Holdings', ' Holdings: A History']), 5, 5 + length(title) + 9, true, false FROM named WHERE k % 4 = 2
+  UNION ALL SELECT k, r_name, 6, 6 + length(r_name), false, true FROM named WHERE k % 4 = 3)"""
+_DECLARED = """asked AS (SELECT p_partkey, p_name, list_filter(range(0, 6), lambda i: (p_partkey >> i) & 1 = 1) AS core, split_part(p_name, ' ', 2) AS lemma FROM part),
+declared AS (SELECT a.*, r.roleset_id, CASE WHEN r.ord % 2 = 0 THEN [1, 2] ELSE [0, 1, 3] END AS slots FROM asked a JOIN rolesets r USING (lemma) WHERE r.ord <= 2),
+parted AS (SELECT *, list_filter(core, lambda k: list_contains(slots, k)) AS own, list_filter(core, lambda k: NOT list_contains(slots, k)) AS strays, list_filter(slots, lambda k: NOT list_contains(core, k) AND k <> 0) AS free FROM declared),
+placed AS (SELECT *, CASE WHEN list_contains(core, 0) AND NOT list_contains(slots, 0) THEN list_transform(core[1:len(slots)], lambda k, i: {'slot': slots[i], 'k': k})
+  ELSE list_concat(list_transform(own, lambda k: {'slot': k, 'k': k}), list_filter(list_transform(strays, lambda k, i: {'slot': coalesce(free[i], CASE WHEN k <= 2 THEN k END), 'k': k}), lambda x: x.slot IS NOT NULL)) END AS pairs FROM parted)"""
+_CATALOGED = """bound AS (SELECT p_partkey, p_size AS size, 'made:' || p_partkey AS event_id, split_part(p_name, ' ', 2) AS lemma, split_part(p_name, ' ', 2) || '.0' || (1 + p_partkey % 2) AS sense, unnest([':ARG0', ':ARG1', ':ARG2', ':ARGM-POSS']) AS role, unnest([p_brand, p_name, p_type, CAST(p_size AS VARCHAR)]) AS name FROM part),
+told AS (SELECT b.*, CASE WHEN role = ':ARGM-POSS' THEN 'possessor' WHEN r.ord IS NULL THEN '' WHEN r.ord % 2 = 0 THEN CASE role WHEN ':ARG1' THEN first WHEN ':ARG2' THEN 'thing' ELSE '' END ELSE CASE role WHEN ':ARG0' THEN 'agent' WHEN ':ARG1' THEN 'thing made' ELSE '' END END AS meaning FROM bound b LEFT JOIN rolesets r ON r.roleset_id = b.sense)"""
+QUERIES = {f.__name__: f for f in (c10_payload_events, c10_stated_payloads, c12_discourse, w0_rewrites, w0_stated_payloads, w15_role_bindings, j6_candidate_senses, a7_disambiguated, w14_aligned_roles, f41_role_meanings, e2_catalog_events, e3_catalog_relevance, w18_unique_ids, e4_anchors, j7_mentioned_names, f18_acronyms)}
 ORACLES: dict[str, str] = {
     "c10_payload_events": f"WITH {_MADE} SELECT k AS payload, 0 AS event_ord, 'e' || k AS temp_id, CASE form WHEN 0 THEN 'inspect' WHEN 1 THEN 'Marry' WHEN 2 THEN 'be' WHEN 3 THEN 'be_located' ELSE 'born' END AS lemma, CASE form WHEN 0 THEN 'inspect' WHEN 1 THEN 'marry' WHEN 2 THEN 'be' WHEN 3 THEN 'be_located' ELSE 'born' END || '.01' AS sense_id, ':ARG0=' || person || '; :ARG1=' || second || CASE WHEN form = 0 THEN '; :ARGM-TMP=' || y WHEN form = 1 THEN '; :manner=unknown' ELSE '; :manner=by hand' END AS roles, time, CASE WHEN form = 2 THEN 'Port Said < Egypt' ELSE '' END AS place, 'Unattributed' AS source, sure AS confidence, true AS valid FROM said",
     "c12_discourse": f"WITH {_MADE} SELECT k AS payload, 0 AS link_ord, 'e' || k AS source_id, 'e' || (k + 1) AS target_id, CASE form WHEN 0 THEN ':before' WHEN 1 THEN ':after' ELSE ':cause' END AS relation FROM said",
@@ -187,6 +238,13 @@ ORACLES: dict[str, str] = {
         )
     ),
     "w15_role_bindings": f"WITH {_MADE} SELECT k || ':0' AS event_id, unnest([':ARG0', ':ARG1', CASE WHEN form = 0 THEN ':ARGM-TMP' ELSE ':manner' END]) AS role, unnest([person, second, CASE WHEN form = 0 THEN CAST(y AS VARCHAR) WHEN form = 1 THEN 'unknown' ELSE 'by hand' END]) AS name FROM said UNION ALL SELECT k || ':0', ':location', 'Port Said' FROM said WHERE form = 2",
+    "e2_catalog_events": f"WITH {_ROLESETS}, {_CATALOGED} SELECT event_id, '- [' || event_id || '] ' || lemma || ' (' || sense || '): ' || string_agg(ltrim(role, ':') || CASE WHEN meaning = '' THEN '' ELSE '[' || meaning || ']' END || '=' || name, '; ' ORDER BY role) AS block FROM told GROUP BY event_id, lemma, sense",
+    "e3_catalog_relevance": f"""WITH {_ROLESETS}, {_CATALOGED}, stems AS (SELECT p_partkey, event_id, size, {stems_sql("lemma || ' ' || string_agg(meaning, ' ')")} AS stems FROM told GROUP BY p_partkey, event_id, size, lemma)
+  SELECT size AS question_id, event_id, p_partkey AS ord, len(list_intersect(stems, {stems_sql("'Which agents make ' || CASE WHEN size % 2 = 0 THEN 'red bolts' ELSE 'small rings' END || ' as things?'")})) AS relevance FROM stems""",
+    "w14_aligned_roles": f"WITH {_ROLESETS}, {_DECLARED} SELECT p_partkey, roleset_id, array_to_string(list_append(list_transform(list_sort(pairs), lambda x: ':ARG' || x.slot || '=' || x.k || '=' || p_name), ':manner=fast'), '; ') AS roles FROM placed",
+    "e4_anchors": f"WITH {_MENTIONED}, longest AS (SELECT * FROM hits WHERE k % 4 <> 2 OR NOT exact) SELECT k AS question_id, name, CAST(row_number() OVER (PARTITION BY k ORDER BY lo, {_CRC('name')}, name) - 1 AS INTEGER) AS place FROM longest",
+    "j7_mentioned_names": f"WITH {_MENTIONED} SELECT k AS question_id, name, lo, hi, capital, exact FROM hits",
+    "f18_acronyms": f"SELECT 'part:' || p_partkey AS id, {_TITLE('p_name')} || ' of ' || {_TITLE('p_type')} AS name, upper(left(p_name, 1) || left(split_part(p_name, ' ', 2), 1) || left(p_type, 1)) AS alias FROM part",
     "j6_candidate_senses": f"WITH {_ROLESETS}, {_PARTS} SELECT DISTINCT p.said AS lemma, r.roleset_id, r.ord FROM parts p JOIN rolesets r USING (lemma)",
     "a7_disambiguated": f"WITH {_ROLESETS}, {_PARTS}, rated AS (SELECT event_id, roleset_id, ord, len(list_intersect(words, {_GLOSS})) AS overlap FROM parts JOIN rolesets USING (lemma)) SELECT event_id, roleset_id, overlap FROM rated QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY overlap DESC, ord) = 1",
     "f41_role_meanings": f"WITH {_ROLESETS} SELECT roleset_id, CASE WHEN ord % 2 = 0 THEN '{{\":ARG1\":\"' || first || '\",\":ARG2\":\"thing\"}}' ELSE '{{\":ARG1\":\"thing made\"}}' END AS meanings FROM rolesets",

@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from loomgraph.session import table
 
 
-def _pair(df: DataFrame, sense: str, event, first, second, roles=("ARG0", "ARG1")) -> DataFrame:
+#: Verbs of the senses: not their frames' names.
+VERBS = {"buy.01": "purchase", "contain.01": "hold", "supply.01": "deliver", "locate.01": "lie", "alias.01": "alias"}
+
+
+def _pair(df: DataFrame, kind: int, sense: str, event, at, first, second, roles=(":ARG0", ":ARG1")) -> DataFrame:
     sides = F.array(*[F.struct(F.lit(r).alias("role"), e.alias("entity")) for r, e in zip(roles, (first, second))])
-    return df.select(F.lit("g").alias("graph_id"), event.alias("event_id"), F.lit(sense).alias("sense"), F.explode(sides).alias("b")).select("graph_id", "event_id", "sense", F.col("b.role").alias("role"), F.col("b.entity").alias("entity"))
+    rows = df.select(F.lit("g").alias("graph_id"), event.alias("event_id"), (F.lit(kind * 10**15) + at).alias("ord"), F.lit(VERBS[sense]).alias("lemma"), F.lit(sense).alias("sense"), F.explode(sides).alias("b"))
+    return rows.select("graph_id", "event_id", "ord", "lemma", "sense", F.col("b.role").alias("role"), F.col("b.entity").alias("entity"), F.col("b.entity").alias("name"))
 
 
 def tag(kind: str, column: str):
@@ -23,19 +28,19 @@ def tag(kind: str, column: str):
 
 
 def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """graph_id, event_id, sense, role, entity."""
+    """graph_id, event_id, ord, lemma, sense, role, entity, name."""
     t = lambda name: table(spark, sf_dir, name)
     supplied = t("lineitem").select("l_suppkey", "l_partkey").distinct()
     lines = t("lineitem").select("l_orderkey", "l_partkey").distinct()
-    place = ("ARG1", "ARG2")
+    place, both = (":ARG1", ":ARG2"), lambda a, b: F.col(a) * 10**7 + F.col(b)
     parts = [
-        _pair(t("orders"), "buy.01", tag("buy", "o_orderkey"), tag("customer", "o_custkey"), tag("order", "o_orderkey")),
-        _pair(lines, "contain.01", F.concat_ws(":", F.lit("contain"), "l_orderkey", "l_partkey"), tag("order", "l_orderkey"), tag("part", "l_partkey")),
-        _pair(supplied, "supply.01", F.concat_ws(":", F.lit("supply"), "l_suppkey", "l_partkey"), tag("supplier", "l_suppkey"), tag("part", "l_partkey")),
-        _pair(t("customer"), "locate.01", tag("at:customer", "c_custkey"), tag("customer", "c_custkey"), tag("nation", "c_nationkey"), place),
-        _pair(t("supplier"), "locate.01", tag("at:supplier", "s_suppkey"), tag("supplier", "s_suppkey"), tag("nation", "s_nationkey"), place),
-        _pair(t("nation"), "locate.01", tag("at:nation", "n_nationkey"), tag("nation", "n_nationkey"), tag("region", "n_regionkey"), place),
-        _pair(t("nation"), "alias.01", tag("alias", "n_nationkey"), tag("nation", "n_nationkey"), tag("name", "n_name")),
+        _pair(t("orders"), 0, "buy.01", tag("buy", "o_orderkey"), F.col("o_orderkey"), tag("customer", "o_custkey"), tag("order", "o_orderkey")),
+        _pair(lines, 1, "contain.01", F.concat_ws(":", F.lit("contain"), "l_orderkey", "l_partkey"), both("l_orderkey", "l_partkey"), tag("order", "l_orderkey"), tag("part", "l_partkey")),
+        _pair(supplied, 2, "supply.01", F.concat_ws(":", F.lit("supply"), "l_suppkey", "l_partkey"), both("l_suppkey", "l_partkey"), tag("supplier", "l_suppkey"), tag("part", "l_partkey")),
+        _pair(t("customer"), 3, "locate.01", tag("at:customer", "c_custkey"), F.col("c_custkey"), tag("customer", "c_custkey"), tag("nation", "c_nationkey"), place),
+        _pair(t("supplier"), 4, "locate.01", tag("at:supplier", "s_suppkey"), F.col("s_suppkey"), tag("supplier", "s_suppkey"), tag("nation", "s_nationkey"), place),
+        _pair(t("nation"), 5, "locate.01", tag("at:nation", "n_nationkey"), F.col("n_nationkey"), tag("nation", "n_nationkey"), tag("region", "n_regionkey"), place),
+        _pair(t("nation"), 6, "alias.01", tag("alias", "n_nationkey"), F.col("n_nationkey"), tag("nation", "n_nationkey"), tag("name", "n_name")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -72,14 +77,14 @@ CONTEXTS_SQL = """contexts AS (
 SQL = """
 questions AS (SELECT n_nationkey AS question_id, 'Where was the supply of parts located in ' || n_name || ' that customers bought?' AS text FROM nation),
 pairs AS (
-  SELECT 'buy.01' AS sense, 'buy:' || o_orderkey AS event_id, 'ARG0' AS r1, 'customer:' || o_custkey AS e1, 'ARG1' AS r2, 'order:' || o_orderkey AS e2 FROM orders
-  UNION ALL SELECT 'contain.01', 'contain:' || l_orderkey || ':' || l_partkey, 'ARG0', 'order:' || l_orderkey, 'ARG1', 'part:' || l_partkey FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
-  UNION ALL SELECT 'supply.01', 'supply:' || l_suppkey || ':' || l_partkey, 'ARG0', 'supplier:' || l_suppkey, 'ARG1', 'part:' || l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
-  UNION ALL SELECT 'locate.01', 'at:customer:' || c_custkey, 'ARG1', 'customer:' || c_custkey, 'ARG2', 'nation:' || c_nationkey FROM customer
-  UNION ALL SELECT 'locate.01', 'at:supplier:' || s_suppkey, 'ARG1', 'supplier:' || s_suppkey, 'ARG2', 'nation:' || s_nationkey FROM supplier
-  UNION ALL SELECT 'locate.01', 'at:nation:' || n_nationkey, 'ARG1', 'nation:' || n_nationkey, 'ARG2', 'region:' || n_regionkey FROM nation
-  UNION ALL SELECT 'alias.01', 'alias:' || n_nationkey, 'ARG0', 'nation:' || n_nationkey, 'ARG1', 'name:' || n_name FROM nation),
-bindings AS (SELECT event_id, sense, r1 AS role, e1 AS entity FROM pairs UNION ALL SELECT event_id, sense, r2, e2 FROM pairs),
+  SELECT 'buy.01' AS sense, 'purchase' AS lemma, CAST(o_orderkey AS BIGINT) AS ord, 'buy:' || o_orderkey AS event_id, ':ARG0' AS r1, 'customer:' || o_custkey AS e1, ':ARG1' AS r2, 'order:' || o_orderkey AS e2 FROM orders
+  UNION ALL SELECT 'contain.01', 'hold', 1000000000000000 + l_orderkey * 10000000 + l_partkey, 'contain:' || l_orderkey || ':' || l_partkey, ':ARG0', 'order:' || l_orderkey, ':ARG1', 'part:' || l_partkey FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
+  UNION ALL SELECT 'supply.01', 'deliver', 2000000000000000 + l_suppkey * 10000000 + l_partkey, 'supply:' || l_suppkey || ':' || l_partkey, ':ARG0', 'supplier:' || l_suppkey, ':ARG1', 'part:' || l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
+  UNION ALL SELECT 'locate.01', 'lie', 3000000000000000 + c_custkey, 'at:customer:' || c_custkey, ':ARG1', 'customer:' || c_custkey, ':ARG2', 'nation:' || c_nationkey FROM customer
+  UNION ALL SELECT 'locate.01', 'lie', 4000000000000000 + s_suppkey, 'at:supplier:' || s_suppkey, ':ARG1', 'supplier:' || s_suppkey, ':ARG2', 'nation:' || s_nationkey FROM supplier
+  UNION ALL SELECT 'locate.01', 'lie', 5000000000000000 + n_nationkey, 'at:nation:' || n_nationkey, ':ARG1', 'nation:' || n_nationkey, ':ARG2', 'region:' || n_regionkey FROM nation
+  UNION ALL SELECT 'alias.01', 'alias', 6000000000000000 + n_nationkey, 'alias:' || n_nationkey, ':ARG0', 'nation:' || n_nationkey, ':ARG1', 'name:' || n_name FROM nation),
+bindings AS (SELECT event_id, ord, lemma, sense, r1 AS role, e1 AS entity FROM pairs UNION ALL SELECT event_id, ord, lemma, sense, r2, e2 FROM pairs),
 degrees AS (SELECT entity, count(*) AS degree FROM bindings GROUP BY 1),
 anchors AS (SELECT n_nationkey AS question_id, 1 AS place, 'name:' || n_name AS entity FROM nation UNION ALL SELECT n_nationkey, 2, 'region:' || n_regionkey FROM nation)
 """

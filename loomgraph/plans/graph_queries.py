@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from loomgraph.functions import vocab as v
 from loomgraph.operators import evidence, graph
 from loomgraph.plans import fixture
-from loomgraph.plans.text_queries import _STEM, lists
+from loomgraph.plans.event_queries import stems_sql
 from loomgraph.session import table
+from loomgraph.storage import materialised
 
 HOPS, HUB, TOP = 3, 300, 40
 NAMES = "SELECT question_id, entity FROM anchors WHERE place = 1"
@@ -161,7 +162,7 @@ def k3_round_robin(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates among the entities of the first events."""
     b, anchors = fixture.bindings(spark, sf), _names(spark, sf)
     entities, events = graph.explore(b, anchors, HOPS, HUB)
-    rated = evidence.with_relevance(events, fixture.questions(spark, sf), b)
+    rated = materialised(evidence.with_relevance(events, fixture.questions(spark, sf), b))
     found = evidence.candidates(entities, evidence.top_events(rated, TOP), rated, b, anchors)
     return evidence.round_robin(found, 10).select("question_id", "entity", "dist", "relevance", "rank")
 
@@ -183,9 +184,9 @@ def _sql(*steps: str) -> str:
 
 
 _WALK = fixture.walk_sql(NAMES, HOPS, HUB)
-_MEANING = " WHEN ".join(f"sense = '{s}' AND role = '{r}' THEN '{m}'" for s, r, m in (("locate.01", "ARG1", "thing located"), ("locate.01", "ARG2", "location"), ("alias.01", "ARG0", "entity"), ("alias.01", "ARG1", "alternative name of the same entity")))
+_MEANING = " WHEN ".join(f"sense = '{s}' AND role = '{r}' THEN '{m}'" for s, r, m in (("locate.01", ":ARG1", "thing located"), ("locate.01", ":ARG2", "location"), ("alias.01", ":ARG0", "entity"), ("alias.01", ":ARG1", "alternative name of the same entity")))
 _ROLES = f"""told AS (SELECT *, CASE WHEN {_MEANING} ELSE '' END AS meaning FROM bindings),
-lines AS (SELECT event_id, '- [' || event_id || '] ' || split_part(sense, '.', 1) || ' (' || sense || '): ' || string_agg(role || CASE WHEN meaning = '' THEN '' ELSE '[' || meaning || ']' END || '=' || entity, '; ' ORDER BY role, entity) AS line FROM told GROUP BY event_id, sense)"""
+lines AS (SELECT event_id, '- [' || event_id || '] ' || lemma || ' (' || sense || '): ' || string_agg(ltrim(role, ':') || CASE WHEN meaning = '' THEN '' ELSE '[' || meaning || ']' END || '=' || entity, '; ' ORDER BY role, entity) AS line FROM told GROUP BY event_id, lemma, sense)"""
 _BLOCKS = _ROLES + ", blocks AS (SELECT event_id, line AS block FROM lines)"
 _FULL = f"""{_ROLES}, {DISCOURSE_SQL}, links AS (SELECT src_event AS event_id, string_agg(chr(10) || '  Discourse: --:before--> [' || dst_event || ']', '' ORDER BY dst_event) AS said FROM discourse GROUP BY 1),
 full_blocks AS (SELECT event_id, line
@@ -195,33 +196,29 @@ full_blocks AS (SELECT event_id, line
   || coalesce(said, '') AS block FROM lines LEFT JOIN contexts USING (event_id) LEFT JOIN links USING (event_id))"""
 
 
-def _stems(text: str) -> str:
-    return f"list_distinct(list_transform(list_filter(regexp_extract_all({text}, '[A-Za-z]+'), lambda w: length(w) > 2 AND lower(w) NOT IN {lists(v.RELEVANCE_STOP)}), lambda w: {_STEM('lower(w)')}))"
-
-
 def _rated_sql(events: str) -> str:
-    return f"""words AS (SELECT event_id, {_stems("split_part(sense, '.', 1) || ' ' || string_agg(meaning, ' ')")} AS stems FROM told GROUP BY event_id, sense),
-rated AS (SELECT e.question_id, e.event_id, e.dist, len(list_intersect(stems, {_stems('q.text')})) AS relevance FROM {events} e JOIN words USING (event_id) JOIN questions q USING (question_id)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY dist, relevance DESC, event_id) AS rank FROM rated)"""
+    return f"""words AS (SELECT event_id, ord, {stems_sql("lemma || ' ' || split_part(sense, '.', 1) || ' ' || string_agg(meaning, ' ')")} AS stems FROM told GROUP BY event_id, ord, lemma, sense),
+rated AS (SELECT e.question_id, e.event_id, e.dist, ord, len(list_intersect(stems, {stems_sql('q.text')})) AS relevance FROM {events} e JOIN words USING (event_id) JOIN questions q USING (question_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY dist, relevance DESC, ord) AS rank FROM rated)"""
 
 
-def _via_sql(start: str, hops: int) -> str:
+def _via_sql(start: str, hops: int, hub: int = HUB) -> str:
     """Where and by which step each entity is reached first: `spot` is ten times the distance and the names crossed there."""
     return f"""steps AS (
   SELECT question_id, entity, 0 AS d, 0 AS r FROM ({start})
   UNION
   SELECT w.question_id, m.entity, CASE WHEN e.sense = 'alias.01' THEN w.d ELSE w.d + 1 END, CASE WHEN e.sense = 'alias.01' THEN w.r + 1 ELSE 0 END
   FROM steps w JOIN degrees g ON g.entity = w.entity JOIN bindings e ON e.entity = w.entity JOIN bindings m ON m.event_id = e.event_id
-  WHERE (w.d = 0 OR g.degree <= {HUB}) AND CASE WHEN e.sense = 'alias.01' THEN w.r < 3 ELSE w.d < {hops} END),
+  WHERE (w.d = 0 OR g.degree <= {hub}) AND CASE WHEN e.sense = 'alias.01' THEN w.r < 3 ELSE w.d < {hops} END),
 firsts AS (SELECT question_id, entity, min(d * 10 + r) AS spot FROM steps GROUP BY 1, 2),
-via AS (SELECT f.question_id, f.entity, f.spot, u.entity AS origin, e.event_id, e.role AS role_in, m.role AS role_out, e.sense
+via AS (SELECT f.question_id, f.entity, f.spot, u.entity AS origin, e.event_id, ltrim(e.role, ':') AS role_in, ltrim(m.role, ':') AS role_out, e.sense, e.lemma
   FROM firsts f JOIN bindings m ON m.entity = f.entity JOIN bindings e ON e.event_id = m.event_id AND e.entity <> m.entity JOIN firsts u ON u.question_id = f.question_id AND u.entity = e.entity JOIN degrees g ON g.entity = u.entity
-  WHERE f.spot > 0 AND (u.spot < 10 OR g.degree <= {HUB}) AND CASE WHEN e.sense = 'alias.01' THEN f.spot % 10 > 0 AND u.spot = f.spot - 1 ELSE f.spot % 10 = 0 AND u.spot // 10 = f.spot // 10 - 1 END
+  WHERE f.spot > 0 AND (u.spot < 10 OR g.degree <= {hub}) AND CASE WHEN e.sense = 'alias.01' THEN f.spot % 10 > 0 AND u.spot = f.spot - 1 ELSE f.spot % 10 = 0 AND u.spot // 10 = f.spot // 10 - 1 END
   QUALIFY row_number() OVER (PARTITION BY f.question_id, f.entity ORDER BY u.entity, e.event_id, e.role, m.role) = 1),
 paths AS (
   SELECT question_id, entity, 0 AS dist, spot, entity AS path, entity AS plain FROM firsts WHERE spot = 0
   UNION ALL
-  SELECT v.question_id, v.entity, CAST(v.spot // 10 AS INTEGER), v.spot, p.path || ' | ' || v.role_in || '<-[' || v.sense || ']->' || v.role_out || ' | ' || v.entity, p.plain || ' | ' || split_part(v.sense, '.', 1) || ' | ' || v.entity
+  SELECT v.question_id, v.entity, CAST(v.spot // 10 AS INTEGER), v.spot, p.path || ' | ' || v.role_in || '<-[' || v.sense || ']->' || v.role_out || ' | ' || v.entity, p.plain || ' | ' || v.lemma || ' | ' || v.entity
   FROM via v JOIN paths p ON p.question_id = v.question_id AND p.entity = v.origin)"""
 
 
@@ -255,7 +252,7 @@ ORACLES = {
   LEFT JOIN (SELECT p.question_id, string_agg('- Candidate: ' || p.entity || ' (Path: ' || path || ')', chr(10) ORDER BY rank) AS c, string_agg(p.entity, '|' ORDER BY rank) AS candidates FROM picked p JOIN paths USING (question_id, entity) GROUP BY 1) USING (question_id)
   LEFT JOIN (SELECT question_id, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM kept JOIN contexts USING (event_id) WHERE source <> '' GROUP BY 1) USING (question_id)
   LEFT JOIN (SELECT question_id, string_agg(entity, '|' ORDER BY entity) AS entity_names FROM shown GROUP BY 1) USING (question_id)""",
-    "e2a_triples": _sql() + "SELECT a.event_id, '- (' || a.entity || ', ' || split_part(a.sense, '.', 1) || ', ' || b.entity || ')' AS block FROM bindings a JOIN bindings b ON a.event_id = b.event_id AND a.role < b.role",
+    "e2a_triples": _sql() + "SELECT event_id, '- (' || e1 || ', ' || lemma || ', ' || e2 || ')' AS block FROM pairs",
     "g6_source_distances": _sql(_WALK) + "SELECT question_id, o_orderpriority AS source, min(dist) AS dist FROM events_at JOIN orders ON event_id = 'buy:' || o_orderkey GROUP BY 1, 2",
     "g3_discourse_expansion": _sql(fixture.walk_sql(NAMES, 2, HUB), DISCOURSE_SQL) + "SELECT question_id, event_id, dist FROM events_at UNION ALL SELECT e.question_id, dst_event, min(dist) + 1 FROM events_at e JOIN discourse ON src_event = e.event_id WHERE NOT EXISTS (SELECT 1 FROM events_at x WHERE x.question_id = e.question_id AND x.event_id = dst_event) GROUP BY 1, 2",
     "g8_entity_degree": _sql() + "SELECT entity, degree FROM degrees",

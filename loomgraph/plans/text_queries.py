@@ -105,7 +105,7 @@ QUERIES = {
     "p14_capitalised": over_values(capitalised=t.is_capitalised),
     "f10_name_variants": over_values(variants=lambda c: joined(t.name_variants(c))),
     "f11_name_tokens": over_values(tokens=lambda c: joined(t.name_tokens(c))),
-    "f12_subsequence": over_values(inside=lambda c: t.is_subsequence(F.split(F.lower(F.substring(c, 1, 9)), ""), F.split(F.lower(F.concat(F.lit("the "), c)), ""))),
+    "f12_subsequence": over_values(back=lambda c: t.is_subsequence(F.split(F.lower(F.substring(c, 1, 3)), ""), F.split(F.reverse(F.lower(c)), "")), inside=lambda c: t.is_subsequence(F.split(F.lower(F.substring(c, 1, 9)), ""), F.split(F.lower(F.concat(F.lit("the "), c)), ""))),
     "p10_refusals": over_values(refusal=answers.is_refusal, status=answers.has_status, preamble=answers.has_preamble),
     "p12_modifiers": over_values(modifier=answers.is_modifier),
     "f1_possessives": over_values(stripped=t.strip_possessives),
@@ -153,8 +153,52 @@ def _parts(x: str) -> str:
 
 
 _NAMES = t._NAME.replace("\\w", "\\p{L}\\p{N}_")
+#: Without marks and case, as far as the tables' letters go.
+_FOLD = lambda x: f"replace(lower(strip_accents({x})), 'ß', 'ss')"
+_WORDS = lambda x, kept="": f"list_filter(string_split_regex({x}, '[^\\p{{L}}\\p{{N}}_{kept}]+'), lambda w: w <> '')"
+_ANSWER = lambda x: f"list_filter(string_split_regex(trim(regexp_replace(regexp_replace({_FOLD(x)}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', ' ', 'g'), '\\b(a|an|the)\\b', ' ', 'g')), '\\s+'), lambda w: w <> '')"
+_LIKE = lambda short: f"'%' || array_to_string(list_transform(string_split({short}, ''), lambda c: regexp_replace(c, '([%_\\\\])', '\\\\\\1')), '%') || '%'"
+
+
+def _steps(source: str, column: str, *steps: str) -> str:
+    """`source` with each step, an expression over x, applied to a column in turn."""
+    for step in steps:
+        source = f"SELECT * REPLACE ({step.replace('{x}', column)} AS {column}) FROM ({source})"
+    return source
+
+
+def _cut(pattern: str, flags: str = "", into: str = "") -> str:
+    return f"trim(regexp_replace({{x}}, '{pattern}', '{into}'{flags and f", '{flags}'"}))"
+
+
+_ABBREVIATED = f"CASE WHEN ends_with({{x}}, '.') AND length(regexp_extract({{x}}, '(\\S*)\\.$', 1)) > 2 AND NOT contains(regexp_extract({{x}}, '(\\S*)\\.$', 1), '.') AND lower(regexp_extract({{x}}, '(\\S*)\\.$', 1)) NOT IN {lists(v.ABBREVIATIONS)} THEN rtrim({{x}}[:-2]) ELSE {{x}} END"
+_SURFACE = _steps(
+    "SELECT v, trim(v) AS whole, trim(trim(trim(v), '\"''“”‘’,;:')) AS s FROM vals", "s", _ABBREVIATED, _cut("^(?:with|by|from|to|at|for|in|on|as)\\s+", "i"), _cut("[''’]s$"), _cut("^(?:the|a|an)\\s+", "i"), _cut("^(?:his|her|their|its)\\s+", "i"),
+    _cut(f"^(?:{'|'.join(v.DESCRIPTORS)})\\s+([A-Z])", "", "\\1"), _cut("\\s*\\([^)]*\\)\\s*$"), "regexp_replace({x}, '\\s+', ' ', 'g')", "CASE WHEN {x} = '' THEN whole ELSE {x} END",
+)
+_SUFFIX = f"regexp_replace({{x}}, '^(\\S+(?: \\S+)*?)(?: (?:{'|'.join(v.LEGAL_SUFFIXES)}))+$', '\\1')"
+_LONE = lambda x: f"regexp_full_match({x}, '\\p{{L}}')"
+_MATCH_KEY = _steps(
+    f"SELECT *, {_FOLD(f"regexp_replace(s, '^({'|'.join(v.ADMIN_NOUNS)})\\s+of\\s+(.+)$', '\\2 \\1', 'i')")} AS k FROM ({_SURFACE})", "k", f"array_to_string({_WORDS('{x}')}, ' ')",
+    "CASE WHEN len(list_filter(string_split({x}, ' '), lambda w: w NOT IN ('the', 'a', 'an', 'of', 'and'))) = 0 THEN {x} ELSE array_to_string(list_filter(string_split({x}, ' '), lambda w: w NOT IN ('the', 'a', 'an', 'of', 'and')), ' ') END",
+    f"regexp_replace({{x}}, '^(?:{'|'.join(v.HONORIFICS)}) (\\S+ \\S)', '\\1')", _SUFFIX,
+    f"trim(array_to_string(list_transform(string_split({{x}}, ' '), lambda w, i: CASE WHEN i > 1 AND {_LONE('w')} AND {_LONE("string_split({x}, ' ')[i - 1]")} THEN w ELSE ' ' || w END), ''))", _SUFFIX,
+)
 _OWNER = f"^({_NAMES}(?:\\s+{_NAMES})*)[''’]s\\s+({_NAMES}(?:\\s+(?:of|for|and|the|{_NAMES}))*)$"
 ORACLES = {
+    "f2_fold": VALUES_SQL + f"SELECT v, {_FOLD('v')} AS folded FROM vals",
+    "f6_entity_keys": VALUES_SQL + f"SELECT v, s AS surface, k AS key, 'ent_' || CASE WHEN u = '' THEN 'h' || left(sha1(k), 12) WHEN length(u) > 60 THEN regexp_replace(left(u, 60), '_+$', '') || '_' || left(sha1(k), 6) ELSE u END AS id FROM (SELECT *, trim(regexp_replace({_FOLD('k')}, '[^\\p{{L}}\\p{{N}}_]+', '_', 'g'), '_') AS u FROM ({_MATCH_KEY}))",
+    "f11_name_tokens": VALUES_SQL + f"SELECT v, array_to_string(list_filter({_WORDS(_FOLD(_POSS), kept="''")}, lambda w: w NOT IN ('the', 'a', 'an')), '|') AS tokens FROM vals",
+    "f12_subsequence": VALUES_SQL + f"SELECT v, reverse(lower(v)) LIKE {_LIKE('lower(left(v, 3))')} ESCAPE '\\' AS back, v <> '' AND lower('the ' || v) LIKE {_LIKE('lower(left(v, 9))')} ESCAPE '\\' AS inside FROM vals",
+    "f25_answer_scores": VALUES_SQL + f""", words AS (SELECT v, split_part(v, ' ', 1) AS gold, {_ANSWER('v')} AS p, {_ANSWER("split_part(v, ' ', 1)")} AS g FROM vals),
+  counted AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(list_intersect(p, g)), lambda w: least(len(list_filter(p, lambda z: z = w)), len(list_filter(g, lambda z: z = w))))), 0) AS same, len(list_distinct(list_intersect(p, g))) AS n_both FROM words)
+  SELECT v AS predicted, gold, CASE WHEN p = g THEN 1.0::DOUBLE ELSE 0.0 END AS em, CASE WHEN same = 0 THEN 0.0::DOUBLE ELSE 2 * same / (len(p) + len(g)) END AS f1, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0::DOUBLE WHEN n_both = 0 THEN 0.0 ELSE 2 * n_both / (len(list_distinct(p)) + len(list_distinct(g))) END AS set_f1 FROM counted""",
+    "k16_chunk_documents": """WITH cut AS (SELECT doc_id, string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])[\\s\\v]+([A-Z0-9"“(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS sentences, trim(coalesce(text, '')) AS whole FROM documents),
+  packed AS (SELECT doc_id, CASE WHEN length(whole) <= 900 THEN [whole] ELSE list_reduce(list_transform(sentences, lambda s: [s]), lambda a, s: CASE WHEN a[-1] <> '' AND length(a[-1]) + 1 + length(s[1]) > 900 THEN list_concat(a, s) ELSE list_append(a[1:len(a) - 1], trim(a[-1] || ' ' || s[1])) END) END AS chunks FROM cut)
+  SELECT doc_id, CAST(nth - 1 AS INTEGER) AS chunk, length(chunks[nth]) AS n_chars, md5(chunks[nth]) AS digest FROM packed, LATERAL (SELECT unnest(range(1, len(chunks) + 1)) AS nth) WHERE chunks[nth] <> ''""",
+    "w16_document_titles": """WITH raws AS (SELECT doc_id, trim(regexp_extract(trim(text), '^([A-Z0-9][^\\n]{0,120}?)\\.[\\s\\v]+[A-Z]', 1)) AS raw FROM documents), bares AS (SELECT *, trim(regexp_replace(raw, '\\s*\\([^)]*\\)$', '')) AS bare FROM raws WHERE raw <> ''),
+  titles AS (SELECT doc_id, CASE WHEN bare <> '' THEN bare ELSE raw END AS title FROM bares), forms AS (SELECT *, trim(title) AS a, trim(regexp_replace(title, '\\s*\\([^)]*\\)\\s*$', '')) AS b, trim(split_part(title, ',', 1)) AS c FROM titles)
+  SELECT doc_id, title, array_to_string(list_filter([a, CASE WHEN b <> a THEN b ELSE '' END, CASE WHEN c NOT IN (a, b) THEN c ELSE '' END], lambda x: x <> ''), '|') AS names FROM forms""",
     "f1_possessives": VALUES_SQL + f"SELECT v, {_POSS} AS stripped FROM vals",
     "f8_conjoined": VALUES_SQL + f"SELECT v, array_to_string({_parts('v')}, '|') AS parts FROM vals",
     "f10_name_variants": VALUES_SQL + f"SELECT v, CASE WHEN {_NO_PAREN} NOT IN ('', {_BASE}) THEN {_BASE} || '|' || {_NO_PAREN} ELSE {_BASE} END AS variants FROM vals",

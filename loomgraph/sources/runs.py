@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -85,11 +86,38 @@ def whole_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.where("_broken IS NULL AND id IS NOT NULL").drop("_broken")
 
 
+def recovered(spark: SparkSession, path: str) -> None:
+    """Finishes or undoes what a rewrite of a folder that broke off left behind.
+
+    The new folder is written beside the old one and takes its place by two renames. If it
+    is missing in between, the new one takes its place if it is whole, else the old one returns.
+    """
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at, after, before = (jvm.Path(path.rstrip("/") + end) for end in ("", "._next", "._last"))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        if files.exists(jvm.Path(after, "_SUCCESS")):
+            files.rename(after, at)
+        elif files.exists(before):
+            files.rename(before, at)
+    for rest in (after, before):
+        files.delete(rest, True)
+
+
 def compacted(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rewrites a prediction folder without its broken lines, and gives the ids that are finished."""
-    kept = materialised(whole_lines(spark, path, schema))
-    kept.write.mode("overwrite").json(path)
-    return kept.select("id").distinct()
+    """Rewrites a prediction folder without its broken lines, and gives the ids that are finished.
+
+    At any time either the old or the new folder is whole, and `recovered`, which is run first, finds it.
+    """
+    recovered(spark, path)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at, after, before = (jvm.Path(path.rstrip("/") + end) for end in ("", "._next", "._last"))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole_lines(spark, path, schema).write.mode("overwrite").json(after.toString())
+    files.rename(at, before)
+    files.rename(after, at)
+    files.delete(before, True)
+    return whole_lines(spark, path, schema).select("id").distinct()
 
 
 def write_run(path: str, predictions: DataFrame, gold: DataFrame, metrics: DataFrame, cases: DataFrame) -> None:
@@ -120,20 +148,32 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return sum(own) + sum(files.getContentSummary(f.getPath()).getLength() for f in beside)
 
 
+#: What matters in JSON for its nesting: strings, whole or broken off, and brackets.
+_NESTING = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)|[\[\]{}]', re.DOTALL)
+
+
 def salvaged(raw: str) -> str | None:
-    """The complete events of a JSON text that breaks off: cut at its last brace that can be closed."""
-    text, start = raw.strip(), raw.strip().find("{")
-    events = text.find('"events"')
-    if start < 0 or events < start:
-        return None
-    for end in (i for i in range(len(text) - 1, events, -1) if text[i] == "}"):
-        for close in ("]}", "}", "]"):
-            try:
-                whole = json.loads(text[start : end + 1].strip().rstrip(",") + close)
-            except ValueError:
-                continue
-            if isinstance(whole, dict) and isinstance(whole.get("events"), list):
-                return json.dumps(whole, ensure_ascii=False)
+    """The complete events of a JSON text that breaks off: one pass over its brackets finds where it can be cut and closed."""
+    text = raw[raw.find("{") :] if "{" in raw else ""
+    open_: list[str] = []
+    cuts: list[tuple[int, str]] = []
+    for m in _NESTING.finditer(text):
+        mark = m.group()
+        if mark in ("{", "["):
+            open_.append("}" if mark == "{" else "]")
+        elif mark in ("}", "]"):
+            if not open_ or open_.pop() != mark:
+                break
+            if mark == "}" and open_ in (["}"], ["}", "]"]):
+                cuts.append((m.end(), "".join(reversed(open_))))
+            if not open_:
+                break
+    for end, close in reversed(cuts):
+        try:
+            whole = json.loads(text[:end] + close)
+        except ValueError:
+            continue
+        return json.dumps(whole, ensure_ascii=False) if isinstance(whole.get("events"), list) else None
     return None
 
 

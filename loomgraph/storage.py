@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +32,20 @@ def materialised(df: DataFrame) -> DataFrame:
     path = fresh_folder(df.sparkSession, "round") + "/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], at: str = "at") -> DataFrame:
+    """Adds each row's place from 0 within its `keys`, by `order`.
+
+    Rows are sorted over all tasks. A row's place is its place in its task's run of the keys
+    and the size of the runs in the tasks before, so that no task has to hold a group.
+    """
+    put = rows.orderBy(*keys, *order).select("*", F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_row"))
+    put = materialised(put)
+    runs = put.groupBy(*keys, "_task").agg(F.min("_row").alias("_first"), F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("_task").alias("_run"), (before - F.col("_first")).alias("_shift"))
+    same = F.col("_task") == F.col("_run")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    return put.join(runs, same).select(*rows.columns, (F.col("_row") + F.col("_shift")).alias(at))
