@@ -160,7 +160,8 @@ def fitted(docs: DataFrame, text: str = "text"):
     codes, counts = (np.array([r[i] for r in patterns], np.int64) for i in (0, 1))
     posterior, accuracies, _ = estimate(codes, counts)
     cut = -(1 << 63) + min((1 << 64) - 1, (TRAIN_DOCS << 64) // int(counts.sum()))
-    sample = table.where(F.col("at") <= F.lit(cut)).select("code", "ids", "shares").limit(2 * TRAIN_DOCS).collect()
+    # repeated rows share a hash and count once; about TRAIN_DOCS rows are left, the bound is never met
+    sample = table.where(F.col("at") <= F.lit(cut)).distinct().orderBy("at", "ids").limit(2 * TRAIN_DOCS).select("code", "ids", "shares").collect()
     w, bias = train([(posterior[r[0]], np.frombuffer(r[1], "<i4").astype(np.int64), np.frombuffer(r[2], np.float32)) for r in sample])
     return posterior, accuracies, w, bias
 

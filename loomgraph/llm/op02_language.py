@@ -109,8 +109,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None
             seen = [np.packbits(bins(t)).tobytes() for t in texts(b.column(0))]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(seen, pa.binary())], names=["lang", "at", "bins"])
 
-    rows = sorted(tuple(r) for r in sample.mapInArrow(work, "lang string, at bigint, bins binary").limit(2 * TRAIN_DOCS).collect())
-    rows.sort(key=lambda r: r[1])
+    # repeated rows share a hash and count once; about TRAIN_DOCS rows are left, the bound is never met
+    rows = sample.mapInArrow(work, "lang string, at bigint, bins binary").distinct().orderBy("at", "lang", "bins").limit(2 * TRAIN_DOCS).collect()
     presence = np.unpackbits(np.stack([np.frombuffer(r[2], np.uint8) for r in rows]), axis=1).astype(bool)
     return Model(presence, [r[0] for r in rows])
 

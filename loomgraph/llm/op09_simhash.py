@@ -1,6 +1,6 @@
-"""SimHash near-duplicates: a byte-position inverted index with count filtering.
+"""SimHash near-duplicates: a byte-position inverted index with count filtering, whose tally is the index itself.
 
-Fingerprints that differ in at most 3 of 64 bits share at least 5 of their 8
+The shared bytes of a pair aren't counted one by one, a departure from the method. Fingerprints that differ in at most 3 of 64 bits share at least 5 of their 8
 positional bytes: that is the guaranteed minimum of the count filter. A pair that
 has the minimum shares the posting of some 5 positions, so the index is kept by
 (5 positions, their bytes), 56 postings a fingerprint, and being met in one *is*
