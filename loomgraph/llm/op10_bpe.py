@@ -29,6 +29,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: No pair, larger than any key.
 NONE = 1 << 62
 SPACE = re.compile(r" (?=\S)")
+#: A space that doesn't begin a pre-token with what follows it.
+ODD = re.compile(r" (?:\s|\Z)")
+#: Marks that are no letters, digits or white space: after letters, a pre-token of their own.
+MARKS = ".,;:!?#$%&*|\")"
 CACHED, CACHED_LENGTH = 300_000, 64
 #: Leaves up to which pre-tokens are merged in numpy together, leaves of a block of them, and characters encoded at once.
 TOGETHER, BLOCK, AT_ONCE = 128, 1 << 19, 4_000_000
@@ -193,6 +197,13 @@ class Bpe:
                 got.update(zip(names, self.merged_together(list(data), size)))
         return got
 
+    def cut_part(self, part: str) -> list[str]:
+        """Pre-tokens of a space and a part; letters, and marks after letters, need no pattern."""
+        if part.isalpha():
+            return [" " + part]
+        letters = part.rstrip(MARKS)
+        return [" " + letters, part[len(letters) :]] if letters.isalpha() else self.split(" " + part)
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers; special tokens in it count as such.
 
@@ -200,42 +211,33 @@ class Bpe:
         are cut there first. Parts not seen lately are cut into pre-tokens, and the pre-tokens
         not seen lately are merged together.
         """
-        plans: list[list] = []  # ids of a special token, the pre-tokens that begin a piece, or the parts after spaces
-        parts, tokens, missing = self.parts, self.tokens, set()
-        cut: dict[str, list[str]] = {}
+        plans: list[list] = []  # ids of a special token, or the pre-tokens that begin a piece and the parts after spaces
+        parts, tokens = self.parts, self.tokens
+        begins: list[list[str]] = []
+        rests: list[list[str]] = []
         for text in texts:
             plan: list = []
-            for piece in self.cut.split(text) if self.cut else [text]:
+            for piece in self.cut.split(text) if self.cut and any(map(text.__contains__, self.special)) else [text]:
                 if piece in self.special:
                     plan.append(self.special[piece].to_bytes(4, "little"))
                 elif piece:
-                    begin, *rest = SPACE.split(piece)
-                    begin = self.split(begin)
-                    missing.update(w for w in begin if w not in tokens)
-                    got = list(map(parts.get, rest))
-                    if None in got:
-                        cut.update((p, []) for p, g in zip(rest, got) if g is None)
-                    plan.append((begin, rest, got))
+                    begin, *rest = SPACE.split(piece) if ODD.search(piece) else piece.split(" ")
+                    begins.append(self.split(begin)), rests.append(rest)
+                    plan.append((begins[-1], rest))
             plans.append(plan)
-        for p in cut:
-            cut[p] = words = self.split(" " + p)
-            missing.update(w for w in words if w not in tokens)
-        fresh = self.merged_all(list(missing))
-        token = lambda w: tokens[w] if w in tokens else fresh[w]
-        new = {p: b"".join(map(token, words)) for p, words in cut.items()}
+        new = list(set().union(*rests).difference(parts))
+        cut = list(map(self.cut_part, new))
+        missing = list(set().union(*begins, *cut).difference(tokens))
+        tokens.update(self.merged_all(missing))
+        parts.update(zip(new, (b"".join(map(tokens.__getitem__, words)) for words in cut)))
         out = []
         for plan in plans:
-            row: list[bytes] = []
-            for step in plan:
-                if isinstance(step, bytes):
-                    row.append(step)
-                else:
-                    begin, rest, got = step
-                    row += map(token, begin)
-                    row += [g or new[p] for p, g in zip(rest, got)] if None in got else got
+            row = [step if isinstance(step, bytes) else b"".join(map(tokens.__getitem__, step[0])) + b"".join(map(parts.__getitem__, step[1])) for step in plan]
             out.append(b"".join(row))
-        for kept, more in ((tokens, fresh), (parts, new)):
-            kept.update((w, ids) for w, ids in more.items() if len(w) <= CACHED_LENGTH)
+        for kept, more in ((tokens, missing), (parts, new)):
+            for w in more:
+                if len(w) > CACHED_LENGTH:
+                    del kept[w]
             for w in list(islice(kept, len(kept) - CACHED // 2)) if len(kept) > CACHED else ():  # the older half goes
                 del kept[w]
         return out
