@@ -58,13 +58,13 @@ def context_lines(*, provenance: bool = False) -> Column:
     return F.array_compact(F.array(time, place, F.when(shown, said)))
 
 
-def rendered(bindings: DataFrame, spark: SparkSession, contexts: DataFrame | None = None, discourse: DataFrame | None = None, rolesets: DataFrame | None = None) -> DataFrame:
+def rendered(bindings: DataFrame, spark: SparkSession, contexts: DataFrame | None = None, discourse: DataFrame | None = None, rolesets: DataFrame | None = None, labels: bool = True) -> DataFrame:
     """(graph_id, event_id, block): an event's roles in their order, with meanings and names; then its envelopes' and links' lines.
 
     contexts: graph_id, event_id, raw, start_year, end_year, location, region, source,
     confidence, speculative, one row an event. discourse: graph_id, src_event, dst_event, relation.
     """
-    part = F.struct(role_place(F.col("role")).alias("at"), "role", "name", F.concat(F.ltrim("role", F.lit(":")), F.when(F.col("meaning") == "", "").otherwise(F.concat(F.lit("["), "meaning", F.lit("]"))), F.lit("="), "name").alias("text"))
+    part = F.struct(role_place(F.col("role")).alias("at"), "role", "name", F.concat(F.ltrim("role", F.lit(":")), F.when((F.col("meaning") == "") | ~F.lit(labels), "").otherwise(F.concat(F.lit("["), "meaning", F.lit("]"))), F.lit("="), "name").alias("text"))
     roles = _told(bindings, spark, rolesets).groupBy("graph_id", "event_id", "lemma", "sense").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["text"]), "; ")
     line = F.concat(F.lit("- ["), "event_id", F.lit("] "), "lemma", F.lit(" ("), "sense", F.lit("): "), text)
@@ -146,23 +146,26 @@ def _listed(rows: DataFrame, value: Column, name: str, order: str = "rank") -> D
 
 def bundle(
     bindings: DataFrame, anchors: DataFrame, questions: DataFrame, contexts: DataFrame | None = None, discourse: DataFrame | None = None, max_hops: int = 3, hub_degree: int = 25,
-    max_events: int = 40, max_chars: int | None = None, max_candidates: int = 10, roles: bool = True, rolesets: DataFrame | None = None,
+    max_events: int = 40, max_chars: int | None = None, max_candidates: int = 10, roles: bool = True, rolesets: DataFrame | None = None, labels: bool = True, envelopes: bool = True, ranked: bool = True,
 ) -> DataFrame:
     """Evidence about each question: graph_id, question_id, text, event_ids, candidates, anchors, sources, entity_names.
 
     Events by distance, relevance and insertion order, as many as fit; then the candidates
     with the paths that reach them. The limits are of the bundle's own making, so a question's
     rows come together only after them. A question without a known anchor has empty lists; one
-    whose anchors reach no event has no text. `roles=False` tells plain triples and lemmas.
+    whose anchors reach no event has no text. `roles=False` tells plain triples and lemmas; `labels`, `envelopes` and `ranked` leave out
+    roles' meanings, the lines below an event, and the order by relevance.
     """
     spark = bindings.sparkSession
     entities, events = graph.explore(bindings, anchors, max_hops, hub_degree)
     reached = graph.discourse_expanded(events, discourse) if discourse is not None else events
-    rated = materialised(with_relevance(reached, questions, bindings, rolesets))
+    asked = questions if ranked else questions.select("question_id", F.lit("").alias("text"))
+    rated = materialised(with_relevance(reached, asked, bindings, rolesets))
     best = top_events(rated, max_events)
     mine = bindings.join(best.select("graph_id", "event_id").distinct(), ["graph_id", "event_id"], "left_semi")
     of = lambda df, column: df if df is None else df.join(best.select("graph_id", F.col("event_id").alias(column)).distinct(), ["graph_id", column], "left_semi")
-    blocks = rendered(mine, spark, of(contexts, "event_id"), of(discourse, "src_event"), rolesets) if roles else triples(mine)
+    below = (of(contexts, "event_id"), of(discourse, "src_event")) if envelopes else (None, None)
+    blocks = rendered(mine, spark, *below, rolesets, labels) if roles else triples(mine)
     told = best.join(blocks, ["graph_id", "event_id"])
     kept = materialised(within_budget(told, max_chars) if max_chars is not None else told)
     known = entities.where("dist = 0 AND via IS NULL").select(*KEYS, "entity", "name")

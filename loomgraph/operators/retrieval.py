@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as t
-from loomgraph.operators import anchoring, graph, hops, ingest
+from loomgraph.operators import engine, graph, hops, ingest
 from loomgraph.storage import materialised
 
 #: Words that BM25 leaves out.
@@ -145,28 +145,26 @@ def passages(ranked: DataFrame, docs: DataFrame, most: int) -> DataFrame:
     return fit.groupBy("question_id").agg(F.count("*").alias("n_passages"), F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, most).alias("text")))).alias("p")).select("question_id", "n_passages", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
 
 
-def ranked_sources(questions: DataFrame, tables: dict[str, DataFrame], docs: DataFrame, max_hops: int = 3, hub_degree: int = 25, most_anchors: int = 4, rules: dict[str, bool] | None = None) -> DataFrame:
+def ranked_sources(questions: DataFrame, tables: dict[str, DataFrame], docs: DataFrame, max_hops: int = 3, hub_degree: int = 25, most_anchors: int = 4, switches: dict[str, bool] | None = None) -> DataFrame:
     """(question_id, doc_id, dist, kind, rank): documents by graph distance from the names that a question has.
 
     tables: a stored graph (one graph_id); questions: question_id, text; docs: doc_id, ord, title, text,
     doc_id being the events' source. One search serves three kinds of link: 0, an event of the
     document is reached; 1, so is the entity that its title names; 2, it mentions a reached entity,
     unless that is a hub or too plain a name. Of equal distance the earlier kind counts, then ord.
-    A question that names nothing has no rows. rules: `hub_rule` and `mention_links` may be off.
+    A question that names nothing has no rows. Of the engine's switches, `hub_pruning` and
+    `mention_links` act here.
     """
-    on = {"hub_rule": True, "mention_links": True} | (rules or {})
+    on = engine.SWITCHES | (switches or {})
     bindings = materialised(ingest.bindings(tables))
-    names = bindings.groupBy("graph_id", "entity", "name").agg(F.min("ord").alias("ord"))
-    anchors = anchoring.anchored(questions, names.select("name", "ord")).join(names.select("graph_id", "entity", "name"), "name").select("graph_id", "question_id", "place", "entity")
-    hub = hub_degree if on["hub_rule"] else 1 << 31
-    picked = materialised(graph.specific_anchors(anchors, bindings, hub, most_anchors))
-    entities, events = graph.explore(bindings, picked, max_hops, hub)
+    picked = materialised(engine.anchors_of(questions, bindings, on, hub_degree, most_anchors))
+    entities, events = graph.explore(bindings, picked, max_hops, hub_degree)
     keys = tables["entity"].select("graph_id", "entity", "key")
     reached = materialised(entities.select("graph_id", "question_id", "entity", "name", "dist").join(keys, ["graph_id", "entity"]))
     by_event = graph.source_distances(events, tables["event"].select("graph_id", "event_id", "source")).select("question_id", F.col("source").alias("doc_id"), "dist")
     links = [by_event, hops.title_links(docs, reached.select("question_id", "key", "dist"))]
     if on["mention_links"]:
-        plain = reached.join(graph.degrees(bindings), ["graph_id", "entity"]).where(t.is_mentionable(F.col("name")) & ((F.col("dist") == 0) | (F.col("degree") <= hub)))
+        plain = reached.join(graph.degrees(bindings), ["graph_id", "entity"]).where(t.is_mentionable(F.col("name")) & ((F.col("dist") == 0) | (F.col("degree") <= hub_degree)))
         frontier = materialised(plain.select("question_id", F.col("name").alias("name_id"), "dist"))
         met = mentions(docs, frontier.select("name_id", F.col("name_id").alias("name")).distinct())
         links.append(met.join(frontier, "name_id").groupBy("question_id", "doc_id").agg(F.min("dist").alias("dist")))

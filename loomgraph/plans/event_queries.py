@@ -86,6 +86,23 @@ def w0_rewrites(spark: SparkSession, sf: str) -> DataFrame:
     return _rewritten(_payloads(spark, sf))
 
 
+def _told_payloads(spark, sf):
+    """An extraction about each customer, of the kinds that the orders don't have, with a title."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    person, form = F.concat(F.lit("Customer "), k), k % 4
+    lemma = F.when(form == 0, "hold").when(form == 1, "open").otherwise("visit")
+    other = F.when(form < 2, "Hall").when(form == 2, "ACME's Harbor Office").otherwise("Ann Poe's old plant")
+    event = F.struct(lemma.alias("lemma"), F.when(form == 0, "locate.01").alias("sense_id"), F.create_map(F.lit(":ARG0"), F.when(form == 1, "the company").otherwise(person), F.lit(":ARG1"), other).alias("roles"))
+    return c.select(k.alias("payload"), F.concat(F.lit("Harbor "), k).alias("title"), F.to_json(F.struct(F.array(event).alias("events"))).alias("raw"))
+
+
+def w11_told_rewrites(spark: SparkSession, sf: str) -> DataFrame:
+    """System frames on other verbs, phrases for the title, possessives of names and in arguments."""
+    events = coerce.events_of(_told_payloads(spark, sf)).withColumn("event_id", F.concat_ws(":", "payload", "event_ord"))
+    done = rewrite.prepared(events, F.col("title"))
+    return _shown(done).select("event_id", "part_ord", "lemma", "sense_id", "roles", "epistemic_context.source")
+
+
 def w0_stated_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return _rewritten(_stated(spark))
 
@@ -221,7 +238,7 @@ placed AS (SELECT *, CASE WHEN list_contains(core, 0) AND NOT list_contains(slot
   ELSE list_concat(list_transform(own, lambda k: {'slot': k, 'k': k}), list_filter(list_transform(strays, lambda k, i: {'slot': coalesce(free[i], CASE WHEN k <= 2 THEN k END), 'k': k}), lambda x: x.slot IS NOT NULL)) END AS pairs FROM parted)"""
 _CATALOGED = """bound AS (SELECT p_partkey, p_size AS size, 'made:' || p_partkey AS event_id, split_part(p_name, ' ', 2) AS lemma, split_part(p_name, ' ', 2) || '.0' || (1 + p_partkey % 2) AS sense, unnest([':ARG0', ':ARG1', ':ARG2', ':ARGM-POSS']) AS role, unnest([p_brand, p_name, p_type, CAST(p_size AS VARCHAR)]) AS name FROM part),
 told AS (SELECT b.*, CASE WHEN role = ':ARGM-POSS' THEN 'possessor' WHEN r.ord IS NULL THEN '' WHEN r.ord % 2 = 0 THEN CASE role WHEN ':ARG1' THEN first WHEN ':ARG2' THEN 'thing' ELSE '' END ELSE CASE role WHEN ':ARG0' THEN 'agent' WHEN ':ARG1' THEN 'thing made' ELSE '' END END AS meaning FROM bound b LEFT JOIN rolesets r ON r.roleset_id = b.sense)"""
-QUERIES = {f.__name__: f for f in (c10_payload_events, c10_stated_payloads, c12_discourse, w0_rewrites, w0_stated_payloads, w15_role_bindings, j6_candidate_senses, a7_disambiguated, w14_aligned_roles, f41_role_meanings, e2_catalog_events, e3_catalog_relevance, w18_unique_ids, e4_anchors, j7_mentioned_names, f18_acronyms)}
+QUERIES = {f.__name__: f for f in (c10_payload_events, c10_stated_payloads, c12_discourse, w0_rewrites, w11_told_rewrites, w0_stated_payloads, w15_role_bindings, j6_candidate_senses, a7_disambiguated, w14_aligned_roles, f41_role_meanings, e2_catalog_events, e3_catalog_relevance, w18_unique_ids, e4_anchors, j7_mentioned_names, f18_acronyms)}
 ORACLES: dict[str, str] = {
     "c10_payload_events": f"WITH {_MADE} SELECT k AS payload, 0 AS event_ord, 'e' || k AS temp_id, CASE form WHEN 0 THEN 'inspect' WHEN 1 THEN 'Marry' WHEN 2 THEN 'be' WHEN 3 THEN 'be_located' ELSE 'born' END AS lemma, CASE form WHEN 0 THEN 'inspect' WHEN 1 THEN 'marry' WHEN 2 THEN 'be' WHEN 3 THEN 'be_located' ELSE 'born' END || '.01' AS sense_id, ':ARG0=' || person || '; :ARG1=' || second || CASE WHEN form = 0 THEN '; :ARGM-TMP=' || y WHEN form = 1 THEN '; :manner=unknown' ELSE '; :manner=by hand' END AS roles, time, CASE WHEN form = 2 THEN 'Port Said < Egypt' ELSE '' END AS place, 'Unattributed' AS source, sure AS confidence, true AS valid FROM said",
     "c12_discourse": f"WITH {_MADE} SELECT k AS payload, 0 AS link_ord, 'e' || k AS source_id, 'e' || (k + 1) AS target_id, CASE form WHEN 0 THEN ':before' WHEN 1 THEN ':after' ELSE ':cause' END AS relation FROM said",
@@ -237,6 +254,13 @@ ORACLES: dict[str, str] = {
             _part("4", "bear", "bear.02", "':ARG1=' || person || '; :manner=by hand'", place="'Lowland'"),
         )
     ),
+    "w11_told_rewrites": """WITH told AS (SELECT c_custkey AS k, c_custkey % 4 AS form FROM customer), events AS (
+  SELECT k, 0 AS part_ord, 'hold' AS lemma, 'hold.01' AS sense_id, ':ARG0=Customer ' || k || '; :ARG1=Hall' AS roles FROM told WHERE form = 0
+  UNION ALL SELECT k, 0, 'open', 'open.01', ':ARG0=Harbor ' || k || '; :ARG1=Hall' FROM told WHERE form = 1
+  UNION ALL SELECT k, 0, 'visit', 'visit.01', ':ARG0=Customer ' || k || '; :ARG1=ACME''s Harbor Office' FROM told WHERE form = 2
+  UNION ALL SELECT k, 1, 'affiliate', 'affiliate.01', ':ARG0=ACME; :ARG1=ACME''s Harbor Office' FROM told WHERE form = 2
+  UNION ALL SELECT k, 0, 'visit', 'visit.01', ':ARG0=Customer ' || k || '; :ARG1=Ann Poe''s old plant; :ARGM-POSS=Ann Poe' FROM told WHERE form = 3)
+  SELECT k || ':0' AS event_id, part_ord, lemma, sense_id, roles, 'Unattributed' AS source FROM events""",
     "w15_role_bindings": f"WITH {_MADE} SELECT k || ':0' AS event_id, unnest([':ARG0', ':ARG1', CASE WHEN form = 0 THEN ':ARGM-TMP' ELSE ':manner' END]) AS role, unnest([person, second, CASE WHEN form = 0 THEN CAST(y AS VARCHAR) WHEN form = 1 THEN 'unknown' ELSE 'by hand' END]) AS name FROM said UNION ALL SELECT k || ':0', ':location', 'Port Said' FROM said WHERE form = 2",
     "e2_catalog_events": f"WITH {_ROLESETS}, {_CATALOGED} SELECT event_id, '- [' || event_id || '] ' || lemma || ' (' || sense || '): ' || string_agg(ltrim(role, ':') || CASE WHEN meaning = '' THEN '' ELSE '[' || meaning || ']' END || '=' || name, '; ' ORDER BY role) AS block FROM told GROUP BY event_id, lemma, sense",
     "e3_catalog_relevance": f"""WITH {_ROLESETS}, {_CATALOGED}, stems AS (SELECT p_partkey, event_id, size, {stems_sql("lemma || ' ' || string_agg(meaning, ' ')")} AS stems FROM told GROUP BY p_partkey, event_id, size, lemma)

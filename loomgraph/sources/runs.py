@@ -11,23 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.operators import stats
+from loomgraph.operators import engine, stats
 from loomgraph.storage import materialised
 
 MANIFEST = "run string, seed bigint, pool string, config string, dev_ids array<string>, test_ids array<string>"
-#: Switches of the pipeline that an ablation may turn off.
-ABLATIONS = (
-    "frame_guard", "date_migration", "placeholder_filter", "kinship_repair", "copula_normalization", "place_hierarchy", "possessive_links", "acronym_aliases", "role_alignment", "identity_edges", "hub_rule",
-    "relevance_order", "path_candidates", "mention_links", "answer_snapping",
-)
-
-
-def ablated(*off: str) -> dict[str, bool]:
-    """All switches, those named turned off."""
-    unknown = set(off) - set(ABLATIONS)
-    if unknown:
-        raise ValueError(f"no such ablations: {sorted(unknown)}")
-    return {name: name not in off for name in ABLATIONS}
+
+
+def ablated(*changed: str) -> dict[str, bool]:
+    """The engine's switches, those named turned the other way."""
+    return engine.switched(**{name: not engine.SWITCHES.get(name, True) for name in changed})
 
 
 def first_answerable(questions: DataFrame, n: int, order: str = "ord") -> DataFrame:

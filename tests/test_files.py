@@ -43,7 +43,7 @@ def test_sizes_events_ablations_salvage(spark, tmp_path):
     (tmp_path / "dbother").write_bytes(b"x" * 99)
     assert runs.stored_bytes(spark, str(tmp_path / "db")) == 15
     assert len({tuple(sorted(r[0].items())) for r in runs.synthetic_events(spark, 100).select("roles").collect()}) == 100
-    assert runs.ablated("hub_rule")["hub_rule"] is False
+    assert runs.ablated("hub_pruning", "triples_only")["hub_pruning"] is False and runs.ablated("triples_only")["triples_only"] is True
     with pytest.raises(ValueError):
         runs.ablated("no_such")
     cut = '{"events": [{"lemma": "a", "roles": {}}, {"lemma": "b", "ro'

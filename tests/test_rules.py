@@ -82,7 +82,7 @@ def test_alignment_agrees_with_plain_version(spark):
         assert r["got"] == plain_alignment(r["roles"], r["slots"]), (r["roles"], r["slots"])
 
 
-NAMES = ["Caroline LeRoy Webster", "Unwinding: An Inner History", "Frances Amélia Tupper", "Serbia", "Tihomir of Serbia", "The (band)", "the", "Employer", "employer", "Beyoncé", "Santa Fe (New Mexico)", "???", "AC/DC", "Paris", "Paris Hilton", "X", "New York"]
+NAMES = ["(The) Paris Group", "New York (city)", "New Haven", "New", "St. Louis", "Caroline LeRoy Webster", "Unwinding: An Inner History", "Frances Amélia Tupper", "Serbia", "Tihomir of Serbia", "The (band)", "the", "Employer", "employer", "Beyoncé", "Santa Fe (New Mexico)", "???", "AC/DC", "Paris", "Paris Hilton", "X", "New York"]
 ASKED = [
     "Who married Caroline LeRoy?", "Who wrote The Unwinding?", "Where was Frances Tupper born?", "Who ruled before Tihomir of Serbia?", "what does the employer do", "Is Beyonce's Paris in Santa Fe?", "Is it ??? or AC/DC",
     "When did PARIS HILTON visit new york?", "", "Did The Band play?", "Is Amélia Frances Tupper here, in Hilton Paris?",
