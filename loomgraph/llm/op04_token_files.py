@@ -14,6 +14,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlparse
 
 import numpy as np
@@ -47,8 +48,8 @@ class WordEncoder:
         """Ids of each text and the end id, little-endian."""
         # special tokens are matched as written, before letters are lowered
         words = [(t if b"<|" in t else t.lower()).split() for t in batch]
-        if len(self.kept) > CACHED:
-            self.kept.clear()
+        for w in list(islice(self.kept, len(self.kept) // 2)) if len(self.kept) > CACHED else ():  # the older half goes
+            del self.kept[w]
         kept, last = self.kept, array("I" if self.wide else "H", [end]).tobytes()
         new = set().union(*words).difference(kept)
         cut = {w: len(base) for w in new if len(base := w.rstrip(MARKS)) < len(w) and base[-1:].isalpha()}
@@ -85,8 +86,8 @@ def encode_texts(docs: DataFrame, path: str, end: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(path)
         for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.slice(at, 500)
+            for at in range(0, len(b), 2000):
+                part = b.slice(at, 2000)
                 ids = encoder.encode(texts(part.column(1)), end)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
