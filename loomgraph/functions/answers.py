@@ -135,6 +135,11 @@ def char_budget(context_tokens: int, reserved_tokens: int, least: int = 2000) ->
     return max(least, int((context_tokens - reserved_tokens - 700) * 3.5))
 
 
+def fitting_chars(context_tokens: Column, reserved_tokens: Column, least: int = 2000) -> Column:
+    """`char_budget` of a row's own context window."""
+    return F.greatest(F.lit(least).cast("bigint"), F.floor((context_tokens - reserved_tokens - 700) * 3.5))
+
+
 def annotation(value: Column) -> Column:
     """A judgment as a number; null where it is blank."""
     return F.nullif(F.btrim(F.coalesce(value, F.lit(""))), F.lit("")).try_cast("int")

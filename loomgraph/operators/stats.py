@@ -80,7 +80,7 @@ def _joined_means(values: DataFrame, resamples: int) -> DataFrame:
     """Means of resamples of groups with many distinct values: every row makes the draws of its own number, which are joined by place."""
     rows = materialised(numbered(values, ["grp"], ["value"]))
     i = F.col("i")
-    drawn = rows.select("grp", "g", "n", F.col("at").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).cast("bigint").alias("b"))
+    drawn = rows.select("grp", "g", "n", F.col("at").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(resamples - 1).cast("bigint"))).alias("b"))
     drawn = drawn.withColumn("key", F.col("g").bitwiseXOR(_mix(F.col("b")))).withColumn("key", _mix(F.col("key")))
     drawn = drawn.withColumn("m", _mix(F.shiftrightunsigned(i, 32)).bitwiseXOR(i.bitwiseAND(F.lit(MASK)))).withColumn("m", F.col("key").bitwiseXOR(_mix(F.col("m")))).withColumn("h", _mix(F.col("m")))
     wide = F.shiftleft("h", 32).bitwiseOR(_mix(F.col("h").bitwiseXOR(F.lit(MULTIPLIER))))

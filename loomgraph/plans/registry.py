@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import answer_queries, evaluation_queries, event_queries, graph_queries, ingest_queries, source_queries, text_queries
+from loomgraph.plans import answer_queries, evaluation_queries, event_queries, file_queries, graph_queries, ingest_queries, source_queries, text_queries
 
-MODULES = (graph_queries, text_queries, evaluation_queries, event_queries, answer_queries, ingest_queries, source_queries)
+MODULES = (graph_queries, text_queries, evaluation_queries, event_queries, answer_queries, ingest_queries, source_queries, file_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

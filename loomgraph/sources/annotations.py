@@ -60,7 +60,7 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 def rules_between(text: Column, start: str, end: str) -> Column:
     """What a guideline has between two markers; null without both."""
-    inside = F.btrim(F.substring_index(F.substring(text, F.instr(text, start) + F.lit(len(start)), F.length(text)), end, 1))
+    inside = F.regexp_replace(F.substring_index(F.substring(text, F.instr(text, start) + F.lit(len(start)), F.length(text)), end, 1), r"(?U)^\s+|\s+$", "")
     return F.when((F.instr(text, start) > 0) & F.substring(text, F.instr(text, start) + F.lit(len(start)), F.length(text)).contains(end), inside)
 
 

@@ -47,7 +47,7 @@ def plain(rows, links, keys, shown, slugs):
                 roles.add((g, by_said[key], k, entities[g, keys[x]][0]))
         original.setdefault((g, chunk, oid), by_said[key])
     ends = [(g, original.get((g, c, a)), original.get((g, c, b)), rel) for g, c, a, b, rel in links]
-    return events, set(entities.values()), roles, {(g, a, b, rel) for g, a, b, rel in ends if a and b and a != b}
+    return events, {(g, *x) for (g, _), x in entities.items()}, roles, {(g, a, b, rel) for g, a, b, rel in ends if a and b and a != b}
 
 
 @pytest.mark.parametrize("cuts", [(), (70,), (30, 31, 140)])
@@ -70,7 +70,7 @@ def test_batches_equal_one_by_one(spark, tmp_path, cuts):
     where = {(r.graph_id, r.place_id): (r.location, r.region) for r in got["place"].collect()}
     stored = {(r.graph_id, r.event_id): (r.ord, r.lemma, r.sense, r.source, when.pop((r.graph_id, f"time_{r.event_id}"), None), where.pop((r.graph_id, f"place_{r.event_id}"), None)) for r in got["event"].collect()}
     assert stored == events and not when and not where
-    assert sorted((r.entity, r.name) for r in got["entity"].collect()) == sorted(entities)
+    assert sorted((r.graph_id, r.entity, r.name) for r in got["entity"].collect()) == sorted(entities)
     assert sorted((r.graph_id, r.event_id, r.role, r.entity) for r in got["role"].collect()) == sorted(roles)
     assert {(r.graph_id, r.src_event, r.dst_event, r.relation) for r in got["discourse"].collect()} >= discourse
     if not cuts:
