@@ -169,7 +169,7 @@ def bundle(
     told = best.join(blocks, ["graph_id", "event_id"])
     kept = materialised(within_budget(told, max_chars) if max_chars is not None else told)
     known = entities.where("dist = 0 AND via IS NULL").select(*KEYS, "entity", "name")
-    picked = materialised(round_robin(candidates(entities, kept, rated, bindings, known), max_candidates))
+    picked = graph.pathed(round_robin(candidates(entities, kept, rated, bindings, known), max_candidates), entities)
     names = kept.select(*KEYS, "event_id").join(bindings.select("graph_id", "event_id", "name"), ["graph_id", "event_id"]).groupBy(*KEYS).agg(F.array_sort(F.collect_set("name")).alias("entity_names"))
     path = F.concat(F.lit("- Candidate: "), "name", F.lit(" (Path: "), graph.readable_path(roles), F.lit(")"))
     parts = [_listed(kept, F.col("block"), "blocks"), _listed(kept, F.col("event_id"), "event_ids"), _listed(picked, F.col("name"), "candidates"), _listed(picked, path, "paths"), names]

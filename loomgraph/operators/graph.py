@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.vocab import IDENTITY_FRAMES
 from loomgraph.storage import fresh_folder, materialised
 
-_FIELDS = "entity:string,event_id:string,role_in:string,role_out:string,sense:string,lemma:string,name:string"
-_STEP = f"struct<{_FIELDS}>"
-_VIA = f"struct<{_FIELDS},path:array<{_STEP}>>"
+_STEP = "struct<entity:string,event_id:string,role_in:string,role_out:string,sense:string,lemma:string,name:string>"
 
 
 def degrees(bindings: DataFrame) -> DataFrame:
@@ -34,8 +32,8 @@ def explore(bindings: DataFrame, anchors: DataFrame, max_hops: int = 3, hub_degr
     question_id, entity, name, dist, via) and (graph_id, question_id, event_id, dist); an event's
     distance is the least of its expanded participants'. Anchors that the graph doesn't have
     reach nothing. `via` is the step by which an entity is reached, null for an anchor: of the
-    steps that reach it first, the least by (entity, event_id, role_in, role_out), and `path`
-    in it the steps before, so that a path never turns in a circle of names.
+    steps that reach it first, the least by (entity, event_id, role_in, role_out). The entity in
+    it was reached before, so `pathed` can follow the steps back without turning in a circle.
 
     A level is closed over identity events before the next unit step. Every step is two
     equi-joins, on entity and on event, and adds its entities to one table in the shared
@@ -48,17 +46,16 @@ def explore(bindings: DataFrame, anchors: DataFrame, max_hops: int = 3, hub_degr
     has_same = edges.where("same").limit(1).count() > 0
     folder = fresh_folder(spark, "search")
     start = anchors.select(*keys, "entity").distinct().join(edges.select("graph_id", "entity", "name").distinct(), ["graph_id", "entity"])
-    start.select(*keys, "entity", "name", F.lit(0).alias("dist"), F.lit(None).cast(_VIA).alias("via")).write.parquet(f"{folder}/step=0")
-    schema, steps = f"graph_id {bindings.schema['graph_id'].dataType.simpleString()}, question_id {anchors.schema['question_id'].dataType.simpleString()}, entity string, name string, dist int, via {_VIA}, step int", 0
+    start.select(*keys, "entity", "name", F.lit(0).alias("dist"), F.lit(None).cast(_STEP).alias("via")).write.parquet(f"{folder}/step=0")
+    schema, steps = f"graph_id {bindings.schema['graph_id'].dataType.simpleString()}, question_id {anchors.schema['question_id'].dataType.simpleString()}, entity string, name string, dist int, via {_STEP}, step int", 0
     reached = lambda: spark.read.schema(schema).parquet(folder)
 
     def step(frontier: DataFrame, same: bool, cost: int) -> bool:
         """Adds what the frontier reaches that wasn't reached before; whether there is any."""
         nonlocal steps
         steps += 1
-        crossed = frontier.drop("name").join(edges.where(F.col("same") == same), ["graph_id", "entity"]).where((F.col("dist") == 0) | (F.col("deg") <= hub_degree))
-        path = F.concat(F.coalesce(F.col("via.path"), F.array().cast(f"array<{_STEP}>")), F.when(F.col("via").isNull(), F.array().cast(f"array<{_STEP}>")).otherwise(F.array(F.col("via").dropFields("path"))))
-        via = F.struct("entity", "event_id", F.col("role").alias("role_in"), "role_out", "sense", "lemma", "name", path.alias("path"))
+        crossed = frontier.drop("name", "via").join(edges.where(F.col("same") == same), ["graph_id", "entity"]).where((F.col("dist") == 0) | (F.col("deg") <= hub_degree))
+        via = F.struct("entity", "event_id", F.col("role").alias("role_in"), "role_out", "sense", "lemma", "name")
         found = crossed.join(members, ["graph_id", "event_id"]).where("member <> entity").groupBy(*keys, "member").agg(F.min(via).alias("via"), F.first("dist").alias("dist"), F.first("member_name").alias("name"))
         fresh = found.select(*keys, F.col("member").alias("entity"), "name", (F.col("dist") + cost).alias("dist"), "via").join(reached().select(*keys, "entity"), [*keys, "entity"], "left_anti")
         fresh.write.parquet(f"{folder}/step={steps}")
@@ -74,11 +71,21 @@ def explore(bindings: DataFrame, anchors: DataFrame, max_hops: int = 3, hub_degr
     return settled, open_.groupBy(*keys, "event_id").agg(F.min("dist").alias("dist"))
 
 
+def pathed(chosen: DataFrame, entities: DataFrame) -> DataFrame:
+    """Adds `steps` to some of the entities of `explore`: the steps from the anchor to them, followed back one a round."""
+    keys = ["graph_id", "question_id"]
+    back = entities.select(*keys, F.col("entity").alias("_at"), F.col("via").alias("_before"))
+    out = chosen.withColumns({"steps": F.array().cast(f"array<{_STEP}>"), "_next": F.col("via")})
+    while True:
+        out = materialised(out.withColumns({"steps": F.when(F.col("_next").isNotNull(), F.concat(F.array("_next"), "steps")).otherwise(F.col("steps")), "_at": F.col("_next.entity")}).join(back, [*keys, "_at"], "left").withColumn("_next", F.col("_before")).drop("_at", "_before"))
+        if not out.where("_next IS NOT NULL").limit(1).count():
+            return out.drop("_next")
+
+
 def path_parts(roles: bool = True) -> Column:
-    """Names and steps from the anchor to an entity of `explore`; a step by its roles and sense, or by its lemma."""
-    steps = F.when(F.col("via").isNotNull(), F.concat("via.path", F.array(F.col("via").dropFields("path")))).otherwise(F.array().cast(f"array<{_STEP}>"))
+    """Names and steps from the anchor to an entity of `pathed`; a step by its roles and sense, or by its lemma."""
     told = (lambda s: F.concat(F.ltrim(s["role_in"], F.lit(":")), F.lit("<-["), s["sense"], F.lit("]->"), F.ltrim(s["role_out"], F.lit(":")))) if roles else (lambda s: s["lemma"])
-    return F.concat(F.flatten(F.transform(steps, lambda s: F.array(s["name"], told(s)))), F.array("name"))
+    return F.concat(F.flatten(F.transform("steps", lambda s: F.array(s["name"], told(s)))), F.array("name"))
 
 
 def readable_path(roles: bool = True) -> Column:
@@ -88,7 +95,7 @@ def readable_path(roles: bool = True) -> Column:
 def reachable(entities: DataFrame) -> DataFrame:
     """Entities of `explore` but the anchors, with their path and rank by (distance, name)."""
     per = Window.partitionBy("graph_id", "question_id").orderBy("dist", "name", "entity")
-    return entities.where("via IS NOT NULL").select("graph_id", "question_id", "entity", "name", "dist", path_parts().alias("path")).withColumn("rank", F.row_number().over(per))
+    return pathed(entities.where("via IS NOT NULL"), entities).select("graph_id", "question_id", "entity", "name", "dist", path_parts().alias("path")).withColumn("rank", F.row_number().over(per))
 
 
 def discourse_expanded(events: DataFrame, discourse: DataFrame) -> DataFrame:

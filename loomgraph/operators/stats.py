@@ -84,7 +84,7 @@ def _joined_means(values: DataFrame, resamples: int) -> DataFrame:
     drawn = drawn.withColumn("key", F.col("g").bitwiseXOR(_mix(F.col("b")))).withColumn("key", _mix(F.col("key")))
     drawn = drawn.withColumn("m", _mix(F.shiftrightunsigned(i, 32)).bitwiseXOR(i.bitwiseAND(F.lit(MASK)))).withColumn("m", F.col("key").bitwiseXOR(_mix(F.col("m")))).withColumn("h", _mix(F.col("m")))
     wide = F.shiftleft("h", 32).bitwiseOR(_mix(F.col("h").bitwiseXOR(F.lit(MULTIPLIER))))
-    far = (wide.cast("decimal(38,0)") + F.when(wide < 0, F.lit(2**64).cast("decimal(38,0)")).otherwise(0)) % F.col("n")
+    far = (wide.cast("decimal(38,0)") + F.when(wide < 0, F.lit(str(2**64)).cast("decimal(38,0)")).otherwise(0)) % F.col("n")
     at = F.when(F.col("n") < 1 << 31, F.shiftright(F.col("h") * F.col("n"), 32)).otherwise(far.cast("bigint"))
     return drawn.select("grp", "b", at.alias("at")).join(rows.select("grp", "at", "value"), ["grp", "at"]).groupBy("grp", "b").agg(F.avg("value").alias("mean"))
 

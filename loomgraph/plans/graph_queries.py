@@ -49,7 +49,8 @@ def k1_top_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def g4_paths(spark: SparkSession, sf: str) -> DataFrame:
     """How each entity is reached, with roles and by lemma only."""
-    return _explored(spark, sf)[0].select("question_id", "entity", "dist", graph.readable_path().alias("path"), graph.readable_path(False).alias("plain"))
+    found = _explored(spark, sf)[0]
+    return graph.pathed(found, found).select("question_id", "entity", "dist", graph.readable_path().alias("path"), graph.readable_path(False).alias("plain"))
 
 
 def g5_reachable(spark: SparkSession, sf: str) -> DataFrame:

@@ -105,7 +105,8 @@ def test_evidence_of_a_stored_graph(spark):
     assert first == f"- [a] wed (marry.01): ARG0[{spouse[0]}]=Ann Poe; ARG1[{spouse[1]}]=Bob"
     assert row.event_ids == ["a", "b"] and second == "- [b] run (run.01): ARG0=Ann Poe; ARGM-POSS[possessor]=Cy"
     assert "Bob (Path: Ann Poe | ARG0<-[marry.01]->ARG1 | Bob)" in row.text
-    shown = graph.explore(ingest.bindings(tables), asked.where("entity IS NOT NULL"))[0].where("name = 'Bob'").select(graph.readable_path(False)).first()[0]
+    found = graph.explore(ingest.bindings(tables), asked.where("entity IS NOT NULL"))[0]
+    shown = graph.pathed(found.where("name = 'Bob'"), found).select(graph.readable_path(False)).first()[0]
     assert shown == "Ann Poe | wed | Bob"
 
 
