@@ -25,8 +25,10 @@ def upper_median(column: str) -> Column:
 
 #: Distinct values of a group up to which its resamples are counted by value in one task each.
 FEW_VALUES = 100_000
-#: Resamples that one row of work makes, and draws that are made at once.
-BLOCK, AT_ONCE = 50, 1 << 18
+#: Resamples that one row of work makes, draws that are made at once, and tasks that share the work, which is small as data.
+BLOCK, AT_ONCE, TASKS = 50, 1 << 15, 200
+#: Distinct values up to which draws are counted by a comparison each, instead of a search.
+FEW_BOUNDS = 32
 MASK, MULTIPLIER = (1 << 32) - 1, 0x45D9F3B
 
 
@@ -54,6 +56,39 @@ def _places(resample: np.uint64, lo: int, hi: int, n: int) -> np.ndarray:
     return ((h << np.uint64(32) | _mix(h ^ np.uint64(MULTIPLIER))) % np.uint64(n)).astype(np.int64)
 
 
+def _counted(keys: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Draws of each resample, by value: those of `_places`, where value k has the rows from ends[k - 1] to ends[k]."""
+    drawn = np.zeros((len(keys), len(ends)), np.int64)
+    if n >= 1 << 31:
+        for lo in range(0, n, AT_ONCE):
+            for b, key in enumerate(keys):
+                drawn[b] += np.bincount(np.searchsorted(ends, _places(key, lo, min(lo + AT_ONCE, n), n), "right"), minlength=len(ends))
+        return drawn
+    # a hash h takes row h * n >> 32, which is at or behind ends[k] from the least such h on; 32-bit products wrap by themselves
+    bounds = ((ends[:-1].astype(np.uint64) << np.uint64(32)) + np.uint64(n - 1)) // np.uint64(n)
+    bounds, sixteen, times = bounds.astype(np.uint32), np.uint32(16), np.uint32(MULTIPLIER)
+    high, h = np.empty((2, AT_ONCE), np.uint32)
+
+    def mix(x: np.ndarray, high: np.ndarray) -> None:
+        for _ in range(2):
+            x ^= np.right_shift(x, sixteen, out=high)
+            x *= times
+        x ^= np.right_shift(x, sixteen, out=high)
+
+    for lo in range(0, n, AT_ONCE):
+        size = min(AT_ONCE, n - lo)
+        numbers, at, spare = np.arange(lo, lo + size, dtype=np.uint32), h[:size], high[:size]
+        mix(numbers, spare)
+        for b, key in enumerate(keys.astype(np.uint32)):
+            mix(np.bitwise_xor(numbers, key, out=at), spare)
+            if len(ends) <= FEW_BOUNDS:
+                behind = [size, *(np.count_nonzero(at >= bound) for bound in bounds), 0]
+                drawn[b] -= np.diff(behind)
+            else:
+                drawn[b] += np.bincount(np.searchsorted(bounds, at, "right"), minlength=len(ends))
+    return drawn
+
+
 def _counted_means(counts: DataFrame, resamples: int) -> DataFrame:
     """Means of resamples of groups with few distinct values: draws are counted by value where they are made."""
     rows = counts.groupBy("grp", "g", "n").agg(F.array_sort(F.collect_list(F.struct("value", "count"))).alias("vs"))
@@ -66,14 +101,10 @@ def _counted_means(counts: DataFrame, resamples: int) -> DataFrame:
                 values, ends, n = np.array(row["values"]), np.cumsum(row["counts"]), row["n"]
                 first, last = row["b"], min(row["b"] + BLOCK, resamples)
                 keys = _mix(np.uint64(row["g"]) ^ _mix(np.arange(first, last, dtype=np.uint64)))
-                drawn = np.zeros((last - first, len(values)), np.int64)
-                for lo in range(0, n, AT_ONCE):
-                    for b, key in enumerate(keys):
-                        which = np.searchsorted(ends, _places(key, lo, min(lo + AT_ONCE, n), n), "right")
-                        drawn[b] += np.bincount(which, minlength=len(values))
+                drawn = _counted(keys, ends, n)
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[at].as_py()] * len(keys), batch.schema.field(0).type), pa.array(np.arange(first, last)), pa.array(drawn @ values / n)], names=["grp", "b", "mean"])
 
-    return work.repartition("grp", "b").mapInArrow(resampled, StructType([StructField("grp", kind), StructField("b", LongType()), StructField("mean", DoubleType())]))
+    return work.repartition(TASKS, "grp", "b").mapInArrow(resampled, StructType([StructField("grp", kind), StructField("b", LongType()), StructField("mean", DoubleType())]))
 
 
 def _joined_means(values: DataFrame, resamples: int) -> DataFrame:
@@ -117,6 +148,7 @@ def bootstrap_interval(values: DataFrame, resamples: int = 10_000, alpha: float
 
 def paired_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 0) -> DataFrame:
     """Two-sided p of mean(a) = mean(b) by resampling centred differences: (grp, delta, p)."""
+    pairs = materialised(pairs)
     seen = pairs.groupBy("grp").agg(F.avg(F.col("a") - F.col("b")).alias("delta"))
     centred = pairs.join(seen, "grp").select("grp", (F.col("a") - F.col("b") - F.col("delta")).alias("value"))
     extreme = resampled_means(centred, resamples, seed).join(seen, "grp").groupBy("grp", "delta").agg(F.count_if(F.abs("mean") >= F.abs("delta") - 1e-12).alias("x"))

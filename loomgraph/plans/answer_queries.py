@@ -9,6 +9,7 @@ from loomgraph.functions import answers as a
 from loomgraph.operators import metrics
 from loomgraph.plans.evaluation_queries import interval_sql, means_sql, paired_sql
 from loomgraph.session import table
+from loomgraph.storage import spread
 
 #: Answers as models give them; {} is the true one.
 FORMS = (
@@ -27,7 +28,7 @@ def _form(i, given):
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
     """A case a part: what two systems say of its name, brand and type."""
-    p, i = table(spark, sf, "part"), F.col("p_partkey")
+    p, i = spread(table(spark, sf, "part")), F.col("p_partkey")
     question = F.when(i % 3 == 0, QUESTIONS[0]).when(i % 3 == 1, QUESTIONS[1]).otherwise(QUESTIONS[2])
     return p.select(
         i.alias("id"), question.alias("question"), F.col("p_name").alias("answer"), F.array("p_brand", F.concat(F.lit("the "), "p_type")).alias("more"), (F.col("p_size") % 5 != 0).alias("answerable"),

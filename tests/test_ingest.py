@@ -160,3 +160,15 @@ def test_salvage():
     assert runs.salvaged('{"events": [{"a": "cut \\" he') is None
     assert runs.salvaged('{"events": {}}') is None
     assert runs.salvaged("[" * 9 + '{"events": [' + '{"a": 1}, ' * 20_000 + '{"b') is not None
+
+
+def test_resampling_is_shared_by_tasks_and_counts_the_numbered_draws(spark):
+    import numpy as np
+
+    values = spark.range(900).selectExpr("'x' AS grp", "CAST(id % 7 AS double) AS value")
+    means = stats.resampled_means(values, 1000)
+    assert means.rdd.getNumPartitions() > 8  # small rows of much work, which adaptive execution puts into one partition
+    for n, ends in ((7, [2, 3, 7]), (70_000, [1, 69_999, 70_000]), (70_000, list(range(1000, 70_001, 1000)))):
+        keys = np.array([1, 5, (1 << 32) - 1], np.uint64)
+        plain = [np.bincount(np.searchsorted(ends, stats._places(k, 0, n, n), "right"), minlength=len(ends)) for k in keys]
+        assert (stats._counted(keys, np.array(ends), n) == plain).all()
