@@ -1,5 +1,6 @@
 """The rewrite chain over stated payloads."""
 
+from loomgraph.operators import coerce
 from loomgraph.plans import event_queries
 
 
@@ -12,3 +13,9 @@ def test_chain(spark, sf):
     assert any(s == "locate.01" and ":ARG1=Texas; :ARG2=United States" in r for s, r in found)  # from the place's parts
     assert not any("unknown" in r for _, r in found)
     assert all(r["roles"] for r in rows)
+
+
+def test_payloads_of_one_partition_are_read_on_all_cores(spark):
+    payloads = spark.range(40).selectExpr("id", """'{"lemma": "buy", "roles": {"ARG0": "Ann"}}' AS raw""").coalesce(1)
+    events = coerce.events_of(payloads)
+    assert events.rdd.getNumPartitions() > 4 and events.count() == 40
