@@ -172,3 +172,17 @@ def test_resampling_is_shared_by_tasks_and_counts_the_numbered_draws(spark):
         keys = np.array([1, 5, (1 << 32) - 1], np.uint64)
         plain = [np.bincount(np.searchsorted(ends, stats._places(k, 0, n, n), "right"), minlength=len(ends)) for k in keys]
         assert (stats._counted(keys, np.array(ends), n) == plain).all()
+
+
+def test_events_are_noted_by_the_search_and_kinds_of_events_are_broadcast(spark):
+    row = "g string, event_id string, ord bigint, lemma string, sense string, role string, entity string".replace("g ", "graph_id ", 1)
+    said = [("g", f"e{i}", i, "buy", "buy.01", role, entity) for i in range(30) for role, entity in ((":ARG0", f"a{i % 3}"), (":ARG1", f"b{i % 7}"))] + [("g", "alone", 99, "sleep", "sleep.01", ":ARG0", "a0")]
+    bindings = spark.createDataFrame(said, row).withColumn("name", F.col("entity"))
+    anchors = spark.createDataFrame([("g", 1, "a0")], "graph_id string, question_id bigint, entity string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    entities, events = graph.explore(bindings, anchors, 1)
+    assert "Join" not in plan(events)  # the whole graph isn't joined once more
+    assert {x.event_id for x in events.collect()} == {"alone", *(f"e{i}" for i in range(0, 30, 3))}
+    assert {x.entity for x in entities.collect()} == {"a0", *(f"b{i}" for i in range(7))}
+    rated = evidence.with_relevance(events, spark.createDataFrame([(1, "who buys")], "question_id bigint, text string"), bindings)
+    assert "hashpartitioning(lemma" not in plan(rated)  # all events of a kind would go to one task
