@@ -1,6 +1,7 @@
 """The rewrite chain over stated payloads."""
 
-from loomgraph.operators import coerce
+from loomgraph import storage
+from loomgraph.operators import coerce, rewrite
 from loomgraph.plans import event_queries
 
 
@@ -19,3 +20,21 @@ def test_payloads_of_one_partition_are_read_on_all_cores(spark):
     payloads = spark.range(40).selectExpr("id", """'{"lemma": "buy", "roles": {"ARG0": "Ann"}}' AS raw""").coalesce(1)
     events = coerce.events_of(payloads)
     assert events.rdd.getNumPartitions() > 4 and events.count() == 40
+
+
+def _calls(rows, name):
+    return rows._jdf.queryExecution().optimizedPlan().toString().count(name)
+
+
+def test_what_a_rewrite_names_twice_is_evaluated_once(spark, sf, monkeypatch):
+    """The steps' plans named a field, a key or a role thousands of times, as each naming repeated what it is made of."""
+    monkeypatch.setattr(rewrite, "materialised", lambda df: plans.append(df) or storage.materialised(df))
+    plans = []
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        payloads = event_queries._payloads(spark, sf).limit(20)
+        event_queries._rewritten(payloads)
+        calls = [sum(_calls(p, x) for x in ("regexp_extract(", "regexp_replace(", "variant_get(")) for p in plans]
+        assert 7 <= len(calls) and max(calls) < 200, calls
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
