@@ -185,12 +185,15 @@ def c11_null_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def s11_roleset_files(spark: SparkSession, sf: str) -> DataFrame:
-    """A frame file about each supplier, written as XML and read, beside files that aren't XML."""
+    """Frames about each supplier, written as XML files and read, beside files that aren't XML."""
     path = fresh_folder(spark, "frames") + "/xml"
     p, k = table(spark, sf, "supplier"), F.col("s_suppkey")
     ends = F.when(k % 3 == 0, F.concat(F.lit("."), k % 100)).when(k % 3 == 1, F.concat(F.lit("-"), k % 9)).otherwise("")
     xml = F.concat(F.lit("<frameset><predicate><roleset id=\"verb_"), k, ends, F.lit("\" name=\" "), "s_name", F.lit(" \"><roles><role n=\"0\" descr=\" maker \"/><role n=\"m\" descr=\"no\"/><role n=\"2\" descr=\""), "s_name", F.lit("\"/></roles></roleset></predicate></frameset>"))
-    p.select(F.when(k % 10 == 9, "<frameset><predicate").otherwise(xml).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    each = p.select(F.when(k % 10 == 9, "<frameset><predicate").otherwise(xml).alias("xml"), (k % 10 == 9).alias("broken"), F.floor(k / 500).alias("file"))
+    # some hundred framesets a file: a file a supplier takes longer to write, list and open than to read
+    whole = each.groupBy("broken", "file").agg(F.concat(F.lit("<frames>"), F.concat_ws("", F.collect_list("xml")), F.lit("</frames>")).alias("value"))
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return rolesets.read_xml(spark, path).select("roleset_id", "lemma", "name", F.array_join(F.transform(F.array_sort(F.map_entries("roles")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ").alias("roles"))
 
 

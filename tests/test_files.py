@@ -1,11 +1,14 @@
 """Manifests, predictions, annotation sheets, a judge's answers, and report tables."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.plans import file_queries
 from loomgraph.sources import annotations, reports, runs
+from loomgraph.storage import fresh_folder
 
 
 def test_manifest_is_drawn_once(spark, tmp_path):
@@ -123,3 +126,11 @@ def test_report_tables(spark, tmp_path):
     with pytest.raises(ValueError):
         reports.models_table(labelled, both, "full", "base_1")
     assert reports.models_table(labelled, both.where("label = 'a'"), "full", "base_1").collect()[0]["d_em"] == "+66.7"
+
+
+def test_frames_share_files(spark, sf, monkeypatch):
+    """A file was written about each supplier, so that files, which take a while each, grew with the suppliers."""
+    made = []
+    monkeypatch.setattr(file_queries, "fresh_folder", lambda *a: made.append(fresh_folder(*a)) or made[-1])
+    assert file_queries.s11_roleset_files(spark, sf).count() == 9
+    assert len([f for f in os.listdir(made[0].removeprefix("file://") + "/xml") if f.startswith("part-")]) < 5
