@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vocab as v
+from loomgraph.storage import materialised, spread
 
 CORE = "^:ARG[0-5]$"
 
@@ -45,8 +46,9 @@ def disambiguated(events: DataFrame, rolesets: DataFrame) -> DataFrame:
     events: event_id, lemma, context. Events without a candidate have no row.
     """
     gloss = words_of(F.concat_ws(" ", "name", "description", F.map_values("roles")))
-    glossed = candidate_senses(events, rolesets).join(rolesets.select("roleset_id", gloss.alias("gloss")), "roleset_id")
-    rated = events.select("event_id", "lemma", words_of(F.col("context")).alias("words")).join(glossed, "lemma").select("event_id", "roleset_id", "ord", F.size(F.array_intersect("words", "gloss")).alias("overlap"))
+    # written, so that its size is known and the many events of few lemmas don't meet it by lemma, in a task each
+    glossed = materialised(candidate_senses(events, rolesets).join(rolesets.select("roleset_id", gloss.alias("gloss")), "roleset_id"))
+    rated = spread(events.select("event_id", "lemma", "context"), "event_id").select("event_id", "lemma", words_of(F.col("context")).alias("words")).join(glossed, "lemma").select("event_id", "roleset_id", "ord", F.size(F.array_intersect("words", "gloss")).alias("overlap"))
     best = rated.groupBy("event_id").agg(F.max(F.struct("overlap", (-F.col("ord")).alias("o"), "roleset_id")).alias("b"))
     return best.select("event_id", "b.roleset_id", "b.overlap")
 

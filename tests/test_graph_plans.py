@@ -3,7 +3,7 @@
 import pytest
 
 from loomgraph.operators import graph
-from loomgraph.plans import graph_queries
+from loomgraph.plans import event_queries, graph_queries
 
 
 def test_the_first_events_are_ranked_once_for_their_text(spark, sf):
@@ -45,3 +45,8 @@ def test_degrees_are_counted_for_the_asked_anchors_only(spark, sf):
     """Every entity of the graph was counted, though only the anchors' degrees are asked for."""
     plan = graph_queries.p8_specific_anchors(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan[plan.index("count(1)") :]
+
+
+def test_glosses_of_few_lemmas_are_sent_to_the_events(spark, sf):
+    """Events met their senses by lemma, so that all events of a lemma went to one task."""
+    assert "hashpartitioning(lemma" not in event_queries.a7_disambiguated(spark, sf)._jdf.queryExecution().executedPlan().toString()
