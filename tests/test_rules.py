@@ -127,3 +127,14 @@ def test_acronyms(spark):
     got = {(r["name"], r["alias"]) for r in aliases.mined(df).collect()}
     assert got == {("National Register of Historic Places", "NRHP"), ("Big Farm", "BF")}
     assert aliases.alias_events(aliases.mined(df)).count() == 2
+
+
+def test_ids_of_keys(spark):
+    """A key had lambdas within lambdas, below which the folding of its id wasn't found: `f6_entity_keys` failed."""
+    from loomgraph.functions import text as t
+
+    said = ["The Who", "the", "The A", "Bank of the West, Inc.", "Sir Paul McCartney Jones", "A. B. Crane", "--", ""]
+    keyed = spark.createDataFrame([(x,) for x in said], "v string").select("v", t.match_key(F.col("v")).alias("key")).withColumn("id", t.slug(F.col("key")))
+    got = {r.v: (r.key, r.id) for r in keyed.collect()}
+    assert {k: x[0] for k, x in got.items()} == {"The Who": "who", "the": "the", "The A": "a", "Bank of the West, Inc.": "bank west", "Sir Paul McCartney Jones": "paul mccartney jones", "A. B. Crane": "b crane", "--": "", "": ""}
+    assert got["Bank of the West, Inc."][1] == "bank_west" and got[""][1].startswith("h")
