@@ -1,9 +1,11 @@
 """What the graph queries' plans do once."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from loomgraph import storage
 from loomgraph.operators import graph
-from loomgraph.plans import event_queries, graph_queries
+from loomgraph.plans import event_queries, fixture, graph_queries
 
 
 def test_the_first_events_are_ranked_once_for_their_text(spark, sf):
@@ -50,3 +52,10 @@ def test_degrees_are_counted_for_the_asked_anchors_only(spark, sf):
 def test_glosses_of_few_lemmas_are_sent_to_the_events(spark, sf):
     """Events met their senses by lemma, so that all events of a lemma went to one task."""
     assert "hashpartitioning(lemma" not in event_queries.a7_disambiguated(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_gets_a_bounded_number_of_purchases(spark, sf, monkeypatch):
+    """Degrees, nodes and anchors were counted over whole parts of the orders' file, with a task's memory growing with it."""
+    monkeypatch.setattr(storage, "HELD_ROWS", 100)
+    per_task = fixture.events(spark, sf).where("sense = 'buy.01'").groupBy(F.spark_partition_id()).count()
+    assert per_task.agg(F.max("count")).first()[0] < 300
