@@ -59,3 +59,12 @@ def test_a_task_gets_a_bounded_number_of_purchases(spark, sf, monkeypatch):
     monkeypatch.setattr(storage, "HELD_ROWS", 100)
     per_task = fixture.events(spark, sf).where("sense = 'buy.01'").groupBy(F.spark_partition_id()).count()
     assert per_task.agg(F.max("count")).first()[0] < 300
+
+
+def test_nodes_are_told_apart_in_tasks_by_their_number(spark, sf, monkeypatch):
+    """Event ids were exchanged in a fixed number of parts, so that what a task held grew with the graph."""
+    monkeypatch.setattr(storage, "HELD_ROWS", 100)
+    plan = graph_queries.g9_node_listing(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    most = fixture.most_events(spark, sf)
+    assert "RepartitionByExpression [id#" in plan and f", {most // 100 + 1}" in plan
+    assert most >= fixture.events(spark, sf).count()
