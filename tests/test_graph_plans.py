@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph import storage
-from loomgraph.operators import graph
+from loomgraph.operators import evidence, graph
 from loomgraph.plans import event_queries, fixture, graph_queries
 
 
@@ -68,3 +68,11 @@ def test_nodes_are_told_apart_in_tasks_by_their_number(spark, sf, monkeypatch):
     most = fixture.most_events(spark, sf)
     assert "RepartitionByExpression [id#" in plan and f", {most // 100 + 1}" in plan
     assert most >= fixture.events(spark, sf).count()
+
+
+def test_usual_roles_are_placed_without_patterns(spark):
+    """Each member's role of each event went through two patterns."""
+    roles = [":ARG0", ":ARG5", "ARG1", ":arg2", ":ARG6", ":ARGM-LOC", "argm-x", ":location", "", ":", "::ARG1"]
+    got = spark.createDataFrame([(r,) for r in roles], "role string").select("role", evidence.role_place(F.col("role")).alias("at"))
+    assert [x.at for x in got.collect()] == [0, 5, 1, 2, 20, 10, 10, 20, 20, 20, 20]
+    assert "(role#" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and plan.index("= :ARG0)") < plan.index("RLIKE")
