@@ -1,5 +1,7 @@
 """The rewrite chain over stated payloads."""
 
+from pyspark.sql import functions as F
+
 from loomgraph import storage
 from loomgraph.operators import coerce, rewrite
 from loomgraph.plans import event_queries
@@ -38,3 +40,19 @@ def test_what_a_rewrite_names_twice_is_evaluated_once(spark, sf, monkeypatch):
         assert 7 <= len(calls) and max(calls) < 200, calls
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_shapes_of_values(spark):
+    """An object's shape was told by the schema of all that it holds."""
+    told = ["{}", "[]", '{"a": {"b": [1, "x"]}}', '[1, {"a": 2}]', '"x"', '""', "1", "1.5", "true", "null", None]
+    got = spark.createDataFrame([(x,) for x in told], "raw string").select(coerce.shape(F.try_parse_json("raw")).alias("shape"))
+    assert [x.shape for x in got.collect()] == ["object", "array", "object", "array", "string", "string", "number", "number", "boolean", None, None]
+    assert "isnotnull(try_variant_get" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_keyed_only_beside_an_owner(spark):
+    """All names of every event were keyed, though only those of events with an owner are asked for."""
+    rows = spark.createDataFrame([("a", {":ARG0": "Ann Poe", ":ARG1": "Acme's old plant"}), ("b", {":ARG0": "Acme's plant", ":ARG1": "Acme"}), ("c", {":ARG0": "Ann Poe"})], "event_id string, roles map<string,string>")
+    linked = rewrite.link_possessors(rows)
+    assert {r.event_id: r.roles.get(":ARGM-POSS") for r in linked.collect()} == {"a": "Acme", "b": None, "c": None}
+    assert "map_values(roles" in (plan := linked._jdf.queryExecution().analyzed().toString()) and "CASE WHEN (size(_owners" in plan
