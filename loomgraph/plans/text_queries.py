@@ -9,6 +9,7 @@ from loomgraph.functions import answers
 from loomgraph.functions import text as t
 from loomgraph.functions import vocab as v
 from loomgraph.session import importable, table
+from loomgraph.storage import materialised
 
 #: Values that show each function's cases.
 VALUES = (
@@ -86,7 +87,9 @@ def c2_order_years(spark: SparkSession, sf: str) -> DataFrame:
 
 def f6_entity_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Match key, display form and id of the values."""
-    return _values(spark, sf).select("v", t.surface(F.col("v")).alias("surface"), t.match_key(F.col("v")).alias("key")).withColumn("id", F.concat(F.lit("ent_"), t.slug(F.col("key"))))
+    # written between the two foldings: in one plan every mention of a value is a column of its own in the rows that wait for Python
+    keyed = materialised(_values(spark, sf).select("v", t.surface(F.col("v")).alias("surface"), t.match_key(F.col("v")).alias("key")))
+    return keyed.withColumn("id", F.concat(F.lit("ent_"), t.slug(F.col("key"))))
 
 
 def f25_answer_scores(spark: SparkSession, sf: str) -> DataFrame:

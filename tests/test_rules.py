@@ -1,6 +1,7 @@
 """Rewrites, alignment and anchoring on stated cases, held against plain versions."""
 
 import itertools
+import re
 
 from pyspark.sql import functions as F
 
@@ -138,3 +139,12 @@ def test_ids_of_keys(spark):
     got = {r.v: (r.key, r.id) for r in keyed.collect()}
     assert {k: x[0] for k, x in got.items()} == {"The Who": "who", "the": "the", "The A": "a", "Bank of the West, Inc.": "bank west", "Sir Paul McCartney Jones": "paul mccartney jones", "A. B. Crane": "b crane", "--": "", "": ""}
     assert got["Bank of the West, Inc."][1] == "bank_west" and got[""][1].startswith("h")
+
+
+def test_rows_that_wait_for_python_are_narrow(spark, sf):
+    """With both foldings in one plan a row had its value once for each time that the expressions name it, 275 columns, while it waited for Python."""
+    from loomgraph.plans import text_queries
+
+    plan = spark._jvm.PythonSQLUtils.explainString(text_queries.f6_entity_keys(spark, sf)._jdf.queryExecution(), "formatted")
+    widths = [int(n) for n in re.findall(r"ArrowEvalPython\s+Input \[(\d+)\]", plan)]
+    assert widths and max(widths) <= 5
