@@ -148,3 +148,19 @@ def test_rows_that_wait_for_python_are_narrow(spark, sf):
     plan = spark._jvm.PythonSQLUtils.explainString(text_queries.f6_entity_keys(spark, sf)._jdf.queryExecution(), "formatted")
     widths = [int(n) for n in re.findall(r"ArrowEvalPython\s+Input \[(\d+)\]", plan)]
     assert widths and max(widths) <= 5
+
+
+def test_usual_names(spark):
+    """Names that skip the rules, and their like that mustn't, have what the rules gave when all names went through them."""
+    from loomgraph.functions import text as t
+
+    want = {
+        "Customer 17": ("Customer 17", "customer 17", "customer_17"), "7 42": ("7 42", "7 42", "7_42"), "queen": ("queen", "queen", "queen"), "K King": ("K King", "k king", "k_king"), "x Z": ("x Z", "xz", "xz"),
+        "Crane Inc": ("Crane Inc", "crane", "crane"), "foo, Inc.": ("foo, Inc.", "foo", "foo"), "The Paul": ("Paul", "paul", "paul"), "in Paul": ("Paul", "paul", "paul"), "guitarist Grant": ("Grant", "grant", "grant"),
+        "Paul J.": ("Paul J.", "paul j", "paul_j"), "Paul end.": ("Paul end", "paul end", "paul_end"), "Paul no.": ("Paul no.", "paul no", "paul_no"), "Bob's": ("Bob", "bob", "bob"), "Müller Café": ("Müller Café", "muller cafe", "muller_cafe"),
+    }
+    v = F.col("v")
+    found = spark.createDataFrame([(x,) for x in want], "v string").select("v", t.surface(v).alias("surface"), t.match_key(v).alias("key"), t.match_keys(F.array(v, F.lit("Harbor 5"))).alias("keys"))
+    got = {r.v: r for r in found.withColumn("id", t.slug(F.col("key"))).collect()}
+    assert {x: (r.surface, r.key, r.id) for x, r in got.items()} == want
+    assert all(r["keys"] == [r.key, "harbor 5"] for r in got.values())
